@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, token_store
+from . import near_dedup, packing, sharding, token_store
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1,
     "op2_token_store": token_store.op2,
     "op7_sharding": sharding.op7,
     "op8_packing": packing.op8,
