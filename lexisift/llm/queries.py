@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, sharding, token_store
+from . import decontam, near_dedup, packing, sharding, token_store
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1,
     "op2_token_store": token_store.op2,
     "op7_sharding": sharding.op7,
     "op8_packing": packing.op8,
+    "op10_decontam": decontam.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_decontam": decontam.OP10_SQL}
