@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, near_dedup, packing, sharding, token_store, vector_dedup
+from . import decontam, near_dedup, packing, sharding, token_store, vector_dedup, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1,
     "op2_token_store": token_store.op2,
     "op3_vector_dedup": vector_dedup.op3,
+    "op6_warc": warc.op6,
     "op7_sharding": sharding.op7,
     "op8_packing": packing.op8,
     "op10_decontam": decontam.op10,
 }
 
-ORACLES: dict[str, str] = {"op3_vector_dedup": vector_dedup.OP3_SQL, "op10_decontam": decontam.OP10_SQL}
+ORACLES: dict[str, str] = {"op6_warc": warc.OP6_SQL, "op3_vector_dedup": vector_dedup.OP3_SQL, "op10_decontam": decontam.OP10_SQL}

@@ -93,7 +93,7 @@ class _Writer:
         fs, base = _open(folder)
         fs.create_dir(base, recursive=True)
         self.name = f"part-{part:06d}-{uuid.uuid4().hex}.dac"
-        self.out = fs.open_output_stream(f"{base}/{self.name}")
+        self.out = fs.open_output_stream(f"{base}/{self.name}", compression=None)
         self.pos, self.segments, self.n_docs, self.n_tokens = 0, [], 0, 0
         self.put(MAGIC)
         self.docs, self.ids, self.held = [], [], 0
