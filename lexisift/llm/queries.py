@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, near_dedup, packing, quality, sharding, token_store, vector_dedup, warc
+from . import decontam, language_id, near_dedup, packing, quality, sharding, token_store, vector_dedup, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1,
     "op2_token_store": token_store.op2,
     "op3_vector_dedup": vector_dedup.op3,
+    "op4_language_id": language_id.op4,
     "op5_quality": quality.op5,
     "op6_warc": warc.op6,
     "op7_sharding": sharding.op7,
