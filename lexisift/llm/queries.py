@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, language_id, near_dedup, packing, quality, sharding, token_store, vector_dedup, warc
+from . import decontam, language_id, line_dedup, near_dedup, packing, quality, sharding, token_store, vector_dedup, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6,
     "op7_sharding": sharding.op7,
     "op8_packing": packing.op8,
+    "op9_line_dedup": line_dedup.op9,
     "op10_decontam": decontam.op10,
 }
 
