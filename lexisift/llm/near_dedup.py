@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, distinct_in, drop_staged, grams, hash_spans, lists, map_text, mix, ranges, spans, staged, steps, text_buffer
@@ -211,3 +211,21 @@ def _links(rows: DataFrame, sigs: DataFrame, buckets: DataFrame, n: int, num: in
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """One document of each group of near duplicates, that with the least doc_id, with all its columns;
+    of equal rows with that doc_id one stays.  Texts without words all stay."""
+    columns = docs.columns
+    found = near_duplicates(docs, shingle_words, similar)
+    chosen = found.where("kept or n_shingles = 0").groupBy("doc_id", "node").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"))
+    chosen = staged(chosen.select(F.col("doc_id").alias("o_doc"), F.col("node").alias("o_node"), ((F.col("n") > 1) & (F.col("size") > 0)).alias("again")), "kept")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    cols = [f"c{i}" for i in range(len(columns))]
+    named = docs.select(*[docs[c] for c in columns], docs["doc_id"].cast("long"), F.xxhash64(text)).toDF(*cols, "k_doc", "k_node")
+    joined = named.join(chosen, F.col("k_doc").eqNullSafe(F.col("o_doc")) & (F.col("k_node") == F.col("o_node")))
+    if chosen.where("again").limit(1).count():  # repeated rows: one of each stays
+        order = Window.partitionBy("k_doc", "k_node").orderBy(*[F.col(c).cast("string") for c in cols])
+        once = joined.where("again").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+        joined = joined.where("not again").unionByName(once)
+    return joined.select(*[F.col(f"c{i}") for i in range(len(columns))]).toDF(*columns)
