@@ -113,7 +113,7 @@ def _confirm_blocks(n: int, num: int, den: int):
     def run(key, table):
         table = table.combine_chunks()
         get = lambda c: table.column(c).to_numpy()
-        node, label, query, bucket = get("node"), get("label"), get("query").astype(bool), get("key")[0]
+        node, label, query, bucket, banded = get("node"), get("label"), get("query").astype(bool), get("unit")[0], get("banded")[0]
         bands = np.stack(get("bands"))
         h, o = distinct_in(*shingles(table.column("text"), n))
         words, ids = np.unique(h, return_inverse=True)
@@ -126,8 +126,9 @@ def _confirm_blocks(n: int, num: int, den: int):
         a, b = [], []
         for q in np.flatnonzero(query):
             same = bands[members] == bands[q]
-            first = bands[q][same.argmax(axis=1)] == bucket
-            go = np.flatnonzero(same.any(axis=1) & first & (label[members] != label[q]) & ~(outside & (node[members] < node[q])))
+            # a pair that shares several buckets is compared in the first of them
+            here = bands[q][same.argmax(axis=1)] == bucket if banded else True
+            go = np.flatnonzero(same.any(axis=1) & here & (label[members] != label[q]) & ~(outside & (node[members] < node[q])))
             if not len(go):
                 continue
             own = ids[o[q] : o[q + 1]]
@@ -184,25 +185,38 @@ def _links(rows: DataFrame, sigs: DataFrame, buckets: DataFrame, n: int, num: in
     found = rows.withColumn("rep", rep).join(weight.select("node", "rep"), ["rep", "node"], "left_semi").dropDuplicates(["rep", "node"])
     texts = staged(found.select("node", "text"), "texts")
     best = buckets.select("key", "node").join(weight.select("node", "w"), "node").groupBy("key").agg(F.max(F.struct("w", "node"))["node"].alias("a"))
-    pairs = buckets.select("key", F.col("node").alias("b")).join(best, "key").where("a != b").select("a", "b").distinct()
+    pairs = staged(buckets.select("key", F.col("node").alias("b")).join(best, "key").where("a != b").select("a", "b").distinct(), "pairs")
     sided = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     first = staged(map_text(sided.select("a", "b", "ta", "tb"), "a long, b long", _confirm(n, num, den), text="ta"), "links")
     labels = connected_components(first)
     named = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     per = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     open_ = per.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
-    open_ = open_.select("key", F.col("top.label").alias("major"), F.ceil((F.col("all") - F.col("top.n")) / QUERY_BLOCK).cast("int").alias("nq"), F.ceil(F.col("all") / MEMBER_BLOCK).cast("int").alias("nm"))
+    open_ = open_.select("key", F.col("top.label").alias("b_major"), (F.col("all") - F.col("top.n")).alias("b_asks"), F.col("all").alias("b_all"))
     left = Observation()
-    rest = staged(named.join(open_, "key").withColumn("outside", F.col("label") != F.col("major")).observe(left, F.count("*").alias("n")), "open")
+    rest = staged(named.join(open_, "key").observe(left, F.count("*").alias("n")), "open")
     if not left.get["n"]:
         return first
+    # all buckets that hang together, as one unit: each text is sent once, where that costs few more comparisons
+    groups = connected_components(pairs)
+    placed = rest.join(groups.select("node", F.col("label").alias("grp")), "node")
+    inside = placed.select("grp", "node", "label").distinct()
+    tops = inside.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"))
+    tops = tops.select("grp", "all", (F.col("all") - F.col("top.n")).alias("asks"), F.col("top.label").alias("major"))
+    by_bucket = placed.select("grp", "key", (F.col("b_all") * F.col("b_asks")).alias("c")).distinct().groupBy("grp").agg(F.sum("c").alias("cost"))
+    tops = tops.join(by_bucket, "grp").withColumn("whole", F.col("all") * F.col("asks") <= 4 * F.col("cost"))
+    tops = staged(tops.select("grp", "all", "asks", "major", "whole"), "units")
+    one = inside.join(tops.where("whole"), "grp").select(F.col("grp").alias("unit"), "node", "label", "major", "all", "asks", F.lit(False).alias("banded"))
+    many = placed.join(tops.where("not whole").select("grp"), "grp", "left_semi").select(F.col("key").alias("unit"), "node", "label", F.col("b_major").alias("major"), F.col("b_all").alias("all"), F.col("b_asks").alias("asks"), F.lit(True).alias("banded"))
+    units = one.unionByName(many).withColumn("outside", F.col("label") != F.col("major")).withColumn("nq", F.ceil(F.col("asks") / QUERY_BLOCK).cast("int")).withColumn("nm", F.ceil(F.col("all") / MEMBER_BLOCK).cast("int"))
+    units = staged(units.select("unit", "node", "label", "outside", "banded", "nq", "nm"), "blocks")
     spot = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    members = rest.select("key", "node", "label", "outside", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), spot("nm").alias("mb"))
-    asks = rest.where("outside").select("key", "node", "label", "outside", F.lit(True).alias("query"), spot("nq").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"))
+    members = units.select("unit", "node", "label", "outside", "banded", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), spot("nm").alias("mb"))
+    asks = units.where("outside").select("unit", "node", "label", "outside", "banded", F.lit(True).alias("query"), spot("nq").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"))
     signed = sigs.join(texts.select("node"), "node", "left_semi").groupBy("node").agg(F.first("bands").alias("bands"))
     known = texts.join(signed, "node")
     full = members.unionByName(asks).join(known, "node")
-    second = full.groupBy("key", "qb", "mb").applyInArrow(_confirm_blocks(n, num, den), "a long, b long").distinct()
+    second = full.groupBy("unit", "banded", "qb", "mb").applyInArrow(_confirm_blocks(n, num, den), "a long, b long").distinct()
     out = staged(first.unionByName(second), "links")
     drop_staged(labels)
     return out
