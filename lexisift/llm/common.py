@@ -7,6 +7,8 @@ buffer of an Arrow string column, so no Python string is made per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 2 << 20
 #: Rows of one vectorised step at most (keeps row numbers in 16 bits).
 STEP_ROWS = 8192
 
@@ -98,6 +100,13 @@ def steps(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         i = j
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a reused Python worker doesn't hold its peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_text(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text", setup: Callable[[], object] | None = None) -> DataFrame:
     """mapInArrow over bounded steps; with setup, fn also gets what it returned in the task."""
 
@@ -106,6 +115,7 @@ def map_text(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Recor
         for batch in batches:
             for part in steps(batch, text):
                 yield fn(part, state) if setup else fn(part)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -151,6 +161,8 @@ def spans(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.nda
     return starts, ends, np.searchsorted(starts, offs)
 
 
+#: Bytes up to which spans are hashed piece after piece.
+LONG_SPAN = 64
 _C1, _C2, _K = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MASK = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], dtype=np.uint64)
 
@@ -176,13 +188,20 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     h *= _C1
     h ^= view[starts] & _MASK[np.minimum(length, 8)]
     mix(h)
-    at, more = 8, np.flatnonzero(length > 8)
+    at, more = 8, np.flatnonzero((length > 8) & (length <= LONG_SPAN))
     while len(more):
         part = h[more] * _C1
         part ^= view[starts[more] + at] & _MASK[np.minimum(length[more] - at, 8)]
         h[more] = mix(part)
         at += 8
         more = more[length[more] > at]
+    big = np.flatnonzero(length > LONG_SPAN)
+    if len(big):  # all their pieces at once, each weighed by its place
+        n = (length[big] + 7) // 8
+        place = ranges(np.zeros(len(big), np.int64), n)
+        x = view[np.repeat(starts[big], n) + 8 * place] & _MASK[np.minimum(np.repeat(length[big], n) - 8 * place, 8)]
+        x ^= (place.astype(np.uint64) + np.uint64(1)) * _K
+        h[big] = mix(h[big] * _C1 + np.add.reduceat(mix(x * _C1), np.cumsum(n) - n))
     return h
 
 

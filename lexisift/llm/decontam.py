@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, byte_class, hash_spans, lists, mix, ranges, spans, steps, text_buffer
+from .common import LOWER, byte_class, give_back, hash_spans, lists, mix, ranges, spans, steps, text_buffer
 
 WINDOW = 13
 #: Share of hit words from which a document counts as contaminated: SHARE * n_hit >= n_words.
@@ -164,6 +164,7 @@ def _search(names: list[str], text: int, blocks, fresh: list[str]):
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_items)]).astype(np.int32)), pa.array(list(items), pa.string())),
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, *fresh])
+        give_back()
 
     return run
 

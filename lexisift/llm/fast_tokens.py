@@ -23,7 +23,7 @@ import pyarrow as pa
 from .common import NOT_SPACE, hash_spans, ranges, spans
 
 #: Segments that the cache of one worker holds at most (about 40 bytes each).
-CACHE_SEGMENTS = 1_500_000
+CACHE_SEGMENTS = 800_000
 
 _GPT2_PATTERN_USERS = ("ByteLevel",)
 #: Lead bytes of characters that may be white space beyond ASCII.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_class, hash_spans, mix, ranges, spans, steps, text_buffer
+from .common import byte_class, give_back, hash_spans, mix, ranges, spans, steps, text_buffer
 
 TRAIN_DOCS = 200
 BUCKETS = 1 << 15
@@ -273,6 +273,7 @@ def _predict(names: list[str], text: int, shared, added: list[str], runs: bool):
                 if runs:
                     new.append(_runs(chance, woffs, model.labels))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, *added])
+        give_back()
 
     return run
 

@@ -84,18 +84,21 @@ def _signatures(n: int):
 
 
 def overlap(ha: np.ndarray, oa: np.ndarray, hb: np.ndarray, ob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of intersection and union of the i-th sets."""
-    ha, oa = distinct_in(ha, oa)
-    hb, ob = distinct_in(hb, ob)
+    """Sizes of intersection and union of the i-th sets, whose members may be given more than once."""
     n = len(oa) - 1
-    row = np.concatenate([np.repeat(np.arange(n, dtype=np.uint16), np.diff(oa)), np.repeat(np.arange(n, dtype=np.uint16), np.diff(ob))])
+    rows = np.arange(n, dtype=np.uint16)
+    row = np.concatenate([np.repeat(rows, np.diff(oa)), np.repeat(rows, np.diff(ob))])
     h = np.concatenate([ha, hb])
-    order = np.argsort(h, kind="stable")
+    if not len(h):
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
+    side = np.ones(len(h), np.uint8)
+    side[len(ha) :] = 2
+    order = np.argsort(h)
     order = order[np.argsort(row[order], kind="stable")]
-    h, row = h[order], row[order]
-    same = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))
-    both = np.bincount(row[same], minlength=n)
-    return both, np.diff(oa) + np.diff(ob) - both
+    h, row, side = h[order], row[order], side[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]))
+    sides = np.bitwise_or.reduceat(side, first)
+    return np.bincount(row[first[sides == 3]], minlength=n), np.bincount(row[first], minlength=n)
 
 
 def _confirm(n: int, num: int, den: int):

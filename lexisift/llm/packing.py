@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, steps, text_buffer
+from .common import binaries, give_back, steps, text_buffer
 from .fast_tokens import encoder
 
 SIZE, OPEN_WINDOWS = 2048, 16
@@ -115,6 +115,7 @@ def pack_ids(size: int, open_windows: int, path: str, end_id: int):
         packer.finish()
         if packer.rows:
             yield packer.drain()
+        give_back()
 
     return run
 
