@@ -45,7 +45,8 @@ ENDINGS = {"en": "ing ed ly", "es": "ción mente", "fr": "ment tion", "de": "ung
 MORE_WORDS = {"es": "está gato mesa gusta comida buenos días cómo está usted hoy", "fr": "suis très content voir france beau pays comment allez-vous aujourd'hui", "de": "bin sehr glücklich heute deutschland schönes land wie geht ihnen"}
 LETTERS = {"es": "áéíóúüñ¿¡", "fr": "àâäéèêëïîôöùûüÿç", "de": "äöüß", "it": "àáèéìíîòóùúü", "pt": "áàâãéêíóôõúç"}
 PATTERN_WEIGHT, RATE_WEIGHT, SCRIPT_WEIGHT, LEAST, FALLBACK = 0.65, 0.10, 0.25, 0.08, 0.11
-_EDGE = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: A word border that knows only ASCII word characters.
+_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def prepared(c: Column) -> Column:
@@ -90,11 +91,11 @@ def rate_confidence(c: Column, rates: dict[str, dict[str, float]] = RATES) -> di
 
 
 def _alternatives(words: str) -> str:
-    return _EDGE[0] + "(?:" + "|".join(dict.fromkeys(words.split())) + ")" + _EDGE[1]
+    return _EDGE + "(?:" + "|".join(dict.fromkeys(words.split())) + ")" + _EDGE
 
 
 def patterns_of(lang: str) -> list[str]:
-    out = [_alternatives(WORDS[lang])] + [_EDGE[0] + f"[A-Za-z0-9_]+{e}" + _EDGE[1] for e in ENDINGS[lang].split()]
+    out = [_alternatives(WORDS[lang])] + [_EDGE + f"[A-Za-z0-9_]+{e}" + _EDGE for e in ENDINGS[lang].split()]
     if lang in MORE_WORDS:
         out.append(_alternatives(MORE_WORDS[lang]))
     if lang in LETTERS:

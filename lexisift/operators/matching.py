@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, similarity, split_words
+from ..functions.text import let, normalize, similarity, split_words
 from ..sources.lexicon import delete_variants
 
 PIECES = "[a-z0-9]+|[^a-z0-9]+"
+#: First tokens of surfaces that one pass holds.
+FIRST_TOKENS = 20_000
 MATCH = "struct<word:string,match:string,start:int,end:int,severity:int,categories:array<string>,language:string,confidence:double,distance:int>"
 
 # Default exceptions.
@@ -30,33 +32,44 @@ def normalized(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """A row per token: idx (number among the pieces), token; the pieces stay beside it."""
-    pieces = docs.withColumn("pieces", F.regexp_extract_all("norm", F.lit(PIECES), F.lit(0)))
-    return pieces.select("*", F.posexplode("pieces").alias("idx", "token")).where(F.col("token").rlike("^[a-z0-9]"))
-
-
-def start_of(pieces: str = "pieces", idx: str = "idx") -> Column:
-    """Where a piece starts; only asked for hits, so the sum is rare."""
-    return F.aggregate(F.slice(pieces, F.lit(1), F.col(idx)), F.lit(0), lambda a, p: a + F.length(p))
+    """A row per token: doc_id, idx (number among the pieces), token; no text is carried along."""
+    pieces = F.regexp_extract_all("norm", F.lit(PIECES), F.lit(0))
+    return docs.select("doc_id", F.posexplode(pieces).alias("idx", "token")).where(F.col("token").rlike("^[a-z0-9]"))
 
 
 def exact_hits(docs: DataFrame, lexicon: DataFrame, same_language: str | None = None) -> DataFrame:
     """A row per exact occurrence of a surface between non-alphanumeric neighbours, phrases included.
 
-    Tokens meet the lexicon by their first token (a broadcast where Spark finds the lexicon small);
-    the rest of the surface and the end border are checked on the joined rows."""
+    A document's tokens are held against the set of the surfaces' first tokens inside its row, so only
+    hits leave it, with their place and the text ahead; those meet the lexicon by an equi-join on the
+    first token, and the rest of the surface and its end are checked on the joined rows.  First tokens
+    are sent in blocks of at most FIRST_TOKENS."""
     lex = lexicon.where(F.col("surface_norm").rlike("^[a-z0-9]")).withColumn("first", F.regexp_extract("surface_norm", "^[a-z0-9]+", 0))
-    lex = lex.select("lang", "surface_norm", "term", "is_variation", "severity", "categories", "base_conf", "first").withColumnRenamed("lang", "language")
+    lex = lex.select(F.col("lang").alias("language"), "surface_norm", "term", "is_variation", "severity", "categories", "base_conf", "first")
+    known = sorted({r["first"] for r in lex.select("first", "surface_norm").distinct().collect()})
+    longest = (lex.agg(F.max(F.size(F.split("surface_norm", "(?<=[a-z0-9])(?=[^a-z0-9])|(?<=[^a-z0-9])(?=[a-z0-9])")))).first()[0] or 1) + 1
+    out = None
+    for i in range(0, max(1, len(known)), FIRST_TOKENS):
+        part = _hits(docs, lex, known[i : i + FIRST_TOKENS], longest, same_language)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _hits(docs: DataFrame, lex: DataFrame, first: list[str], longest: int, same_language: str | None) -> DataFrame:
+    def placed(pieces: Column) -> Column:
+        found = F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: x["p"].isin(first or [""]))
+        start = lambda x: F.aggregate(F.slice(pieces, F.lit(1), x["i"]), F.lit(0), lambda a, p: a + F.length(p))
+        ahead = lambda x: F.array_join(F.slice(pieces, x["i"] + 1, F.lit(longest)), "")
+        return F.transform(found, lambda x: F.struct(x["p"].alias("token"), start(x).alias("start"), ahead(x).alias("ahead")))
+
+    hit = docs.withColumn("h", F.explode(let(F.regexp_extract_all("norm", F.lit(PIECES), F.lit(0)), placed)))
+    hit = hit.select("*", "h.token", "h.start", "h.ahead").drop("h")
     on = F.col("token") == F.col("first")
     if same_language:
         on = on & (F.col(same_language) == F.col("language"))
-    hit = tokens(docs).join(lex, on)
-    # the surface's text from this piece on: as many pieces as it has at most
-    ahead = F.array_join(F.slice("pieces", F.col("idx") + 1, F.length("surface_norm")), "")
-    n = F.length("surface_norm")
-    hit = hit.where(F.substring(ahead, F.lit(1), n) == F.col("surface_norm")).where(~F.substring(ahead, n + 1, F.lit(1)).rlike("[a-z0-9]"))
-    hit = hit.withColumn("start", start_of())
-    return hit.withColumn("end", F.col("start") + n).withColumn("word", F.col("surface_norm")).drop("pieces", "idx", "token", "first")
+    hit, n = hit.join(lex, on), F.length("surface_norm")
+    hit = hit.where(F.substring("ahead", F.lit(1), n) == F.col("surface_norm")).where(~F.substring("ahead", n + 1, F.lit(1)).rlike("[a-z0-9]"))
+    return hit.withColumn("end", F.col("start") + n).withColumn("word", F.col("surface_norm")).drop("ahead", "token", "first")
 
 
 def fuzzy_pairs(words: DataFrame, dictionary: DataFrame, distance: int = 1) -> DataFrame:
@@ -71,14 +84,12 @@ def fuzzy_pairs(words: DataFrame, dictionary: DataFrame, distance: int = 1) -> D
 
 
 def fuzzy_hits(docs: DataFrame, lexicon: DataFrame, distance: int = 1, least: int = 2) -> DataFrame:
-    """A row per token near a base word (not a variation), exact ones left out."""
+    """A row per token near a base word (not a variation), exact ones left out: doc_id, idx, token, the lexicon's columns."""
     t = tokens(docs).where(F.length("token") >= least)
     base = lexicon.where("not is_variation and n_tokens = 1").withColumn("surface", F.col("surface_norm"))
     pairs = fuzzy_pairs(t, base, distance).where("distance > 0")
     info = base.select("surface", F.col("lang").alias("language"), "term", "severity", "categories", "base_conf")
-    out = t.join(pairs, "token").join(info, "surface")
-    out = out.withColumn("start", start_of())
-    return out.withColumn("end", F.col("start") + F.length("token")).withColumn("word", F.col("token")).drop("pieces", "idx")
+    return t.join(pairs, "token").join(info, "surface")
 
 
 def similar_words(docs: DataFrame, patterns: DataFrame, threshold: float = 0.8, text: str = "text") -> DataFrame:
