@@ -34,9 +34,14 @@ def match_struct(confidence: Column | None = None) -> Column:
     return F.struct("word", F.col("term").alias("match"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "severity", "categories", "language", c.alias("confidence"), F.lit(0).alias("distance"))
 
 
+def in_order(m: Column) -> Column:
+    """A document's matches by start."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(m["start"].alias("s"), m["end"].alias("e"), m.alias("m")))), lambda x: x["m"])
+
+
 def with_matches(spark: SparkSession, sf: str, phrases: bool = True) -> DataFrame:
     """All documents with their array of hits; only hit rows are grouped and joined back."""
-    found = hits(spark, sf, phrases).select("doc_id", match_struct().alias("m")).groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("matches"))
+    found = hits(spark, sf, phrases).select("doc_id", match_struct().alias("m")).groupBy("doc_id").agg(in_order(F.col("m")).alias("matches"))
     empty = F.array().cast("array<" + matching.MATCH + ">")
     return normed(spark, sf).join(found, "doc_id", "left").withColumn("matches", F.coalesce("matches", empty))
 

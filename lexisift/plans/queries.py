@@ -410,7 +410,7 @@ def final_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored_docs(spark: SparkSession, sf: str) -> DataFrame:
     """All documents with their scored matches."""
-    found = _scored(spark, sf).select("doc_id", base.match_struct(F.col("final")).alias("m")).groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("matches"))
+    found = _scored(spark, sf).select("doc_id", base.match_struct(F.col("final")).alias("m")).groupBy("doc_id").agg(base.in_order(F.col("m")).alias("matches"))
     empty = F.array().cast("array<" + matching.MATCH + ">")
     return base.normed(spark, sf).join(found, "doc_id", "left").withColumn("matches", F.coalesce("matches", empty))
 
