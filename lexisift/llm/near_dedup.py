@@ -36,6 +36,8 @@ BANDS, ROWS = 28, 5
 #: Least similarity, as a fraction: 100 * intersection >= 80 * union.
 SIMILAR = (80, 100)
 QUERY_BLOCK, MEMBER_BLOCK = 512, 2048
+#: Rows of two numbers up to which the candidates' keys are sent to all executors.
+BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240607)
 _N = BANDS * ROWS // 2
@@ -185,7 +187,10 @@ def _links(rows: DataFrame, sigs: DataFrame, buckets: DataFrame, n: int, num: in
     weight = staged(weight, "weights")
     # the texts of the nodes that share a bucket, once
     rep = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    found = rows.withColumn("rep", rep).join(weight.select("node", "rep"), ["rep", "node"], "left_semi").dropDuplicates(["rep", "node"])
+    wanted = weight.select("node", "rep")
+    if weight.count() <= BROADCAST_ROWS:  # a table of two numbers a row; beyond that a shuffle join
+        wanted = F.broadcast(wanted)
+    found = rows.withColumn("rep", rep).join(wanted, ["rep", "node"], "left_semi").dropDuplicates(["rep", "node"])
     texts = staged(found.select("node", "text"), "texts")
     best = buckets.select("key", "node").join(weight.select("node", "w"), "node").groupBy("key").agg(F.max(F.struct("w", "node"))["node"].alias("a"))
     pairs = staged(buckets.select("key", F.col("node").alias("b")).join(best, "key").where("a != b").select("a", "b").distinct(), "pairs")
