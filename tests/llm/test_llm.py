@@ -231,6 +231,30 @@ def test_line_dedup(spark):
     assert got[4] is None and got[5] == "" and got[6] == "\n \n" and got[7] == "short" and 8 not in got
 
 
+def test_line_dedup_families(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(2):  # a stem in common (0.7), pairs that share half of the rest too (0.83)
+        stem = word(160)
+        for _ in range(60):
+            own = word(15)
+            lines += [f"{stem}{own}{word(14)}", f"{stem}{own}{word(14)}"]
+    rng.shuffle(lines)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(range(len(lines))), pa.array(lines)], names=["doc_id", "th", "text"])
+    hashes = line_dedup._lines(batch)[5].tolist()
+    bands = dict(zip(*line_dedup._bands(batch).to_pydict().values(), strict=True))
+    sets = [frozenset(x[i : i + line_dedup.SHINGLE] for i in range(len(x) - line_dedup.SHINGLE + 1)) for x in lines]
+    similar = [(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    shared = [(i, j) for i, j in similar if any(x == y for x, y in zip(bands[hashes[i]], bands[hashes[j]], strict=True))]
+    assert len(similar) >= 120 and len(shared) >= 0.95 * len(similar)
+    up = Sets(range(len(lines)))
+    for i, j in shared:
+        up.join(i, j)
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(frame(spark, lines)).collect()}
+    assert got == {i for i in range(len(lines)) if up.find(i) == i}
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     words = [f"t{i}" for i in range(50)]
