@@ -523,7 +523,10 @@ _CUSTOM = {"idiot": "[CUSTOM]", "th*": "[WILD]"}
 def _redacts(name: str, r: redaction.Redaction, piece: str | None) -> None:
     @query(name, _redacted_sql(piece) if piece else None)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        m = base.with_matches(spark, sf, phrases=False)
+        # the twins know single tokens only; without a twin phrases are redacted too
+        m = base.with_matches(spark, sf, phrases=piece is None)
+        if piece is None:
+            m = m.withColumn("matches", scoring.resolve_overlaps(F.col("matches")))
         return m.select("doc_id", redaction.redact(F.col("norm"), F.col("matches"), r).alias("filtered"))
 
 

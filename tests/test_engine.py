@@ -77,6 +77,17 @@ def test_redaction_goldens(spark, k):
     assert df.select(redaction.redact(F.col("text"), F.col("m"), r).alias("x")).first()["x"] == want
 
 
+def test_sentence_structure_redacts_phrases(spark, tmp_path):
+    from lexisift.plans.queries import QUERIES
+
+    texts = ["oh shut up now, idiot", "i will kill you", "good morning"]
+    d = docs(spark, *texts).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r["filtered"] for r in QUERIES["sentence_structure"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert "shut up" not in got[0] and "idiot" not in got[0]
+    assert "kill you" not in got[1] and got[1].lower().startswith("i will ") and got[2] == texts[2]
+
+
 def test_detector_end_to_end(spark):
     out = api.detect(docs(spark, "You are an idiot and scum!", "this is not an idiot", "good morning", None, "")).orderBy("doc_id").collect()
     assert [r["totalMatches"] for r in out] == [2, 0, 0, 0, 0]
