@@ -255,6 +255,21 @@ def test_line_dedup_families(spark):
     assert got == {i for i in range(len(lines)) if up.find(i) == i}
 
 
+def test_line_bands_meet():
+    n, perms = line_dedup._N, line_dedup._ORDER.reshape(line_dedup.BANDS, line_dedup.ROWS) % line_dedup._N
+    assert sorted(line_dedup._ORDER) == list(range(2 * n)) and all(len(set(b)) == line_dedup.ROWS for b in perms.tolist())
+    rng = random.Random(12)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    lines = []
+    for _ in range(2000):  # 193 shingles in common, 24 of each line alone: similarity 0.8
+        stem = word(200)
+        lines += [stem + word(24), stem + word(24)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(range(len(lines))), pa.array(lines)], names=["doc_id", "th", "text"])
+    keys = dict(zip(*line_dedup._bands(batch).to_pydict().values(), strict=True))
+    keys = [keys[h] for h in line_dedup._lines(batch)[5].tolist()]
+    assert sum(not set(a) & set(b) for a, b in zip(keys[::2], keys[1::2], strict=True)) <= 2
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     words = [f"t{i}" for i in range(50)]
