@@ -12,7 +12,8 @@ of at most BLOCK_PATTERNS windows; a larger benchmark is searched block by block
 once has a fixed bound.
 
 Defined cases: a null text has no words; items without words have no windows; equal windows of
-several items count for each item; repeated rows are judged each on their own; an empty benchmark
+several items count for each item; items whose item_id is null count as one item that is left out of the
+digest of ids; repeated rows are judged each on their own; an empty benchmark
 leaves every document clean; an empty table gives no rows; columns of the documents are passed through
 under their names by `clean_documents`, whatever they are.
 """
@@ -171,7 +172,7 @@ def _search(names: list[str], text: int, blocks, fresh: list[str]):
 
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[tuple[pa.Table, list[str]]]:
     """The items in blocks of at most BLOCK_PATTERNS windows (a single longer item is a block of its own)."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     held: list[tuple[str, str]] = []
     size = 0
     for r in rows.toLocalIterator():

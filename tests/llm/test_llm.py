@@ -287,6 +287,13 @@ def test_decontamination(spark):
     assert clean.columns == ["doc_id", "text", "n_words", "c0"] and {r["doc_id"] for r in clean.collect()} == {*range(n), n + 2}
 
 
+def test_decontamination_null_item_id(spark):
+    bench = spark.createDataFrame([(None, "one two three four"), (None, "five six"), (7, "seven eight nine")], "item_id long, text string")
+    got = {r["c0"]: r for r in decontam._judged(decontam.find_contamination(frame(spark, ["one two three four five six", "seven eight nine five six", "none"]), bench)).collect()}
+    assert [got[i]["n_hit"] for i in range(3)] == [6, 5, 0] and [got[i]["contaminated"] for i in range(3)] == [True, True, False]
+    assert [got[i]["items"] for i in range(3)] == [[None], ["7", None], []]
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
