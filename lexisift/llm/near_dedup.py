@@ -16,7 +16,8 @@ pair of similarity 0.8 is missed with probability 2e-5.
 
 Defined cases: texts without words (null, empty, white space) have empty sets and link with nothing;
 equal texts with words are linked; rows with a null doc_id take part, count as no smallest doc_id,
-and are kept only where a component has no other id; repeated rows share their component; an empty
+and are kept only where a component has no other id; where several texts of a component have its least
+doc_id, or none has one, that with the least node is kept; repeated rows share their component; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -171,14 +172,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similar: tuple[int,
         drop_staged(buckets)
         joined = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
         joined = staged(joined, "components")
-        least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-        joined = joined.join(least, "label").select("node", "component_id")
+        first = joined.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("node"))).alias("first"))
+        first = first.select("label", F.col("first.least").alias("component_id"), F.col("first.node").alias("keeper"))
+        joined = joined.join(first, "label").select("node", "component_id", "keeper")
     else:
-        joined = nodes.select("node", F.col("least").alias("component_id"))
+        joined = nodes.select("node", F.col("least").alias("component_id"), F.col("node").alias("keeper"))
     alone = F.col("n_shingles") == 0
     out = sigs.select("doc_id", "node", "n_shingles").join(joined, "node", "left")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "node", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = alone | (F.col("node") == F.col("keeper")) & F.col("doc_id").eqNullSafe(component)
+    return out.select("doc_id", "node", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def _links(rows: DataFrame, sigs: DataFrame, buckets: DataFrame, n: int, num: int, den: int) -> DataFrame:

@@ -83,6 +83,15 @@ def test_near_duplicates(spark):
     assert kept.columns == ["doc_id", "text", "n_words", "c0"] and {r["doc_id"] for r in kept.collect()} == {i for i in range(len(s)) if sets.find(i) == i}
 
 
+def test_near_duplicates_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(200)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (20, 90, 160)]
+    far = [" ".join([*[f"v{i}" for i in range(k)], "else", *[f"v{i}" for i in range(k + 1, 200)]]) for k in (20, 90, 160)]
+    rows = [(None, near[0]), (None, near[1]), (None, near[2]), (None, near[2]), (5, far[0]), (5, far[1]), (5, far[2]), (None, far[0])]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(kept) == 2 and {r["doc_id"] for r in kept} == {None, 5}
+
+
 def test_dac_round_trip():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 1 << 20, 5000).astype(np.uint32)
