@@ -254,7 +254,7 @@ def label_words(col: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return forward_backward(model.scores(buf, starts, ends), model.trans, woffs), woffs
 
 
-def _predict(names: list[str], text: int, shared, added: list[str], runs: bool):
+def _predict(names: list[str], text: int, shared, added: list[str], runs: bool, sure: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -272,6 +272,11 @@ def _predict(names: list[str], text: int, shared, added: list[str], runs: bool):
                 new = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
                 if runs:
                     new.append(_runs(chance, woffs, model.labels))
+                if sure:
+                    mean = np.zeros(part.num_rows)
+                    if len(some):
+                        mean[some] = np.add.reduceat(chance.max(axis=1), woffs[:-1][some]) / n[some]
+                    new.append(pa.array(np.where(letters, mean, 0.0)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, *added])
         give_back()
 
@@ -291,25 +296,29 @@ def _runs(chance: np.ndarray, woffs: np.ndarray, labels: list[str]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(woffs) - 1))]).astype(np.int32)), values)
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str] | None = None, runs: bool = False) -> DataFrame:
-    """The given columns as c0, c1, ... (at first doc_id), lang_pred, score, and with runs the labelled runs of words."""
+def predict(docs: DataFrame, model: Model, columns: list[str] | None = None, runs: bool = False, sure: bool = False) -> DataFrame:
+    """The given columns as c0, c1, ... (at first doc_id), lang_pred, score, and with runs the labelled runs of words,
+    with sure the mean of each word's best chance."""
     columns = ["doc_id"] if columns is None else columns
     k = len(columns)
     text = docs["text"].cast("string")
     source = docs.select(*[docs[c] for c in columns], text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False))).toDF(*[f"c{i}" for i in range(k)], "text", "letters")
-    added = ["lang_pred", "score"] + ["runs"] * runs
+    added = ["lang_pred", "score"] + ["runs"] * runs + ["sure"] * sure
     schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if runs:
         run = T.StructType([T.StructField("lang", T.StringType()), T.StructField("first", T.LongType()), T.StructField("words", T.LongType())])
         schema = schema.add("runs", T.ArrayType(run))
-    out = source.mapInArrow(_predict(source.columns, k, docs.sparkSession.sparkContext.broadcast(model), added, runs), schema)
+    if sure:
+        schema = schema.add("sure", T.DoubleType())
+    out = source.mapInArrow(_predict(source.columns, k, docs.sparkSession.sparkContext.broadcast(model), added, runs, sure), schema)
     return out.drop("text", "letters")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents whose language is known with at least that score, with all their columns."""
+    """The documents whose words' languages are known with at least that mean chance, whether one language or
+    several in turn, with all their columns."""
     columns = docs.columns
-    out = predict(docs, model, columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    out = predict(docs, model, columns, sure=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("sure") >= least))
     return out.select(*[F.col(f"c{i}") for i in range(len(columns))]).toDF(*columns)
 
 

@@ -200,6 +200,16 @@ def test_language_id_held_out(spark):
     assert language_id.predict(frame(spark, ["abc"]), language_id.train(frame(spark, []).withColumn("lang", F.lit("x")))).first()["lang_pred"] == "und"
 
 
+def test_mixed_text_is_kept(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = {x: d.where((F.col("lang") == x) & (F.size(F.split("text", " ")) > 120)).orderBy("doc_id").first()["text"].split()[:100] for x in ("en", "fr", "de", "es")}
+    mixed = " ".join(w for k in range(0, 100, 10) for x in words for w in words[x][k : k + 10])
+    model = language_id.train(d)
+    assert language_id.predict(frame(spark, [mixed]), model).first()["score"] < language_id.LEAST_SCORE
+    got = {r["doc_id"] for r in language_id.keep_known(frame(spark, [mixed, " ".join(words["en"]), None, "12 ..."], True), model).collect()}
+    assert got == {0, 1}
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
