@@ -250,6 +250,35 @@ def test_line_dedup(spark):
     assert got[4] is None and got[5] == "" and got[6] == "\n \n" and got[7] == "short" and 8 not in got
 
 
+def line_sets(lines):
+    n = line_dedup.SHINGLE
+    return [frozenset(x[i : i + n] for i in range(max(len(x) - n, 0) + 1)) for x in lines]
+
+
+def brute_components(lines):
+    """The similar pairs and the components they make."""
+    sets, up = line_sets(lines), Sets(range(len(lines)))
+    similar = [(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for i, j in similar:
+        up.join(i, j)
+    return similar, up
+
+
+def check_line_components(spark, lines, least):
+    """Found components are parts of the true ones, and hold at least the given share of the similar pairs."""
+    similar, up = brute_components(lines)
+    docs = frame(spark, lines)
+    labels = {r["node"]: r["label"] for r in line_dedup.line_components(docs).collect()}
+    h = {r["doc_id"]: r["h"] for r in line_dedup.lines_of(docs).collect()}
+    got = [labels.get(h[i], h[i]) for i in range(len(lines))]
+    for i in range(len(lines)):
+        for j in range(i):
+            assert got[i] != got[j] or up.find(i) == up.find(j)
+    together = sum(got[i] == got[j] for i, j in similar)
+    assert together >= least * len(similar), (together, len(similar))
+    return similar
+
+
 def test_line_dedup_families(spark):
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
@@ -260,33 +289,64 @@ def test_line_dedup_families(spark):
             own = word(15)
             lines += [f"{stem}{own}{word(14)}", f"{stem}{own}{word(14)}"]
     rng.shuffle(lines)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(range(len(lines))), pa.array(lines)], names=["doc_id", "th", "text"])
-    hashes = line_dedup._lines(batch)[5].tolist()
-    bands = dict(zip(*line_dedup._bands(batch).to_pydict().values(), strict=True))
-    sets = [frozenset(x[i : i + line_dedup.SHINGLE] for i in range(len(x) - line_dedup.SHINGLE + 1)) for x in lines]
-    similar = [(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
-    shared = [(i, j) for i, j in similar if any(x == y for x, y in zip(bands[hashes[i]], bands[hashes[j]], strict=True))]
-    assert len(similar) >= 120 and len(shared) >= 0.95 * len(similar)
-    up = Sets(range(len(lines)))
-    for i, j in shared:
-        up.join(i, j)
-    got = {r["doc_id"] for r in line_dedup.dedup_lines(frame(spark, lines)).collect()}
-    assert got == {i for i in range(len(lines)) if up.find(i) == i}
+    assert len(check_line_components(spark, lines, 0.97)) >= 120
 
 
-def test_line_bands_meet():
-    n, perms = line_dedup._N, line_dedup._ORDER.reshape(line_dedup.BANDS, line_dedup.ROWS) % line_dedup._N
-    assert sorted(line_dedup._ORDER) == list(range(2 * n)) and all(len(set(b)) == line_dedup.ROWS for b in perms.tolist())
+def test_line_dedup_planted_groups(spark):
+    rng = random.Random(17)
+    vocab = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    lines = []
+    for _ in range(6):
+        base = [rng.choice(vocab) for _ in range(30)]
+        for _ in range(100):
+            w = list(base)
+            for k in rng.sample(range(30), rng.randint(0, 4)):
+                w[k] = rng.choice(vocab)
+            lines.append(" ".join(w))
+    assert len(check_line_components(spark, list(dict.fromkeys(lines)), 0.98)) > 300
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Every dropped place, on real documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["text"] is not None)
+    places = [(d, k, x) for d, t in rows for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+    lines = sorted({x for _, _, x in places})
+    _, up = brute_components(lines)
+    name, seen, want = {x: up.find(i) for i, x in enumerate(lines)}, set(), {}
+    for d, k, x in places:
+        if name[x] in seen:
+            want.setdefault(d, []).append(k)
+        seen.add(name[x])
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.duplicate_lines(docs).collect()}
+    assert want and got == want
+
+
+def test_line_dedup_defined_cases(spark):
+    empty = line_dedup.dedup_lines(frame(spark, []))
+    assert empty.columns == ["doc_id", "text"] and empty.count() == 0
+    long = " ".join(f"w{i}" for i in range(40_000))
+    near = long.replace("w20000 ", "other ")
+    rows = [(1, long), (2, near), (None, "a line that stands twice"), (3, "a line that stands twice"), (4, "same same same"), (4, "same same same"), (5, "\n\n"), (6, "é à ñ ü ö"), (7, "é à ñ ü ö")]
+    got = [(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[4], rows[5], rows[6], rows[7]], key=str)
+
+
+def test_line_bands_meet(spark):
+    bases = [{s % line_dedup.PERMUTATIONS % line_dedup.BASES for s in b} for b in line_dedup._ORDER]
+    assert sorted(s for b in line_dedup._ORDER for s in b) == list(range(2 * line_dedup.PERMUTATIONS))
+    assert all(len({s % line_dedup.PERMUTATIONS for s in b}) == line_dedup.ROWS for b in line_dedup._ORDER) and all(len(b) == line_dedup.BASES for b in bases)
     rng = random.Random(12)
     word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
     lines = []
-    for _ in range(2000):  # 193 shingles in common, 24 of each line alone: similarity 0.8
-        stem = word(200)
-        lines += [stem + word(24), stem + word(24)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(range(len(lines))), pa.array(lines)], names=["doc_id", "th", "text"])
-    keys = dict(zip(*line_dedup._bands(batch).to_pydict().values(), strict=True))
-    keys = [keys[h] for h in line_dedup._lines(batch)[5].tolist()]
-    assert sum(not set(a) & set(b) for a, b in zip(keys[::2], keys[1::2], strict=True)) <= 2
+    for _ in range(1500):  # 73 shingles in common, 9 of each line alone: similarity 0.8
+        stem = word(80)
+        lines += [stem + word(9), stem + word(9)]
+    docs = frame(spark, lines)
+    keys = {r["h"]: r["keys"] for r in line_dedup.band_keys(line_dedup.lines_of(docs).select("h", "line")).collect()}
+    h = {r["doc_id"]: r["h"] for r in line_dedup.lines_of(docs).collect()}
+    missed = sum(not set(keys[h[i]]) & set(keys[h[i + 1]]) for i in range(0, len(lines), 2))
+    assert missed <= 3
 
 
 def test_decontamination(spark):
