@@ -13,7 +13,7 @@ once has a fixed bound.
 
 Defined cases: a null text has no words; items without words have no windows; equal windows of
 several items count for each item; items whose item_id is null count as one item that is left out of the
-digest of ids; repeated rows are judged each on their own; an empty benchmark
+digest of ids; very long texts are searched whole, in lanes; repeated rows are judged each on their own; an empty benchmark
 leaves every document clean; an empty table gives no rows; columns of the documents are passed through
 under their names by `clean_documents`, whatever they are.
 """
@@ -215,10 +215,16 @@ def _judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", _hit_words()).withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
+def _passage(words: int) -> "F.Column":
+    """Whether some run of hit words in a row has so many words."""
+    return F.exists(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.get("runs", i + 1) - F.get("runs", i) >= words)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, passage: int = WINDOW) -> DataFrame:
+    """The documents that are not contaminated and hold no run of `passage` hit words, however long they are, with all their columns."""
     columns = docs.columns
-    found = _judged(find_contamination(docs, benchmark, columns)).where(~F.col("contaminated"))
+    held = F.when(F.size("runs") > 0, _passage(passage)).otherwise(F.lit(False))
+    found = _judged(find_contamination(docs, benchmark, columns)).where(~F.col("contaminated") & ~held)
     return found.select(*[F.col(f"c{i}") for i in range(len(columns))]).toDF(*columns)
 
 

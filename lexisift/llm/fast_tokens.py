@@ -9,6 +9,10 @@ its segments in a row.  Two rules for such cuts are known:
   either joins the next token (a blank) or is a token of its own (any other), so a cut before a
   blank, or before and after another one, is always a token border.
 
+Strings of special tokens in a text, such as ``<|endoftext|>``, are ordinary text by default, as the note on
+the tokenizer files has it (``encode_special_tokens``); with `specials=True` they become their ids,
+as a tokenizer left at its defaults gives, and texts that hold one are encoded whole.
+
 The segments of a step are told apart by a 64-bit hash of their bytes; a bounded cache keeps the ids
 of segments met before in the same Python worker.
 """
@@ -19,8 +23,9 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import NOT_SPACE, hash_spans, ranges, spans
+from .common import NOT_SPACE, hash_spans, ranges, spans, text_buffer
 
 #: Segments that the cache of one worker holds at most (about 40 bytes each).
 CACHE_SEGMENTS = 800_000
@@ -69,11 +74,12 @@ def cuts_gpt2(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Encoder:
     """Encodes Arrow string columns to flat ids and offsets."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not specials
+        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.special] if specials else []
         self.rule = rule_of(path)
         self.clear()
 
@@ -95,6 +101,28 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the offsets of each text's ids."""
+        if self.specials:
+            col = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(buf.tobytes())])
+            held = np.zeros(len(col), bool)
+            for x in self.specials:
+                held |= pc.match_substring(col, x, ignore_case=True).to_numpy(zero_copy_only=False)
+            if held.any():
+                return self._mixed(col, held)
+        return self._cut(buf, offs)
+
+    def _mixed(self, col: pa.Array, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that hold a special token are encoded whole, the others by segments."""
+        whole, counts = self._raw(col.filter(pa.array(held)).to_pylist())
+        cut, at = self._cut(*text_buffer(col.filter(pa.array(~held))))
+        n = np.empty(len(col), np.int64)
+        n[held], n[~held] = counts, np.diff(at)
+        offs = np.concatenate([[0], np.cumsum(n)])
+        ids = np.empty(offs[-1], np.uint32)
+        ids[ranges(offs[:-1][held], n[held])] = whole
+        ids[ranges(offs[:-1][~held], n[~held])] = cut
+        return ids, offs
+
+    def _cut(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.rule == "text":
             ids, counts = self._raw([buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:], strict=True)])
             return ids, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
@@ -133,11 +161,11 @@ class Encoder:
         return out, ends_at[soffs]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, specials: bool = False) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, specials) not in _ENCODERS:
+        _ENCODERS[path, specials] = Encoder(path, specials)
+    return _ENCODERS[path, specials]

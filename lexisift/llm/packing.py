@@ -9,7 +9,8 @@ full windows, and the last odd ids into windows of powers of two, which need no
 No shuffle and no state beyond `open_windows * size` ids per task.  A window's id is made of the
 partition's number and a counter, so a repeated task gives the same rows.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are packed each on their own;
+Defined cases: a null or empty text is the end id alone; a very long text is cut into whole windows and a rest;
+of open windows with equal room the first takes a piece; repeated rows are packed each on their own;
 a null doc_id stays null; an empty table gives no rows; other columns are ignored.
 """
 
@@ -95,9 +96,9 @@ class Packer:
         return pa.RecordBatch.from_arrays([col(0), col(1), pa.array(sizes, pa.int64()), ids, col(3), col(4), col(5)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack_ids(size: int, open_windows: int, path: str, end_id: int):
+def pack_ids(size: int, open_windows: int, path: str, end_id: int, specials: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer = encoder(path), Packer(size, open_windows, TaskContext.get().partitionId() << 36)
+        enc, packer = encoder(path, specials), Packer(size, open_windows, TaskContext.get().partitionId() << 36)
         for batch in batches:
             for part in steps(batch, "text"):
                 ids, offs = enc.encode(*text_buffer(part.column(1)))
@@ -120,12 +121,13 @@ def pack_ids(size: int, open_windows: int, path: str, end_id: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, open_windows: int = OPEN_WINDOWS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, open_windows: int = OPEN_WINDOWS, specials: bool = False) -> DataFrame:
     """A row per piece: doc_id, start (ids of its document before it), length, ids (little-endian
-    unsigned 32-bit), doc_tokens (with the end id), sequence_id, offset (in the window)."""
+    unsigned 32-bit), doc_tokens (with the end id), sequence_id, offset (in the window).  With `specials`,
+    strings of special tokens in a text become their ids."""
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack_ids(size, open_windows, tokenizer, end_id), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack_ids(size, open_windows, tokenizer, end_id, specials), SCHEMA)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -181,9 +181,9 @@ class TokenFile:
 # ---------------------------------------------------------------- data sets
 
 
-def _write(folder: str, path: str, end_id: int):
+def _write(folder: str, path: str, end_id: int, specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer = encoder(path), None
+        enc, writer = encoder(path, specials), None
         for batch in batches:
             for part in steps(batch, "text"):
                 writer = writer or _Writer(folder, TaskContext.get().partitionId())
@@ -202,11 +202,11 @@ def _write(folder: str, path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
-    """Writes the data set in ascending doc_id order; returns its manifest."""
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, specials: bool = False) -> DataFrame:
+    """Writes the data set in ascending doc_id order; returns its manifest.  With `specials`, strings of special tokens become their ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange(n_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(_write(folder, tokenizer, end_id), MANIFEST).write.parquet(f"{folder}/manifest")
+    ranged.mapInArrow(_write(folder, tokenizer, end_id, specials), MANIFEST).write.parquet(f"{folder}/manifest")
     return manifest(docs.sparkSession, folder)
 
 

@@ -2,18 +2,19 @@
 
 Archives are gzip members, one a record.  Of pages with equal payloads the one with the largest
 page_id is a `response`, the others are `revisit` records that refer to it.  The capture index sorts
-reversed-host URL keys into compressed blocks of BLOCK_LINES lines; a sparse directory holds each
-block's first key and place, with a table of fixed-width positions, so it is searched by bisection
-over range reads and never loaded whole.  A capture is fetched by bisecting the directory, reading
-one block, and one range read of the archive.
+reversed-host URL keys into compressed blocks of BLOCK_LINES lines, in parts by ranges of keys; each
+part's sparse directory holds its blocks' first keys and places, with a table of fixed-width positions, so
+it is searched by bisection over range reads and never loaded whole.  A top list has the first key and
+the directory of each part, a row for each; parts follow spark.sql.shuffle.partitions.  A capture is
+fetched by bisecting the top list and a directory, reading one block, and one range read of the archive.
 
 Files are written under names of their own by each task attempt; only the files that the committed
-tables of captures and blocks name are ever read, so lost executors leave nothing wrong behind.
+tables of captures and parts name are ever read, so lost executors leave nothing wrong behind.
 
 Defined cases: a null html is an empty payload; payloads shorter than `least_bytes` are never
 revisits; a null URL has the key "-"; rows with one page_id and equal payloads that hold the largest
-page_id are all responses; a null page_id counts as the least; an empty table gives no archive; other
-columns are ignored.
+page_id are all responses; a null page_id counts as the least; a very long payload is one record; repeated rows are records of
+their own; an empty table gives an archive without parts, in which nothing is found; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ BLOCK_LINES = 1000
 LEVEL = 4
 CAPTURED = "1970-01-01T00:00:00Z"
 CAPTURES = "key string, page_id long, file string, offset long, length long"
-BLOCKS = "part int, first string, file string, offset long, length long, lines long"
+PARTS = "part int, first string, directory string, blocks long, lines long"
 RECORDS = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
 
@@ -168,48 +169,39 @@ def _write_archives(folder: str):
     return run
 
 
-def _write_blocks(folder: str):
-    """Sorted captures to compressed blocks; a row for each block."""
+def _write_index(folder: str, block_lines: int):
+    """Sorted captures to compressed blocks and their sparse directory; a row for each part.
+
+    A directory holds its entries in order, then the fixed-width positions of all, then their number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = None, []
+        out, directory, first, at, held, lines = None, None, None, [], [], 0
 
-        def flush():
-            at, n = out.put(zlib.compress("\n".join(json.dumps(r) for r in held).encode(), 6))
-            return {"part": TaskContext.get().partitionId(), "first": held[0][0], "file": out.name, "offset": at, "length": n, "lines": len(held)}
+        def flush() -> None:
+            start, n = out.put(zlib.compress("\n".join(json.dumps(r) for r in held).encode(), 6))
+            at.append(directory.put(json.dumps([held[0][0], out.name, start, n]).encode())[0])
 
         for batch in batches:
-            rows = []
-            out = out or _Out(folder, "cdx")
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None:
+                    out, directory, first = _Out(folder, "cdx"), _Out(folder, "dir"), r[0]
                 held.append(list(r))
-                if len(held) == BLOCK_LINES:
-                    rows.append(flush())
+                lines += 1
+                if len(held) == block_lines:
+                    flush()
                     held = []
-            if rows:
-                yield _batch(rows, BLOCKS)
+        if out is None:
+            return
         if held:
-            yield _batch([flush()], BLOCKS)
-        if out:
-            out.close()
-
-    return run
-
-
-def _write_directory(folder: str, name: str):
-    """The sparse directory: entries in order, then the fixed-width positions of all, then their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Out(folder, "dir")
-        at = []
-        for batch in batches:
-            for r in batch.to_pylist():
-                at.append(out.put(json.dumps([r["first"], r["file"], r["offset"], r["length"]]).encode())[0])
-        at.append(out.pos)
-        out.put(b"".join(x.to_bytes(8, "little") for x in at))
-        out.put((len(at) - 1).to_bytes(8, "little"))
+            flush()
+        blocks = len(at)
+        at.append(directory.pos)
+        directory.put(b"".join(x.to_bytes(8, "little") for x in at))
+        directory.put(blocks.to_bytes(8, "little"))
+        directory.close()
         out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([out.name])], names=["file"])
+        yield _batch([{"part": TaskContext.get().partitionId(), "first": first, "directory": directory.name, "blocks": blocks, "lines": lines}], PARTS)
 
     return run
 
@@ -247,38 +239,59 @@ class Directory:
         return [json.loads(x) for x in zlib.decompress(self.files.read(file, offset, length)).decode().split("\n")]
 
 
+class TopList:
+    """The parts in the order of their first keys, and their directories as they are needed."""
+
+    def __init__(self, folder: str, parts: list[tuple[str, str]]) -> None:
+        self.folder, self.parts, self.firsts = folder, parts, [first for first, _ in parts]
+        self.known: dict[int, Directory] = {}
+
+    def directory(self, part: int) -> Directory:
+        if part not in self.known:
+            if len(self.known) >= 64:
+                self.known.clear()
+            self.known[part] = Directory(self.folder, self.parts[part][1])
+        return self.known[part]
+
+    def blocks(self, key: str) -> list[tuple[int, int]]:
+        """(part, block) of all that may hold the key."""
+        parts = range(max(0, bisect.bisect_left(self.firsts, key) - 1), bisect.bisect_right(self.firsts, key))
+        return [(p, i) for p in parts for i in self.directory(p).blocks(key)]
+
+
 class Archive:
     """A written archive folder: whole or by URL."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        self.directory = spark.read.schema("file string").parquet(f"{folder}/directory").first()["file"]
+        rows = spark.read.schema(PARTS).parquet(f"{folder}/parts").select("part", "first", "directory").collect()  # a row for each shuffle partition at most
+        self.parts = [(r["first"], r["directory"]) for r in sorted(rows, key=lambda r: r["part"])]
 
     def fetch(self, url: str) -> list[dict]:
         """All captures of one URL."""
-        d, files, key = Directory(f"{self.folder}/index", self.directory), _In(f"{self.folder}/warc"), url_key(url)
-        return [parse(files.read(r[2], r[3], r[4])) for i in d.blocks(key) for r in d.lines(i) if r[0] == key]
+        top, files, key = TopList(f"{self.folder}/index", self.parts), _In(f"{self.folder}/warc"), url_key(url)
+        return [parse(files.read(r[2], r[3], r[4])) for p, i in top.blocks(key) for r in top.directory(p).lines(i) if r[0] == key]
 
     def fetch_all(self, urls: DataFrame) -> DataFrame:
         """The captures of all URLs of a one-column table: keys, then blocks, then records, each dealt out anew."""
-        folder, name = self.folder, self.directory
+        folder, parts = self.folder, self.spark.sparkContext.broadcast(self.parts)
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            d = Directory(f"{folder}/index", name)
+            top = TopList(f"{folder}/index", parts.value)
             for batch in batches:
-                got = [(k, i) for k in batch.column(0).to_pylist() for i in d.blocks(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([i for _, i in got], pa.int64())], names=["key", "block"])
+                got = [(k, p, i) for k in batch.column(0).to_pylist() for p, i in top.blocks(k)]
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int64())], names=["key", "part", "block"])
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            d, files = Directory(f"{folder}/index", name), _In(f"{folder}/warc")
+            top, files = TopList(f"{folder}/index", parts.value), _In(f"{folder}/warc")
             for batch in batches:
-                for block, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for part, block, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     wanted, rows, size = set(wanted), [], 0
-                    for r in d.lines(block):
+                    for r in top.directory(part).lines(block):
                         if r[0] in wanted:
                             rows.append(parse(files.read(r[2], r[3], r[4])))
                             size += rows[-1]["payload_bytes"]
@@ -289,12 +302,12 @@ class Archive:
                         yield _batch(rows, RECORDS)
 
         n = n_partitions(self.spark)
-        wanted = urls.mapInArrow(keys, "key string").distinct().mapInArrow(find, "key string, block long")
-        blocks = wanted.groupBy("block").agg(F.collect_set("key").alias("keys"))  # at most BLOCK_LINES keys match a block
-        return blocks.repartition(n, "block").mapInArrow(fetch, RECORDS)
+        wanted = urls.mapInArrow(keys, "key string").distinct().mapInArrow(find, "key string, part int, block long")
+        blocks = wanted.groupBy("part", "block").agg(F.collect_set("key").alias("keys"))  # no more keys than a block has lines match it
+        return blocks.repartition(n, "part", "block").mapInArrow(fetch, RECORDS)
 
 
-def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> Archive:
+def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, block_lines: int = BLOCK_LINES) -> Archive:
     """Writes the records and the capture index of pages (page_id, url, html)."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -310,9 +323,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> Archiv
     marked.mapInArrow(_write_archives(f"{folder}/warc"), CAPTURES).write.parquet(f"{folder}/captures")
     captures = spark.read.schema(CAPTURES).parquet(f"{folder}/captures")
     ranged = captures.repartitionByRange(n_partitions(spark), "key", "page_id", "offset").sortWithinPartitions("key", "page_id", "offset")
-    ranged.mapInArrow(_write_blocks(f"{folder}/index"), BLOCKS).write.parquet(f"{folder}/blocks")
-    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").orderBy("part", "offset").coalesce(1)
-    blocks.mapInArrow(_write_directory(f"{folder}/index", "directory"), "file string").write.parquet(f"{folder}/directory")
+    ranged.mapInArrow(_write_index(f"{folder}/index", block_lines), PARTS).write.parquet(f"{folder}/parts")
     return Archive(spark, folder)
 
 

@@ -120,6 +120,17 @@ def test_token_store(spark):
         assert all(f.token(i) == flat[r["base"] + i] for i in range(0, r["n_tokens"], 7))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_fast_encoder_specials(name):
+    """As a tokenizer left at its defaults encodes."""
+    path = public_tokenizers.path(name)
+    plain = tokenizers.Tokenizer.from_file(path)
+    texts = [t for t in ODD if t is not None] + ["<|endoftext|> x", "a  <|endoftext|>b\n\n<|endoftext|>", "<|ENDOFTEXT|> y", "no special here"]
+    ids, offs = fast_tokens.Encoder(path, specials=True).encode(*common.text_buffer(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert ids[offs[i] : offs[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_fast_encoder(name):
     e = fast_tokens.Encoder(public_tokenizers.path(name))
@@ -228,6 +239,28 @@ def test_warc(spark):
     assert {r["page_id"] for r in archive.fetch("http://a.example/x")} == {1, 2, 5} and archive.fetch("http://none.example/") == []
 
 
+def test_warc_defined_cases(spark):
+    schema = "page_id long, url string, html string"
+    empty = warc.write_archive(spark.createDataFrame([], schema), common.new_folder(spark, "w"))
+    assert empty.parts == [] and empty.fetch("http://a.example/") == []
+    assert empty.fetch_all(spark.createDataFrame([("http://a.example/",)], "url string")).count() == 0
+    pages = [(1, "http://a.example/", "short"), (2, "http://a.example/", "short"), (3, "http://b.example/", "long " * 100_000), (4, "http://c.example/", "long " * 100_000), (5, "http://d.example/", None), (5, "http://d.example/", None)]
+    df = spark.createDataFrame(pages, schema).withColumn("sha", F.lit("clash")).withColumn("refers", F.lit("clash")).withColumn("key", F.lit("clash"))
+    got = warc.write_archive(df, common.new_folder(spark, "w"), least_bytes=100).fetch_all(df.select("url")).collect()
+    kinds = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got}
+    assert len(got) == 6 and kinds == {1: ("response", None, 5), 2: ("response", None, 5), 3: ("revisit", 4, 500_000), 4: ("response", None, 500_000), 5: ("response", None, 0)}
+
+
+def test_warc_many_blocks(spark):
+    """Several parts and blocks, one host with a third of all captures: every page is found, and only those asked for."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://hot.example/same").otherwise(F.concat(F.lit("http://h"), F.col("id") % 97, F.lit(".example/"), "id")).alias("url"), F.concat(F.lit("page "), "id").alias("html"))
+    archive = warc.write_archive(pages, common.new_folder(spark, "w"), block_lines=7)
+    assert len(archive.parts) > 1 and spark.read.parquet(f"{archive.folder}/parts").agg(F.sum("blocks")).first()[0] > 400
+    assert {r["page_id"] for r in archive.fetch_all(pages.select("url")).collect()} == set(range(3000))
+    assert {r["page_id"] for r in archive.fetch("http://hot.example/same")} == set(range(0, 3000, 3))
+    assert {r["page_id"] for r in archive.fetch_all(spark.createDataFrame([("http://h1.example/1",), ("http://none.example/",)], "url string")).collect()} == {1}
+
+
 def test_sharding(spark):
     df = frame(spark, ODD * 40).withColumn("doc_id", F.when(F.col("doc_id") % 50 == 0, None).otherwise(F.col("doc_id")))
     rows = sharding.assign_shards(df).collect()
@@ -339,14 +372,16 @@ def test_line_bands_meet(spark):
     rng = random.Random(12)
     word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
     lines = []
-    for _ in range(1500):  # 73 shingles in common, 9 of each line alone: similarity 0.8
-        stem = word(80)
-        lines += [stem + word(9), stem + word(9)]
-    docs = frame(spark, lines)
-    keys = {r["h"]: r["keys"] for r in line_dedup.band_keys(line_dedup.lines_of(docs).select("h", "line")).collect()}
+    for stem, own, n in ((80, 9, 1000), (400, 48, 1000)):  # 0.8 of the shingles in common; the second ones are sampled
+        for _ in range(n):
+            s = word(stem)
+            lines += [s + word(own), s + word(own)]
+    docs, keys = frame(spark, lines), {}
+    for r in line_dedup.band_keys(line_dedup.lines_of(docs).select("h", "line")).collect():
+        keys.setdefault(r["h"], set()).update(r["keys"])
     h = {r["doc_id"]: r["h"] for r in line_dedup.lines_of(docs).collect()}
-    missed = sum(not set(keys[h[i]]) & set(keys[h[i + 1]]) for i in range(0, len(lines), 2))
-    assert missed <= 3
+    missed = [not keys[h[i]] & keys[h[i + 1]] for i in range(0, len(lines), 2)]
+    assert sum(missed[:1000]) <= 2 and sum(missed[1000:]) <= 6, (sum(missed[:1000]), sum(missed[1000:]))
 
 
 def test_decontamination(spark):
@@ -362,8 +397,9 @@ def test_decontamination(spark):
     assert (got[n + 1]["n_hit"], got[n + 1]["items"]) == (2, ["2"])
     assert (got[n + 2]["n_hit"], got[n + 2]["contaminated"]) == (15, False)
     assert all(got[i]["n_hit"] == 0 for i in range(n))
-    clean = decontam.clean_documents(frame(spark, texts, True), bench)
-    assert clean.columns == ["doc_id", "text", "n_words", "c0"] and {r["doc_id"] for r in clean.collect()} == {*range(n), n + 2}
+    clean = decontam.clean_documents(frame(spark, [*texts, f"short item {long}"], True), bench)
+    # a passage of a window or more is enough in a text of any length; two words of a long text aren't
+    assert clean.columns == ["doc_id", "text", "n_words", "c0"] and {r["doc_id"] for r in clean.collect()} == {*range(n), n + 3}
 
 
 def test_decontamination_null_item_id(spark):
