@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as cfg
@@ -56,25 +57,30 @@ class Detector:
 
     # ---- matching
 
-    def matches(self, docs: DataFrame) -> DataFrame:
-        """docs with norm, languages and matches."""
+    def _candidates(self, docs: DataFrame) -> DataFrame:
+        """docs with norm, languages and candidates."""
         c = self.config
         out = docs.withColumn("norm", normalize(F.col("text")) if c.normalize else F.col("text"))
-        auto = "auto" in c.languages
-        if auto:
+        if "auto" in c.languages:
             out = out.withColumn("languages", langid.languages_for(F.col("text"), langid.detect(F.col("text"))))
         else:
             out = out.withColumn("languages", F.array(*map(F.lit, c.languages)))
-        out = matching.automaton_matches(out, self.lexicon(), c.max_distance, c.unicode_borders, "languages")
+        return matching.automaton_matches(out, self.lexicon(), c.max_distance, c.unicode_borders, "languages")
+
+    def _scored(self, candidates: Column, norm: Column) -> Column:
+        """Filtered, weighed and resolved candidates with their last confidence."""
+        c = self.config
         if c.max_matches:
-            out = out.withColumn("candidates", F.slice("candidates", 1, c.max_matches))
-        kept = self._kept(F.col("candidates"))
-        out = out.withColumn("candidates", kept)
+            candidates = F.slice(matching.by_start(candidates), 1, c.max_matches)
+        kept = self._kept(candidates)
         if c.context:
-            out = out.withColumn("candidates", scoring.in_context(F.col("candidates"), F.col("norm")))
-        out = out.withColumn("candidates", scoring.resolve_overlaps(F.col("candidates")))
-        final = F.transform("candidates", lambda m: m.withField("confidence", scoring.final_confidence(m["confidence"], m["word"], m["match"], m["severity"])))
-        return out.withColumn("matches", F.coalesce(final, F.array())).drop("candidates")
+            kept = scoring.in_context(kept, norm)
+        kept = scoring.resolve_overlaps(kept)
+        return F.coalesce(F.transform(kept, lambda m: m.withField("confidence", scoring.final_confidence(m["confidence"], m["word"], m["match"], m["severity"]))), F.array())
+
+    def matches(self, docs: DataFrame) -> DataFrame:
+        """docs with norm, languages and matches."""
+        return self._candidates(docs).withColumn("matches", self._scored(F.col("candidates"), F.col("norm"))).drop("candidates")
 
     def _kept(self, found: Column) -> Column:
         c = self.config
@@ -122,13 +128,83 @@ class Detector:
         return parts
 
     def multi_language(self, docs: DataFrame, languages: list[str]) -> DataFrame:
-        """The union of all languages' matches, matches by language, whether several have any, the primary language."""
-        rows = self.per_language(docs, languages)
-        best = F.max_by("result_language", F.struct("lang_confidence", F.lit(0) - F.array_position(F.array(*map(F.lit, languages)), F.col("result_language"))))
-        counts = F.filter(F.collect_list(F.when(F.size("matches") > 0, F.struct("result_language", F.size("matches").alias("n")))), lambda x: x.isNotNull())
-        out = rows.groupBy("doc_id").agg(F.flatten(F.collect_list("matches")).alias("matches"), F.sort_array(counts).alias("by_language"), best.alias("primary"))
+        """The union of all languages' matches, matches by language, whether several have any, the primary language.
+
+        One pass over the texts with the lexicon of all the languages; each language's candidates are then filtered, weighed and
+        resolved on their own, inside the row, as a detector of that language alone would."""
+        one = self.with_config(languages=languages)
+        out = one._candidates(docs)
+        names, conf = F.array(*map(F.lit, languages)), langid.detect(F.col("text"))
+
+        def part(code: str) -> Column:
+            return F.struct(F.lit(code).alias("language"), one._scored(F.filter("candidates", lambda m: m["language"] == code), F.col("norm")).alias("matches"))
+
+        parts = F.array(*map(part, languages))
+        out = out.withColumn("_parts", parts).withColumn("_found", conf)
+        rank = F.transform(names, lambda code, i: F.struct(F.greatest(F.lit(0.1), langid.confidence_of(F.col("_found"), code)).alias("c"), (F.lit(0) - i).alias("k"), code.alias("code")))
+        counts = F.filter(F.transform("_parts", lambda p: F.struct(p["language"].alias("result_language"), F.size(p["matches"]).alias("n"))), lambda x: x["n"] > 0)
+        out = out.select("doc_id", F.flatten(F.transform("_parts", lambda p: p["matches"])).alias("matches"), F.sort_array(counts).alias("by_language"), F.array_max(rank)["code"].alias("primary"))
         return out.withColumn("cross_language", F.size("by_language") > 1)
 
+    def add_language(self, code: str) -> Detector:
+        """The detector with one more language; a language that it has changes nothing."""
+        return self if code in self.config.languages else self.with_config(languages=[*self.config.languages, code])
+
+    def remove_language(self, code: str) -> Detector:
+        """The detector without a language; the last one stays."""
+        left = [x for x in self.config.languages if x != code]
+        return self.with_config(languages=left) if left else self
+
+
+def selected_languages(found: Column, configured: list[str], primary: str | None, loaded: list[str], threshold: float = 0.1) -> Column:
+    """The languages to analyse: detected ones from the threshold on, configured ones and the primary one, as far as they are loaded."""
+    detected = F.transform(F.filter(found, lambda e: e["confidence"] >= threshold), lambda e: e["language"])
+    wanted = F.array_union(detected, F.array(*map(F.lit, [*configured, *([primary] if primary else [])])))
+    return F.array_intersect(wanted, F.array(*map(F.lit, loaded)))
+
+
+def batch_filter(texts: DataFrame, matches: DataFrame, redact: Redaction = Redaction(), key: str = "doc_id") -> DataFrame:
+    """Redacts texts (key, text) by matches that were found elsewhere (key, matches); the two must have the same keys.
+
+    The lengths are compared before, and an unmatched key, which equal lengths can hide, raises in the row."""
+    if texts.count() != matches.count():
+        raise ValueError("texts and matches must have the same length")
+    both = texts.join(matches, key, "left")
+    missing = F.raise_error(F.concat(F.lit("no matches for "), F.col(key).cast("string"))).cast("array<" + matching.MATCH + ">")
+    both = both.withColumn("matches", F.when(F.col("matches").isNull(), missing).otherwise(F.col("matches")))
+    return both.withColumn("filteredText", redaction.redact(F.col("text"), matching.by_start(F.col("matches")), redact))
+
+
+def apply_filter(docs: DataFrame, mode: str = "censor", char: str = "*", structure: bool = True) -> DataFrame:
+    """The older call: docs with text and matches, three settings, filteredText."""
+    return docs.withColumn("filteredText", redaction.redact(F.col("text"), F.col("matches"), Redaction(mode=mode, char=char, structure=structure)))
+
+
+def measured(out: DataFrame, phase: str) -> tuple[DataFrame, Observation]:
+    """out with counters of a phase (texts, characters, matches), which are filled when an action has run."""
+    seen = Observation(phase)
+    return out.observe(seen, F.count("*").alias("texts"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"), F.coalesce(F.sum(F.size("matches")), F.lit(0)).alias("matches")), seen
+
+
+class PerformanceMonitor:
+    """Count, total and mean of the seconds of named operations, and characters a millisecond."""
+
+    def __init__(self) -> None:
+        self.times: dict[str, list[float]] = {}
+        self.characters: dict[str, int] = {}
+
+    def run(self, name: str, out: DataFrame):
+        """Runs a detector's plan to a sink that keeps nothing; returns the phase's counters."""
+        plan, seen = measured(out, name)
+        began = time.perf_counter()
+        plan.write.format("noop").mode("overwrite").save()
+        self.times.setdefault(name, []).append(time.perf_counter() - began)
+        self.characters[name] = self.characters.get(name, 0) + seen.get["characters"]
+        return seen.get
+
+    def metrics(self) -> dict[str, dict[str, float]]:
+        return {k: {"count": len(v), "total": sum(v), "average": sum(v) / len(v), "charactersPerMs": self.characters[k] / max(sum(v) * 1000, 1e-9)} for k, v in self.times.items()}
+
 
 # ---- quick start
 

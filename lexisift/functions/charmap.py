@@ -7,10 +7,10 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, collapse_space
+from .text import SPACE, collapse_space, let
 
 # What stands for what.
-LEET = dict(zip("0123456789@$!+|()[]{}<>", "oizeasgtbgasiticccccccc"[:23], strict=True))
+LEET = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "i", "(": "c", ")": "c", "[": "c", "]": "c", "{": "c", "}": "c", "<": "c", ">": "c"}
 #: All letters that a symbol may stand for; an empty string means that it may be left out.
 LEET_CHOICES = {
     "0": ["o", "O"], "1": ["i", "I", "l", "L"], "2": ["z", "Z"], "3": ["e", "E"], "4": ["a", "A"],
@@ -102,8 +102,9 @@ def has_separators(c: Column) -> Column:
 def obfuscation(c: Column) -> dict[str, Column]:
     """Five flags and the level that their number gives."""
     flags = {"hasLeetspeak": has_leet(c), "hasHomographs": has_alike(c), "hasDiacritics": has_diacritics(c), "hasRepetition": has_repetition(c), "hasSeparators": has_separators(c)}
-    n = sum((f.cast("int") for f in flags.values()), F.lit(0))
-    level = F.when(n == 0, "none").when(n == 1, "low").when(n == 2, "medium").otherwise("high")
+    # each flag is worked out once and counted from the array that holds them
+    given = F.array(*flags.values())
+    level = let(F.size(F.filter(given, lambda f: f)), lambda n: F.when(n == 0, "none").when(n == 1, "low").when(n == 2, "medium").otherwise("high"))
     return flags | {"obfuscationLevel": level}
 
 

@@ -16,12 +16,13 @@ SCRIPT_CLASSES = {
     "hi": r"[\x{0900}-\x{097f}]",
     "ko": r"[\x{ac00}-\x{d7af}]",
 }
-EN_RATES = "e 12.7 t 9.1 a 8.2 o 7.5 i 7.0 n 6.7 s 6.3 h 6.1 r 6.0 d 4.3 l 4.0 c 2.8 u 2.8 m 2.4 w 2.4 f 2.2 g 2.0 y 2.0 p 1.9 b 1.3 v 1.0 k 0.8 j 0.15 x 0.15 q 0.10 z 0.07"
-ES_RATES = "e 13.7 a 12.5 o 8.7 s 8.0 r 6.9 n 6.7 i 6.2 l 4.97 d 5.9 t 4.6 c 4.7 u 3.9 m 3.2 p 2.5 b 1.4 g 1.0 v 0.9 y 0.9 q 0.9 h 0.7 f 0.7 z 0.5 j 0.4 ñ 0.3 x 0.2 k 0.1"
-FR_RATES = "e 17.3 s 7.9 a 7.6 i 7.5 t 7.2 n 7.1 r 6.6 u 6.3 l 5.5 o 5.3 d 3.7 c 3.3 p 3.0 m 3.0 é 1.9 f 1.1 b 0.9 v 1.6 h 0.7 g 0.9 y 0.3 q 1.4 j 0.5 x 0.4 à 0.5 è 0.3 z 0.1"
-DE_RATES = "e 17.4 n 9.8 i 7.6 s 7.3 r 7.0 a 6.5 t 6.2 d 5.1 h 4.8 u 4.4 l 3.4 c 3.1 g 3.0 m 2.5 o 2.5 b 1.9 w 1.9 f 1.7 k 1.2 z 1.1 p 0.8 v 0.7 ü 0.7 ä 0.5 ö 0.3 j 0.3 y 0.04"
-#: Tables for more languages are a parameter of the functions below, in this form.
-RATES = {k: {a: float(b) for a, b in zip(v.split()[::2], v.split()[1::2], strict=True)} for k, v in {"en": EN_RATES, "es": ES_RATES, "fr": FR_RATES, "de": DE_RATES}.items()}
+#: Letter rates in percent; tables for more languages are a parameter of the functions below, in this form.
+RATES = {
+    "en": {"e": 12.7, "t": 9.1, "a": 8.2, "o": 7.5, "i": 7.0, "n": 6.7, "s": 6.3, "h": 6.1, "r": 6.0, "d": 4.3, "l": 4.0, "c": 2.8, "u": 2.8, "m": 2.4, "w": 2.4, "f": 2.2, "g": 2.0, "y": 2.0, "p": 1.9, "b": 1.3, "v": 1.0, "k": 0.8, "j": 0.15, "x": 0.15, "q": 0.1, "z": 0.07},
+    "es": {"e": 13.7, "a": 12.5, "o": 8.7, "s": 8.0, "r": 6.9, "n": 6.7, "i": 6.2, "l": 4.97, "d": 5.9, "t": 4.6, "c": 4.7, "u": 3.9, "m": 3.2, "p": 2.5, "b": 1.4, "g": 1.0, "v": 0.9, "y": 0.9, "q": 0.9, "h": 0.7, "f": 0.7, "z": 0.5, "j": 0.4, "ñ": 0.3, "x": 0.2, "k": 0.1},
+    "fr": {"e": 17.3, "s": 7.9, "a": 7.6, "i": 7.5, "t": 7.2, "n": 7.1, "r": 6.6, "u": 6.3, "l": 5.5, "o": 5.3, "d": 3.7, "c": 3.3, "p": 3.0, "m": 3.0, "é": 1.9, "f": 1.1, "b": 0.9, "v": 1.6, "h": 0.7, "g": 0.9, "y": 0.3, "q": 1.4, "j": 0.5, "x": 0.4, "à": 0.5, "è": 0.3, "z": 0.1},
+    "de": {"e": 17.4, "n": 9.8, "i": 7.6, "s": 7.3, "r": 7.0, "a": 6.5, "t": 6.2, "d": 5.1, "h": 4.8, "u": 4.4, "l": 3.4, "c": 3.1, "g": 3.0, "m": 2.5, "o": 2.5, "b": 1.9, "w": 1.9, "f": 1.7, "k": 1.2, "z": 1.1, "p": 0.8, "v": 0.7, "ü": 0.7, "ä": 0.5, "ö": 0.3, "j": 0.3, "y": 0.04},
+}
 MARKERS = {
     "en": "the and that have for not with you this but his from they are be an will would could should am is writing some english language",
     "es": "que de el la en y un es se no te lo le da su por con para como muy mundo hola gato está sobre mesa gusta mucho comida española buenos días cómo usted hoy",

@@ -1,12 +1,16 @@
-"""Candidates: exact (broadcast hash join on the first token, or an automaton) and fuzzy (delete variants)."""
+"""Candidates: exact (an automaton inside the row, or an equi-join on the first token for large lexicons) and fuzzy (delete variants)."""
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import let, normalize, similarity, split_words
 from ..sources.lexicon import delete_variants
@@ -43,7 +47,9 @@ def exact_hits(docs: DataFrame, lexicon: DataFrame, same_language: str | None =
     A document's tokens are held against the set of the surfaces' first tokens inside its row, so only
     hits leave it, with their place and the text ahead; those meet the lexicon by an equi-join on the
     first token, and the rest of the surface and its end are checked on the joined rows.  First tokens
-    are sent in blocks of at most FIRST_TOKENS."""
+    are sent in blocks of at most FIRST_TOKENS.  Surfaces that begin with another character than [a-z0-9] have no such
+    token; they are found by the automaton."""
+    odd = lexicon.where(~F.col("surface_norm").rlike("^[a-z0-9]"))
     lex = lexicon.where(F.col("surface_norm").rlike("^[a-z0-9]")).withColumn("first", F.regexp_extract("surface_norm", "^[a-z0-9]+", 0))
     lex = lex.select(F.col("lang").alias("language"), "surface_norm", "term", "is_variation", "severity", "categories", "base_conf", "first")
     known = sorted({r["first"] for r in lex.select("first", "surface_norm").distinct().collect()})
@@ -52,7 +58,22 @@ def exact_hits(docs: DataFrame, lexicon: DataFrame, same_language: str | None =
     for i in range(0, max(1, len(known)), FIRST_TOKENS):
         part = _hits(docs, lex, known[i : i + FIRST_TOKENS], longest, same_language)
         out = part if out is None else out.unionByName(part)
-    return out
+    if odd.isEmpty():
+        return out
+    rows = docs.withColumn("_langs", F.array(same_language)) if same_language else docs
+    more = hit_rows(automaton_matches(rows, odd, languages="_langs" if same_language else None)).drop("_langs")
+    return out.select(*more.columns).unionByName(more)
+
+
+def by_start(found: Column) -> Column:
+    """Matches by start, then end, term and language."""
+    return F.transform(F.array_sort(F.transform(found, lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e"), m.alias("m")))), lambda x: x["m"])
+
+
+def hit_rows(found: DataFrame) -> DataFrame:
+    """A row per candidate: the columns of found, start, end, word, term, language, severity, categories, base_conf."""
+    rows = found.withColumn("_m", F.explode("candidates")).drop("candidates")
+    return rows.select("*", "_m.start", "_m.end", "_m.word", F.col("_m.match").alias("term"), "_m.language", "_m.severity", "_m.categories", F.col("_m.confidence").alias("base_conf")).drop("_m")
 
 
 def _hits(docs: DataFrame, lex: DataFrame, first: list[str], longest: int, same_language: str | None) -> DataFrame:
@@ -92,6 +113,29 @@ def fuzzy_hits(docs: DataFrame, lexicon: DataFrame, distance: int = 1, least: in
     return t.join(pairs, "token").join(info, "surface")
 
 
+def remainder_search(docs: DataFrame, lexicon: DataFrame, distance: int = 1, width: int = 30) -> DataFrame:
+    """doc_id, start, end, word, term, distance: words near the whole remainder of a text (at most `width` characters) from a word's start.
+
+    A remainder longer than every word and the distance together is near none, so only starts close to a text's end
+    leave their row; the words' delete variants meet theirs by equality.  Of equal (start, end, word) the least distance stays."""
+    words = lexicon.select(F.col("surface_norm").alias("surface"), "term").distinct()
+    longest = (words.agg(F.max(F.length("surface"))).first()[0] or 0) + distance
+    t, n = F.lower("norm"), F.length("norm")
+    starts = F.sequence(F.greatest(F.lit(0), n - min(width, longest)), n - 1)
+    rows = docs.where(n > 0).select("doc_id", t.alias("t"), F.explode(starts).alias("start"))
+    rows = rows.where((F.col("start") == 0) | ~F.substring("t", F.col("start"), F.lit(1)).rlike("[a-z0-9]"))
+    rows = rows.select("doc_id", "start", F.substring("t", F.col("start") + 1, F.lit(width)).alias("token"))
+    near = rows.join(fuzzy_pairs(rows, words, distance), "token").join(words, "surface")
+    found = near.select("doc_id", "start", (F.col("start") + F.length("token")).alias("end"), F.col("token").alias("word"), "term", "distance")
+    return lowest_distance(found, ["doc_id", "start", "end", "term"])
+
+
+def lowest_distance(found: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key, the nearest: a combined minimum, no window."""
+    rest = [c for c in found.columns if c not in keys]
+    return found.groupBy(*keys).agg(F.min(F.struct("distance", *[c for c in rest if c != "distance"])).alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
+
+
 def similar_words(docs: DataFrame, patterns: DataFrame, threshold: float = 0.8, text: str = "text") -> DataFrame:
     """Words of a text similar to a pattern: distinct words first, a length bound before the distance."""
     words = docs.select("doc_id", F.explode(split_words(F.lower(F.col(text)))).alias("w"))
@@ -118,27 +162,40 @@ def keep(hits: DataFrame, min_severity: int = 1, categories: list[str] | None =
     return out.where(~(common & (F.col("severity") <= 1) & (F.col("base_conf") < 0.8)))
 
 
-def _index(rows: list[dict], distance: int):
-    """An automaton of all surfaces, and a delete-variant index of the base words."""
-    automaton = None
-    try:
+#: The automata of this worker, by the plan's name for the lexicon.
+_BUILT: dict[str, tuple] = {}
+
+
+def index_of(name: str, rows: list[dict], distance: int) -> tuple:
+    """An automaton of all surfaces, a delete-variant index of the base words, and the lexicon's columns; built once a worker."""
+    if name not in _BUILT:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-    except ImportError:
-        pass
-    by_surface: dict[str, list[int]] = {}
-    variants: dict[str, set[int]] = {}
-    for i, r in enumerate(rows):
-        by_surface.setdefault(r["surface_norm"], []).append(i)
-        if distance and not r["is_variation"]:
-            for v in _deletes(r["surface_norm"], distance):
-                variants.setdefault(v, set()).add(i)
-    if automaton is not None and by_surface:
+        if len(_BUILT) >= 8:
+            _BUILT.clear()
+        automaton, by_surface, variants = ahocorasick.Automaton(), {}, {}
+        for i, r in enumerate(rows):
+            if r["surface_norm"]:
+                by_surface.setdefault(r["surface_norm"], []).append(i)
+            if distance and not r["is_variation"]:
+                for v in _deletes(r["surface_norm"], distance):
+                    variants.setdefault(v, set()).add(i)
         for s, ids in by_surface.items():
             automaton.add_word(s, (len(s), ids))
-        automaton.make_automaton()
-    return automaton, by_surface, variants
+        if by_surface:
+            automaton.make_automaton()
+        kinds = {"term": pa.string(), "severity": pa.int32(), "categories": pa.list_(pa.string()), "lang": pa.string(), "base_conf": pa.float64()}
+        _BUILT[name] = automaton, variants, {c: pa.array([r[c] for r in rows], kind) for c, kind in kinds.items()}
+    return _BUILT[name]
+
+
+def spans_array(counts: list[int], at: list[int], to: list[int], which: list[int], far: list[int], words: list[str], columns: dict[str, pa.Array]) -> pa.Array:
+    """The candidates of a batch of texts as a list column; a fuzzy one's confidence falls by 0.2 an edit, to half at most."""
+    i, d = pa.array(which, pa.int64()), np.array(far, np.float64)
+    conf = columns["base_conf"].take(i).to_numpy(zero_copy_only=False) * np.where(d > 0, np.maximum(0.5, 1 - 0.2 * d), 1.0)
+    fields = {"word": pa.array(words, pa.string()), "match": columns["term"].take(i), "start": pa.array(at, pa.int32()), "end": pa.array(to, pa.int32()), "severity": columns["severity"].take(i), "categories": columns["categories"].take(i), "language": columns["lang"].take(i), "confidence": pa.array(conf), "distance": pa.array(far, pa.int32())}
+    structs = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.array(counts, np.int64))]).astype(np.int32)), structs)
 
 
 def _deletes(word: str, distance: int) -> set[str]:
@@ -166,12 +223,10 @@ def automaton_matches(docs: DataFrame, lexicon: DataFrame, distance: int = 0, un
     """docs with `candidates`, all spans of one pass of an automaton over `norm` (any script, symbols in
     surfaces included), and fuzzy tokens with distance > 0.  `languages` names an array column that
     restricts each text's languages.  The lexicon is sent to the executors, at most max_rows surfaces."""
-    import re
-
     rows = [r.asDict() for r in lexicon.limit(max_rows + 1).collect()]
     if len(rows) > max_rows:
         raise ValueError(f"a lexicon of over {max_rows} surfaces is matched by exact_hits and fuzzy_hits")
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    shared, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
     names = docs.columns
     spot, lang_at = names.index("norm"), names.index(languages) if languages else None
     word = re.compile(r"[A-Za-z0-9_]+")
@@ -181,24 +236,10 @@ def automaton_matches(docs: DataFrame, lexicon: DataFrame, distance: int = 0, un
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        automaton, by_surface, variants = _index(lex, distance)
+        automaton, variants, columns = index_of(name, lex, distance)
+        langs = [r["lang"] for r in lex]
         near: dict[str, list[tuple[int, int]]] = {}
 
-        def span(text: str, s: int, e: int, i: int, d: int) -> dict:
-            r = lex[i]
-            return {"word": text[s:e], "match": r["term"], "start": s, "end": e, "severity": r["severity"], "categories": r["categories"], "language": r["lang"], "confidence": r["base_conf"] * (max(0.5, 1 - 0.2 * d) if d else 1.0), "distance": d}
-
-        def exact(text: str):
-            if automaton is not None:
-                for last, (n, ids) in automaton.iter(text) if by_surface else ():
-                    yield last + 1 - n, last + 1, ids
-            else:
-                for s, ids in by_surface.items():
-                    at = text.find(s)
-                    while at >= 0:
-                        yield at, at + len(s), ids
-                        at = text.find(s, at + 1)
-
         def lookup(token: str) -> list[tuple[int, int]]:
             if token not in near:
                 if len(near) > 500_000:
@@ -208,24 +249,26 @@ def automaton_matches(docs: DataFrame, lexicon: DataFrame, distance: int = 0, un
             return near[token]
 
         for batch in batches:
-            out = []
+            counts, at, to, which, far, words = [], [], [], [], [], []
             allowed = batch.column(lang_at).to_pylist() if lang_at is not None else None
             for k, text in enumerate(batch.column(spot).to_pylist()):
-                found = []
+                before = len(at)
                 if text and len(text) >= 3:
                     ok = None if allowed is None else set(allowed[k] or ())
-                    for s, e, ids in exact(text):
+                    for last, (n, ids) in automaton.iter(text) if len(automaton) else ():
+                        e, s = last + 1, last + 1 - n
                         if (s == 0 or not inner(text[s - 1])) and (e == len(text) or not inner(text[e])):
-                            found += [span(text, s, e, i, 0) for i in ids if ok is None or lex[i]["lang"] in ok]
+                            for i in ids:
+                                if ok is None or langs[i] in ok:
+                                    at.append(s), to.append(e), which.append(i), far.append(0), words.append(text[s:e])
                     if distance:
                         for m in word.finditer(text):
                             if m.end() - m.start() >= 2:
-                                found += [span(text, m.start(), m.end(), i, d) for d, i in lookup(m.group()) if ok is None or lex[i]["lang"] in ok]
-                out.append(found)
-            kind = pa.list_(pa.struct([("word", pa.string()), ("match", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("severity", pa.int32()), ("categories", pa.list_(pa.string())), ("language", pa.string()), ("confidence", pa.float64()), ("distance", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*names, "candidates"])
-
-    from pyspark.sql import types as T
+                                for d, i in lookup(m.group()):
+                                    if ok is None or langs[i] in ok:
+                                        at.append(m.start()), to.append(m.end()), which.append(i), far.append(d), words.append(m.group())
+                counts.append(len(at) - before)
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans_array(counts, at, to, which, far, words, columns)], names=[*names, "candidates"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("candidates", T.ArrayType(T._parse_datatype_string(MATCH)))])
     return docs.mapInArrow(run, schema)

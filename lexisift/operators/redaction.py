@@ -125,10 +125,11 @@ def tidy_sentences(c: Column, at_start: Column) -> Column:
     c = F.regexp_replace(c, r"\s{2,}", " ")
     c = F.regexp_replace(c, r"([^\s,.;:!?])\s+([,.;:!?])", "$1$2")
     c = F.regexp_replace(c, r"([,.;:!?])([a-zA-Z])", "$1 $2")
-    # an upper-case letter after a sentence's end: cut there, raise the first letter of each later part
-    parts = F.split(F.regexp_replace(c, r"([.!?])\s*([a-z])", "$1 \u0001$2"), "\u0001")
-    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p))))
-    c = F.trim(F.concat(F.get(parts, F.lit(0)), F.array_join(rest, "")))
+    # an upper-case letter after a sentence's end: pieces up to each such letter, their last letter raised
+    spaced = F.regexp_replace(c, r"([.!?])\s*([a-z])", "$1 $2")
+    pieces = F.regexp_extract_all(spaced, F.lit(r"(?s).*?(?:[.!?] [a-z]|$)"), F.lit(0))
+    raised = lambda p: F.when(p.rlike(r"(?s)[.!?] [a-z]$"), F.concat(F.left(p, F.length(p) - 1), F.upper(F.right(p, F.lit(1))))).otherwise(p)
+    c = F.trim(F.array_join(F.transform(pieces, raised), ""))
     return F.when(at_start & c.rlike("^[a-z]"), F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))).otherwise(c)
 
 

@@ -168,12 +168,20 @@ def enhance(matches: Column, text: Column) -> Column:
 
 
 def merge(results: DataFrame, key: str) -> DataFrame:
-    """One result for each key: texts joined, matches and languages put together, confidence averaged."""
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "text", "matches", "languages", "confidence", "maxSeverity")))
-    out = results.groupBy(key).agg(ordered.alias("r"))
+    """One result for each key: texts joined, matches and languages put together, confidence averaged.
+
+    A key's texts become one value of its row, so keys are conversations, pages or the like; `roll_up` serves keys
+    that hold any number of documents."""
+    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "text", "matches")))
+    numbers = [F.avg("confidence").alias("confidence"), F.max("maxSeverity").alias("maxSeverity"), F.sum(F.size("matches")).cast("int").alias("totalMatches"), F.count("*").alias("results")]
+    out = results.groupBy(key).agg(ordered.alias("r"), F.array_distinct(F.flatten(F.collect_set("languages"))).alias("languages"), *numbers)
     pick = lambda f: F.transform("r", lambda x: x[f])
-    matches = F.flatten(pick("matches"))
-    return out.select(key, F.array_join(pick("text"), " ").alias("text"), matches.alias("matches"), F.array_distinct(F.flatten(pick("languages"))).alias("languages"), (F.aggregate(pick("confidence"), F.lit(0.0), lambda a, c: a + c) / F.size("r")).alias("confidence"), F.array_max(pick("maxSeverity")).alias("maxSeverity"), F.size(matches).alias("totalMatches"))
+    return out.select(key, F.array_join(pick("text"), " ").alias("text"), F.flatten(pick("matches")).alias("matches"), "languages", "confidence", "maxSeverity", "totalMatches", "results")
+
+
+def roll_up(results: DataFrame, key: str) -> DataFrame:
+    """The numbers of a merge for keys of any size: only combined sums, a maximum and a mean."""
+    return results.groupBy(key).agg(F.count("*").alias("results"), F.sum(F.size("matches")).alias("totalMatches"), F.max("maxSeverity").alias("maxSeverity"), F.avg("confidence").alias("confidence"))
 
 
 def comparison(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:

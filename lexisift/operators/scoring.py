@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, round2
+from ..functions.text import SPACE, let, round2
 
 # Words and limits of the context rules.
 NEGATING = ["not", "don't", "doesn't", "never", "hardly", "barely"]
@@ -71,11 +71,24 @@ def clamp(c: Column, lo: float = 0.1, hi: float = 1.0) -> Column:
 
 def context_confidence(text: Column, start: Column, end: Column) -> Column:
     """Short sentences and places near their ends count less, strong words around count more."""
-    s, left, right = sentence(text, start, end), before(text, start), after(text, end)
-    place = start - sentence_start(text, start)
-    c = F.when(F.length(s) < 10, 0.8).otherwise(1.0)
-    c = c * F.when((place < 5) | (place > F.length(s) - 10), 0.9).otherwise(1.0)
-    return clamp(c * F.when(surrounded(left, right), 1.2).otherwise(1.0))
+    return _weighed(_around(text, start, end), start)
+
+
+def _around(text: Column, start: Column, end: Column) -> Column:
+    """Where the sentence starts, its length without space around it, and the windows before and after."""
+    bounds = F.struct(sentence_start(text, start).alias("lo"), sentence_end(text, end).alias("hi"))
+    size = lambda b: F.length(trim_space(F.substring(text, b["lo"] + 1, b["hi"] - b["lo"])))
+    return let(bounds, lambda b: F.struct(b["lo"].alias("lo"), size(b).alias("size"), before(text, start).alias("left"), after(text, end).alias("right")))
+
+
+def _weighed(around: Column, start: Column) -> Column:
+    def body(a: Column) -> Column:
+        place = start - a["lo"]
+        c = F.when(a["size"] < 10, 0.8).otherwise(1.0)
+        c = c * F.when((place < 5) | (place > a["size"] - 10), 0.9).otherwise(1.0)
+        return clamp(c * F.when(surrounded(a["left"], a["right"]), 1.2).otherwise(1.0))
+
+    return let(around, body)
 
 
 def final_confidence(confidence: Column, word: Column, term: Column, severity: Column) -> Column:
@@ -122,10 +135,11 @@ def in_context(matches: Column, text: Column) -> Column:
     """The context filter over an array of matches: negated and technical ones go, quoted ones count less."""
 
     def weigh(m: Column) -> Column:
-        left, right = before(text, m["start"]), after(text, m["end"])
-        c = m["confidence"] * F.when(quoted(left, right), 0.7).otherwise(1.0) * context_confidence(text, m["start"], m["end"])
-        gone = negated(left) | technical(left, right)
-        return m.withField("confidence", F.when(gone, F.lit(-1.0)).otherwise(c))
+        def body(a: Column) -> Column:
+            gone = negated(a["left"]) | technical(a["left"], a["right"])
+            return F.when(gone, F.lit(-1.0)).otherwise(m["confidence"] * F.when(quoted(a["left"], a["right"]), 0.7).otherwise(1.0) * _weighed(a, m["start"]))
+
+        return m.withField("confidence", let(_around(text, m["start"], m["end"]), body))
 
     return F.filter(F.transform(matches, weigh), lambda m: m["confidence"] >= LEAST_CONFIDENCE)
 

@@ -10,8 +10,15 @@ from ..operators import matching
 from ..sources import lexicon as lx
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than there are cores (a table of few row groups);
+    larger tables are read as they are cut, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
@@ -22,10 +29,16 @@ def normed(spark: SparkSession, sf: str) -> DataFrame:
     return matching.normalized(docs(spark, sf))
 
 
-def hits(spark: SparkSession, sf: str, phrases: bool = True) -> DataFrame:
-    """Exact hits in the lexicon of the document's own language."""
+def found(spark: SparkSession, sf: str, phrases: bool = True) -> DataFrame:
+    """All documents with `candidates`, the hits in the lexicon of their own language, found inside their rows."""
     lex = lexicon(spark)
-    return matching.exact_hits(normed(spark, sf), lex if phrases else lex.where("n_tokens = 1"), same_language="lang")
+    rows = normed(spark, sf).withColumn("langs", F.array("lang"))
+    return matching.automaton_matches(rows, lex if phrases else lex.where("n_tokens = 1"), languages="langs").drop("langs")
+
+
+def hits(spark: SparkSession, sf: str, phrases: bool = True) -> DataFrame:
+    """A row per hit."""
+    return matching.hit_rows(found(spark, sf, phrases))
 
 
 def match_struct(confidence: Column | None = None) -> Column:
@@ -34,16 +47,9 @@ def match_struct(confidence: Column | None = None) -> Column:
     return F.struct("word", F.col("term").alias("match"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "severity", "categories", "language", c.alias("confidence"), F.lit(0).alias("distance"))
 
 
-def in_order(m: Column) -> Column:
-    """A document's matches by start."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(m["start"].alias("s"), m["end"].alias("e"), m.alias("m")))), lambda x: x["m"])
-
-
 def with_matches(spark: SparkSession, sf: str, phrases: bool = True) -> DataFrame:
-    """All documents with their array of hits; only hit rows are grouped and joined back."""
-    found = hits(spark, sf, phrases).select("doc_id", match_struct().alias("m")).groupBy("doc_id").agg(in_order(F.col("m")).alias("matches"))
-    empty = F.array().cast("array<" + matching.MATCH + ">")
-    return normed(spark, sf).join(found, "doc_id", "left").withColumn("matches", F.coalesce("matches", empty))
+    """All documents with their array of hits by start; no text is shuffled or joined."""
+    return found(spark, sf, phrases).withColumn("matches", matching.by_start(F.col("candidates"))).drop("candidates")
 
 
 # ---------------------------------------------------------------- DuckDB text

@@ -116,8 +116,8 @@ _ENCODING = {k: f"regexp_matches(text, {q(v)})" for k, v in tx.SCRIPTS.items()}
 by_doc("encoding_flags", tx.scripts, _ENCODING)
 by_doc(
     "text_stats",
-    lambda c: {k: v for k, v in tx.text_stats(c).items() if k in ("length", "charCount", "isRTL", "hasMultipleScripts")},
-    {"length": "CAST(length(text) AS INT)", "charCount": "CAST(length(regexp_replace(text, '\\s', '', 'g')) AS INT)", "isRTL": f"regexp_matches(text, {q(tx.RTL)})", "hasMultipleScripts": "(" + " + ".join(f"CAST({v} AS INT)" for v in _ENCODING.values()) + ") > 1"},
+    lambda c: {k: v for k, v in tx.text_stats(c).items() if k in ("length", "wordCount", "charCount", "isRTL", "hasMultipleScripts")},
+    {"wordCount": f"CAST(len(list_filter(list_transform(string_split_regex({_SPREAD}, '\\s+'), lambda w: regexp_replace(w, '[^a-zA-Z]', '', 'g')), lambda w: length(w) BETWEEN 2 AND 50)) AS INT)", "length": "CAST(length(text) AS INT)", "charCount": "CAST(length(regexp_replace(text, '\\s', '', 'g')) AS INT)", "isRTL": f"regexp_matches(text, {q(tx.RTL)})", "hasMultipleScripts": "(" + " + ".join(f"CAST({v} AS INT)" for v in _ENCODING.values()) + ") > 1"},
 )
 
 
@@ -409,10 +409,9 @@ def final_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents with their scored matches."""
-    found = _scored(spark, sf).select("doc_id", base.match_struct(F.col("final")).alias("m")).groupBy("doc_id").agg(base.in_order(F.col("m")).alias("matches"))
-    empty = F.array().cast("array<" + matching.MATCH + ">")
-    return base.normed(spark, sf).join(found, "doc_id", "left").withColumn("matches", F.coalesce("matches", empty))
+    """All documents with their scored matches, scored inside their rows."""
+    scored = F.transform(scoring.in_context(F.col("candidates"), F.col("norm")), lambda m: m.withField("confidence", scoring.final_confidence(m["confidence"], m["word"], m["match"], m["severity"])))
+    return base.found(spark, sf).withColumn("matches", matching.by_start(scored)).drop("candidates")
 
 
 @query("doc_confidence", hits_sql(_CONTEXT_SQL + """, k AS (SELECT doc_id, avg(final) AS a, count(*) AS n FROM h GROUP BY doc_id)
@@ -421,13 +420,16 @@ def doc_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return _scored_docs(spark, sf).select("doc_id", (F.floor(scoring.document_confidence(F.col("matches"), F.col("text")) * 1000 + 0.5) / 1000).alias("confidence"))
 
 
-@query("overlap_resolution", hits_sql(""", o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, severity DESC, "end" DESC, term, language) AS k FROM hits),
+_OVERLAP_SQL = """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, severity DESC, "end" DESC, term, language) AS k FROM hits),
 f AS (SELECT doc_id, k, k AS kept, start, "end", severity, 1 AS slot FROM o WHERE k = 1
   UNION ALL SELECT o.doc_id, o.k, CASE WHEN o.start >= f."end" OR o.severity > f.severity THEN o.k ELSE f.kept END, CASE WHEN o.start >= f."end" OR o.severity > f.severity THEN o.start ELSE f.start END,
     CASE WHEN o.start >= f."end" OR o.severity > f.severity THEN o."end" ELSE f."end" END, CASE WHEN o.start >= f."end" OR o.severity > f.severity THEN o.severity ELSE f.severity END, CASE WHEN o.start >= f."end" THEN f.slot + 1 ELSE f.slot END
   FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1),
-w AS (SELECT doc_id, slot, arg_max(kept, k) AS kept FROM f GROUP BY doc_id, slot)
-SELECT o.doc_id, o.start, o."end", o.word FROM w JOIN o ON o.doc_id = w.doc_id AND o.k = w.kept""", recursive=True))
+w AS (SELECT doc_id, slot, arg_max(kept, k) AS kept FROM f GROUP BY doc_id, slot),
+kept AS (SELECT o.* FROM w JOIN o ON o.doc_id = w.doc_id AND o.k = w.kept)"""
+
+
+@query("overlap_resolution", hits_sql(_OVERLAP_SQL + ' SELECT doc_id, start, "end", word FROM kept', recursive=True))
 def overlap_resolution(spark: SparkSession, sf: str) -> DataFrame:
     kept = scoring.resolve_overlaps(F.col("matches"))
     return base.with_matches(spark, sf).select("doc_id", F.explode(kept).alias("m")).select("doc_id", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"), "m.word")
@@ -499,10 +501,10 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _redacted_sql(piece: str) -> str:
-    """Texts put together again from their pieces, single-token hits replaced."""
-    return hits_sql(f""", one AS (SELECT doc_id, idx, any_value(word) AS word, any_value(term) AS term, any_value(severity) AS severity, any_value(categories) AS categories, any_value(base_conf) AS conf FROM hits WHERE n_tokens = 1 GROUP BY doc_id, idx),
-z AS (SELECT p.doc_id, p.idx, CASE WHEN o.word IS NULL THEN p.token ELSE {piece} END AS x FROM ps p LEFT JOIN one o ON o.doc_id = p.doc_id AND o.idx = p.idx)
-SELECT n.doc_id, coalesce(string_agg(x, '' ORDER BY idx), '') AS filtered FROM norm n LEFT JOIN z ON z.doc_id = n.doc_id GROUP BY n.doc_id""")
+    """Texts put together again: what lies between the kept hits, phrases included, and what replaces them."""
+    return hits_sql(_OVERLAP_SQL + f""", z AS (SELECT *, base_conf AS conf, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS gap FROM kept),
+x AS (SELECT doc_id, string_agg(substr(t, gap::INT + 1, (start - gap)::INT) || {piece}, '' ORDER BY start) AS head, max("end") AS last FROM z GROUP BY doc_id)
+SELECT n.doc_id, coalesce(head || substr(n.t, last::INT + 1), n.t) AS filtered FROM norm n LEFT JOIN x USING (doc_id)""", recursive=True)
 
 
 _CENSOR = "regexp_replace(regexp_replace(word, '[0-9]', '#', 'g'), '[A-Za-z]', '*', 'g')"
@@ -523,10 +525,7 @@ _CUSTOM = {"idiot": "[CUSTOM]", "th*": "[WILD]"}
 def _redacts(name: str, r: redaction.Redaction, piece: str | None) -> None:
     @query(name, _redacted_sql(piece) if piece else None)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        # the twins know single tokens only; without a twin phrases are redacted too
-        m = base.with_matches(spark, sf, phrases=piece is None)
-        if piece is None:
-            m = m.withColumn("matches", scoring.resolve_overlaps(F.col("matches")))
+        m = base.found(spark, sf).withColumn("matches", scoring.resolve_overlaps(F.col("candidates")))
         return m.select("doc_id", redaction.redact(F.col("norm"), F.col("matches"), r).alias("filtered"))
 
 
@@ -543,10 +542,10 @@ _redacts("safe_lenient", redaction.safe("lenient"), _REPLACE)
 _redacts("sentence_structure", redaction.DETECTOR, None)
 
 
-@query("redaction_details", hits_sql(f"SELECT doc_id, start, word AS original, {_CENSOR} AS replacement, 'censor' AS method FROM hits WHERE n_tokens = 1"))
+@query("redaction_details", hits_sql(_OVERLAP_SQL + f" SELECT doc_id, start, word AS original, {_CENSOR} AS replacement, 'censor' AS method FROM kept", recursive=True))
 def redaction_details(spark: SparkSession, sf: str) -> DataFrame:
     d = redaction.details(F.col("norm"), F.col("matches"))
-    rows = base.with_matches(spark, sf, phrases=False).select("doc_id", F.explode(d).alias("d"))
+    rows = base.found(spark, sf).withColumn("matches", scoring.resolve_overlaps(F.col("candidates"))).select("doc_id", F.explode(d).alias("d"))
     return rows.select("doc_id", F.col("d.start").cast("long").alias("start"), F.col("d.originalWord").alias("original"), "d.replacement", "d.method")
 
 
@@ -617,7 +616,42 @@ def multi_language(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.size("matches").alias("n"), "primary", "cross_language")
 
 
-@query("stream_detect", hits_sql("SELECT lang, count(*) AS documents FROM norm GROUP BY lang"))
+_ALL_HITS = base.HITS_SQL.replace(" AND k.lang = l.language", "").replace("SELECT k.doc_id,", "SELECT k.doc_id, k.lang,")
+_DETECT_CONTEXT = _CONTEXT_SQL.replace("FROM hits)", f"FROM hits WHERE word NOT IN {base.in_list(matching.WHITELIST)} AND length(word) >= 2 AND length(t) >= 3)", 1)
+
+
+def detect_sql(rest: str) -> str:
+    """The detector without its fuzzy pass over four languages: context, overlaps by severity and confidence, scores (table `final`)."""
+    better = '(o.severity > f.severity OR (o.severity = f.severity AND o.conf > f.conf))'
+    take = f'(o.start >= f."end" OR {better})'
+    fields = ", ".join(f'CASE WHEN {take} THEN o.{c} ELSE f.{c} END' for c in ("start", '"end"', "severity", "conf"))
+    overlap = f""", o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, severity DESC, "end" DESC, term, language) AS k FROM g WHERE conf >= 0.3),
+v AS (SELECT doc_id, k, k AS kept, start, "end", severity, conf, 1 AS slot FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.k, CASE WHEN {take} THEN o.k ELSE f.kept END, {fields}, CASE WHEN o.start >= f."end" THEN f.slot + 1 ELSE f.slot END FROM v f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1),
+w AS (SELECT doc_id, slot, arg_max(kept, k) AS kept FROM v GROUP BY doc_id, slot),
+final AS (SELECT h.* FROM w JOIN o ON o.doc_id = w.doc_id AND o.k = w.kept JOIN h ON h.doc_id = o.doc_id AND h.start = o.start AND h."end" = o."end" AND h.term = o.term AND h.language = o.language AND h.word = o.word)"""
+    return f"WITH RECURSIVE {base.lexicon_sql()}, {base.NORM_SQL}, {base.TOKENS_SQL}, {_ALL_HITS}" + _DETECT_CONTEXT + overlap + " " + rest
+
+
+_FOUR = ["en", "fr", "de", "es"]
+_PER_DOC = """, k AS (SELECT doc_id, count(*) AS n, max(severity) AS s, avg(final) AS a FROM final GROUP BY doc_id)
+SELECT norm.doc_id, coalesce(n, 0) > 0 AS "hasProfanity", CAST(coalesce(n, 0) AS INT) AS "totalMatches", CAST(coalesce(s, 1) AS INT) AS "maxSeverity",
+floor((CASE WHEN n IS NULL THEN 1.0 ELSE least(1.0, greatest(0.1, a * (0.7 + least(1.0, length(text)::DOUBLE / 100) * 0.2 + least(1.0, n::DOUBLE / 5) * 0.1))) END)::DOUBLE * 1000 + 0.5) / 1000 AS confidence FROM norm LEFT JOIN k USING (doc_id)"""
+
+
+@query("detect_exact", detect_sql(_PER_DOC))
+def detect_exact(spark: SparkSession, sf: str) -> DataFrame:
+    out = api.detect(base.docs(spark, sf), Config(languages=_FOUR, fuzzy=False))
+    return out.select("doc_id", "hasProfanity", "totalMatches", "maxSeverity", (F.floor(F.col("confidence") * 1000 + 0.5) / 1000).alias("confidence"))
+
+
+@query("detect_matches", detect_sql('SELECT doc_id, start, "end", word, term, language, severity, final AS confidence FROM final'))
+def detect_matches(spark: SparkSession, sf: str) -> DataFrame:
+    out = api.Detector(spark, Config(languages=_FOUR, fuzzy=False)).matches(base.docs(spark, sf)).select("doc_id", F.explode("matches").alias("m"))
+    return out.select("doc_id", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"), "m.word", F.col("m.match").alias("term"), "m.language", "m.severity", "m.confidence")
+
+
+@query("stream_detect", detect_sql('SELECT norm.lang, count(*) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS matches FROM norm LEFT JOIN (SELECT doc_id, count(*) AS n FROM final GROUP BY doc_id) USING (doc_id) GROUP BY norm.lang'))
 def stream_detect(spark: SparkSession, sf: str) -> DataFrame:
     """The batch detector over a stream of the documents' files; the result is what the sink has then."""
     from ..streaming.detect import detect_stream, read_documents, write_results
@@ -627,6 +661,6 @@ def stream_detect(spark: SparkSession, sf: str) -> DataFrame:
 
     where = f"{root}/stream-{uuid.uuid4().hex}"
     source = read_documents(spark, f"{sf}/documents*", files_per_trigger=25)
-    stream = detect_stream(source, Config(fuzzy=False)).select("doc_id", "lang", "totalMatches")
+    stream = detect_stream(source, Config(languages=_FOUR, fuzzy=False)).select("doc_id", "lang", "totalMatches")
     write_results(stream, f"{where}/out", f"{where}/state").awaitTermination()
-    return spark.read.schema("doc_id long, lang string, totalMatches int").parquet(f"{where}/out").groupBy("lang").agg(F.count("*").alias("documents"))
+    return spark.read.schema("doc_id long, lang string, totalMatches int").parquet(f"{where}/out").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("totalMatches").alias("matches"))

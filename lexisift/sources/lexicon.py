@@ -145,6 +145,40 @@ def languages(entries: DataFrame) -> DataFrame:
     return entries.select("lang").distinct()
 
 
+def availability(entries: DataFrame, wanted: list[str]) -> DataFrame:
+    """A row for each wanted language: how many words it has, and whether it has any."""
+    names = entries.sparkSession.createDataFrame([(x,) for x in wanted], "lang string")
+    have = entries.groupBy("lang").agg(F.count("*").alias("words"))
+    return names.join(F.broadcast(have), "lang", "left").select("lang", F.coalesce("words", F.lit(0)).alias("words"), F.col("words").isNotNull().alias("available"))
+
+
+def sizes(entries: DataFrame) -> DataFrame:
+    """Words, their characters, and the bytes that a language takes as JSON of two-byte characters."""
+    one = F.to_json(F.struct("word", "severity", "categories", "variations"))
+    return entries.groupBy("lang").agg(F.count("*").alias("words"), F.sum(F.length("word")).alias("characters"), (2 * F.sum(F.length(one))).alias("bytes"))
+
+
+def kept(entries: dict[str, DataFrame], name: str, load, most: int = 5) -> DataFrame:
+    """A loaded language from a cache that keeps the last few; what falls out is unpersisted.  Dropping a name reloads it."""
+    if name in entries:
+        entries[name] = entries.pop(name)
+        return entries[name]
+    entries[name] = load(name).cache()
+    while len(entries) > most:
+        entries.pop(next(iter(entries))).unpersist()
+    return entries[name]
+
+
+def metadata(spark: SparkSession, root: str) -> DataFrame:
+    """A row for each language folder of maps below root that has a metadata.json: lang, name, version, context."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    parts = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/([^/]+)\.json$", 1).alias("lang"), F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("kind"), "value")
+    of = lambda kind: parts.where(F.col("kind") == kind)
+    known = of("metadata").select("lang", F.from_json("value", "name string, version string, wordCount int").alias("m")).where("m is not null")
+    context = of("context").select("lang", F.col("value").alias("context"))
+    return known.join(context, "lang", "left").select("lang", "m.name", "m.version", F.col("m.wordCount").alias("word_count"), "context")
+
+
 def stats(entries: DataFrame) -> DataFrame:
     """Entries by language, by severity and by category."""
     cell = entries.select("lang", "severity", F.explode("categories").alias("category"), "word")
