@@ -17,4 +17,4 @@ QUERIES = {
     "op10_decontam": decontam.op10,
 }
 
-ORACLES: dict[str, str] = {"op6_warc": warc.OP6_SQL, "op3_vector_dedup": vector_dedup.OP3_SQL, "op10_decontam": decontam.OP10_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": near_dedup.OP1_SQL, "op6_warc": warc.OP6_SQL, "op3_vector_dedup": vector_dedup.OP3_SQL, "op10_decontam": decontam.OP10_SQL}
