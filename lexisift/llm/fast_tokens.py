@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -71,6 +72,17 @@ def cuts_gpt2(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As np.unique with first places and inverse, by a hash table: only the different values are sorted."""
+    codes, seen = pd.factorize(h)
+    first = np.empty(len(seen), np.int64)
+    first[codes[::-1]] = np.arange(len(h) - 1, -1, -1)
+    order = np.argsort(seen)
+    rank = np.empty(len(seen), np.int64)
+    rank[order] = np.arange(len(seen))
+    return seen[order], first[order], rank[codes]
+
+
 class Encoder:
     """Encodes Arrow string columns to flat ids and offsets."""
 
@@ -129,7 +141,7 @@ class Encoder:
         starts, ends, soffs = cuts_gpt2(buf, offs) if self.rule == "gpt2" else spans(buf, offs, NOT_SPACE)
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        seen, first, inverse = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
+        seen, first, inverse = _distinct(hash_spans(buf, starts, ends))
         where = np.searchsorted(self.keys, seen)
         known = np.zeros(len(seen), bool)
         inner = where < len(self.keys)
