@@ -44,10 +44,10 @@ class Detector:
         return lx.with_custom(out, lx.from_entries(self.spark, c.custom_words)) if c.custom_words else out
 
     def with_config(self, **values) -> Detector:
-        errors, _ = cfg.validate(values)
-        if errors:
+        errors, _, settings = cfg.check(values, self.config)
+        if settings is None:
             raise ValueError("; ".join(errors))
-        return Detector(self.spark, replace(self.config, **values), self.entries)
+        return Detector(self.spark, settings, self.entries)
 
     def add_custom_words(self, words: list[dict]) -> Detector:
         return self.with_config(custom_words=[*self.config.custom_words, *words])
@@ -104,6 +104,16 @@ class Detector:
         out = self.analyze(docs, redact)
         return out.withColumns({"enhanced": results.enhance(m, F.col("norm")), "statistics": results.statistics(m, t, lx.CORE_CATEGORIES), "textContext": results.text_context(t), "warnings": results.warnings(m, t, self.config.languages == ["auto"]), "recommendations": results.recommendations(m, t)})
 
+    def analyze_with(self, docs: DataFrame, **options) -> DataFrame:
+        """`analyze` with options of one call: a filter's mode, and which columns come back (see config.Options).
+
+        max_length is checked only: texts are analysed whole."""
+        errors, _, o = cfg.check_options(options)
+        if o is None:
+            raise ValueError("; ".join(errors))
+        out = self.analyze(docs) if o.filter_mode == "detect_only" else self.filter(docs, o.filter_mode)
+        return out.drop(*[c for c, keep in (("matches", o.include_matches), ("confidence", o.include_confidence)) if not keep])
+
     def filter(self, docs: DataFrame, mode: str = "censor") -> DataFrame:
         """docs with filteredText, by the detector's own redaction settings."""
         return self.analyze(docs, replace(redaction.DETECTOR, mode=mode, char=self.config.replacement_char, structure=self.config.preserve_structure))
@@ -208,25 +218,41 @@ class PerformanceMonitor:
 
 # ---- quick start
 
+#: The settings of the quick functions, changed by `configure`.
+_quick = cfg.DEFAULT
+
+
+def configure(**values) -> Config:
+    """Changes the settings of detect, filter_texts, filter_enhanced and is_clean; `reset` takes that back."""
+    global _quick
+    _quick = cfg.ConfigManager(_quick).update(**values)
+    return _quick
+
 
-def detect(docs: DataFrame, config: Config = cfg.DEFAULT, entries: DataFrame | None = None) -> DataFrame:
-    return Detector(docs.sparkSession, config, entries).analyze(docs)
+def reset() -> Config:
+    global _quick
+    _quick = cfg.DEFAULT
+    return _quick
+
+
+def detect(docs: DataFrame, config: Config | None = None, entries: DataFrame | None = None) -> DataFrame:
+    return Detector(docs.sparkSession, config or _quick, entries).analyze(docs)
 
 
 def detect_enhanced(docs: DataFrame, config: Config | None = None) -> DataFrame:
     return Detector(docs.sparkSession, config or cfg.PRESETS["comprehensive"]).analyze_enhanced(docs)
 
 
-def filter_texts(docs: DataFrame, mode: str = "censor", config: Config = cfg.DEFAULT) -> DataFrame:
-    return Detector(docs.sparkSession, config).filter(docs, mode)
+def filter_texts(docs: DataFrame, mode: str = "censor", config: Config | None = None) -> DataFrame:
+    return Detector(docs.sparkSession, config or _quick).filter(docs, mode)
 
 
-def filter_enhanced(docs: DataFrame, redact: Redaction = Redaction(), config: Config = cfg.DEFAULT) -> DataFrame:
-    return Detector(docs.sparkSession, config).analyze(docs, redact)
+def filter_enhanced(docs: DataFrame, redact: Redaction = Redaction(), config: Config | None = None) -> DataFrame:
+    return Detector(docs.sparkSession, config or _quick).analyze(docs, redact)
 
 
-def is_clean(docs: DataFrame, config: Config = cfg.DEFAULT) -> DataFrame:
-    return Detector(docs.sparkSession, config).is_clean(docs)
+def is_clean(docs: DataFrame, config: Config | None = None) -> DataFrame:
+    return Detector(docs.sparkSession, config or _quick).is_clean(docs)
 
 
 def batch_detect(docs: DataFrame) -> DataFrame:
@@ -249,6 +275,16 @@ def factory(name: str) -> Config:
     return cfg.ENVIRONMENTS.get(name) or cfg.PRESETS[name]
 
 
+def configured(spark: SparkSession, name: str = "comprehensive", languages: list[str] | None = None, **own) -> Detector:
+    """A detector of a preset's settings, for the given languages (all), with a caller's own values over them."""
+    return Detector(spark, cfg.preset(name)).with_config(**{"languages": languages or ["auto"], **own})
+
+
+def collection(spark: SparkSession, languages: list[str], **own) -> dict[str, Detector]:
+    """A detector for each language, by its own settings where it has any."""
+    return {code: Detector(spark, cfg.for_language(code)).with_config(**own) for code in languages}
+
+
 def library_info() -> dict:
     return {"version": __version__, "languages": cfg.LANGUAGES, "presets": sorted(cfg.PRESETS), "modes": list(redaction.MODES)}
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import let, normalize, similarity, split_words
+from ..functions.text import SPACE, let, normalize, similarity, split_words
 from ..sources.lexicon import delete_variants
 
 PIECES = "[a-z0-9]+|[^a-z0-9]+"
@@ -93,13 +93,16 @@ def _hits(docs: DataFrame, lex: DataFrame, first: list[str], longest: int, same_
     return hit.withColumn("end", F.col("start") + n).withColumn("word", F.col("surface_norm")).drop("ahead", "token", "first")
 
 
-def fuzzy_pairs(words: DataFrame, dictionary: DataFrame, distance: int = 1) -> DataFrame:
+def fuzzy_pairs(words: DataFrame, dictionary: DataFrame, distance: int = 1, prefix: int | None = None, case_sensitive: bool = True) -> DataFrame:
     """(token, surface, distance) of all pairs within the edit distance.
 
     Both sides' delete variants are joined by equality; no pair within the distance is lost, and the
-    distance itself is checked on the few that meet."""
-    q = delete_variants(words.select("token").distinct(), "token", distance)
-    d = delete_variants(dictionary.select("surface").distinct(), "surface", distance)
+    distance itself is checked on the few that meet.  With `prefix`, variants are made of so many first
+    characters only: fewer variants, more pairs to check, the same pairs found.  Without case_sensitive,
+    both sides are lowered."""
+    side = lambda rows, c: rows.select((F.col(c) if case_sensitive else F.lower(c)).alias(c)).distinct()
+    q = delete_variants(side(words, "token"), "token", distance, prefix)
+    d = delete_variants(side(dictionary, "surface"), "surface", distance, prefix)
     met = q.join(d, "variant").select("token", "surface").distinct()
     return met.withColumn("distance", F.levenshtein("token", "surface", distance)).where("distance >= 0")
 
@@ -136,6 +139,32 @@ def lowest_distance(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.min(F.struct("distance", *[c for c in rest if c != "distance"])).alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
+def similar_places(text: Column, patterns: list[str], threshold: float = 0.8) -> Column:
+    """(pattern, match, similarity, start, end) of the words between white space that are like a pattern, as an array of
+    the row; words in order, a word's patterns in theirs.  Words are judged once each; offsets come from one pass over a text that has any."""
+    if not patterns:
+        return F.when(text.isNotNull(), F.array().cast("array<struct<pattern:string,match:string,similarity:double,start:int,end:int>>"))
+    every = F.array(*map(F.lit, patterns))
+    alike = lambda w: F.filter(every, lambda p: similarity(w, p) >= threshold)
+
+    def placed(pieces: Column) -> Column:
+        words = F.filter(F.array_distinct(pieces), lambda w: F.exists(every, lambda p: similarity(w, p) >= threshold))
+        none = F.array().cast("array<struct<word:string,start:int>>")
+
+        def walk(found: Column) -> Column:
+            def step(a: Column, p: Column) -> Column:
+                here = F.when(F.array_contains(found, p), F.concat(a["out"], F.array(F.struct(p.alias("word"), a["at"].alias("start"))))).otherwise(a["out"])
+                return F.struct((a["at"] + F.length(p)).alias("at"), here.alias("out"))
+
+            return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"]))
+
+        return let(words, walk)
+
+    places = let(F.regexp_extract_all(text, F.lit(f"{SPACE}+|[^{SPACE[1:]}+"), F.lit(0)), placed)
+    rows = F.transform(places, lambda x: F.transform(alike(x["word"]), lambda p: F.struct(p.alias("pattern"), x["word"].alias("match"), similarity(x["word"], p).alias("similarity"), x["start"].alias("start"), (x["start"] + F.length(x["word"])).alias("end"))))
+    return F.flatten(rows)
+
+
 def similar_words(docs: DataFrame, patterns: DataFrame, threshold: float = 0.8, text: str = "text") -> DataFrame:
     """Words of a text similar to a pattern: distinct words first, a length bound before the distance."""
     words = docs.select("doc_id", F.explode(split_words(F.lower(F.col(text)))).alias("w"))

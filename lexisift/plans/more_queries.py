@@ -117,6 +117,27 @@ def remainder_search(spark: SparkSession, sf: str) -> DataFrame:
     return matching.remainder_search(base.normed(spark, sf), _of_documents(spark), 2)
 
 
+@query("fuzzy_prefix", f"""WITH {base.lexicon_sql()}, w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS token FROM documents),
+d AS (SELECT DISTINCT lower(surface_norm) AS surface FROM lex WHERE NOT is_variation AND n_tokens = 1 AND language IN ('en', 'fr', 'de', 'es'))
+SELECT token, surface, CAST(levenshtein(token, surface) AS INT) AS distance FROM w JOIN d ON length(token) > 2 AND abs(length(token) - length(surface)) <= 2 AND levenshtein(token, surface) <= 2""")
+def fuzzy_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of any case near a surface, met by the delete variants of their first five characters."""
+    words = base.docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("token")).where(F.length("token") > 2)
+    known = _of_documents(spark).where("not is_variation and n_tokens = 1").select(F.col("surface_norm").alias("surface"))
+    return matching.fuzzy_pairs(words, known, 2, prefix=5, case_sensitive=False)
+
+
+@query("similar_places", f"""WITH s AS (SELECT doc_id, string_split_regex(text, '\\s+') AS w, regexp_extract_all(text, '\\s+') AS b FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(w) AS w, unnest(list_resize(list_transform(b, lambda x: length(x)), len(w), 0)) AS b, unnest(range(len(w))) AS i FROM s),
+o AS (SELECT doc_id, w, coalesce(sum(length(w) + b) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e)
+SELECT doc_id, pattern, w AS match, floor((1 - levenshtein(lower(w), pattern)::DOUBLE / greatest(length(w), length(pattern))) * 1000 + 0.5) / 1000 AS similarity, CAST(start AS INT) AS start, CAST(start + length(w) AS INT) AS "end"
+FROM o, (SELECT unnest([{', '.join(map(q, core._PATTERNS))}]) AS pattern) WHERE w <> '' AND 1 - levenshtein(lower(w), pattern)::DOUBLE / greatest(length(w), length(pattern)) >= 0.75""")
+def similar_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The words that are like a pattern, with their offsets."""
+    rows = base.docs(spark, sf).select("doc_id", F.explode(matching.similar_places(F.col("text"), core._PATTERNS, 0.75)).alias("m"))
+    return rows.select("doc_id", "m.pattern", "m.match", (F.floor(F.col("m.similarity") * 1000 + 0.5) / 1000).alias("similarity"), "m.start", "m.end")
+
+
 _PATTERN = "united states"
 
 

@@ -151,3 +151,111 @@ def test_settings_round_trip(tmp_path):
     assert n.config == m.config and config.config_hash(n.config) == config.config_hash(m.config)
     m.reset()
     assert heard and m.config == config.DEFAULT and config.config_hash(m.config) != config.config_hash(n.config)
+
+
+def test_settings_are_mended():
+    errors, warnings, out = config.check({"languages": ["en", "en", "xx", 3], "categories": ["general", "nope", "general"], "whitelist": [" Fine ", "fine", 5], "replacement_char": "#!"})
+    assert errors == [] and len(warnings) == 8
+    assert (out.languages, out.categories, out.whitelist, out.replacement_char) == (["en"], ["general"], ["Fine"], "#")
+    assert config.check({"languages": ["xx"]})[2].languages == ["auto"] and config.check({"categories": []})[2].categories == config.DEFAULT.categories
+    assert config.check({"replacement_char": ""})[2].replacement_char == "*" and config.check({"whitelist": "x"})[2].whitelist == []
+    words = config.check({"custom_words": ["Bad", {"word": "bad", "severity": 3}, {"word": "worse", "severity": 9, "categories": []}, {"severity": 1}, 7]})
+    assert words[0] == [] and len(words[1]) == 4
+    assert [(w["word"], w["severity"], w["categories"]) for w in words[2].custom_words] == [("Bad", 2, ["general"]), ("worse", 2, ["general"])]
+
+
+@pytest.mark.parametrize("values", [{"languages": []}, {"languages": "en"}, {"min_severity": 5}, {"min_severity": True}, {"categories": "general"}, {"fuzzy_threshold": "0.8"}, {"fuzzy_threshold": 1.1}, {"fuzzy_threshold": -0.1}, {"fuzzy_threshold": float("nan")}, {"custom_words": "bad"}, {"min_word_length": 0}, {"max_matches": 0}, {"other": 1}])
+def test_settings_with_errors(values):
+    errors, _, out = config.check(values)
+    assert len(errors) == 1 and out is None and config.sanitize(values) == config.DEFAULT and not config.quick_validate(values)
+    with pytest.raises(ValueError):
+        config.ConfigManager().update(**values)
+
+
+@pytest.mark.parametrize(
+    "values",
+    [{"fuzzy_threshold": 0.4}, {"fuzzy_threshold": 0.96}, {"fuzzy": False, "fuzzy_threshold": 0.7}, {"languages": ["en", "fr", "de", "es", "it", "pt"]}, {"min_severity": 3}, {"languages": ["auto", "en"]}, {"custom_words": ["bad"], "whitelist": ["Bad"]}],
+)
+def test_settings_with_warnings(values):
+    errors, warnings, out = config.check(values)
+    assert errors == [] and len(warnings) == 1 and out is not None and config.quick_validate(values)
+
+
+def test_quick_validate_of_no_settings():
+    ring: dict = {}
+    ring["custom_words"] = [ring]
+    assert not config.quick_validate(ring) and not config.quick_validate(None) and config.quick_validate({})
+
+
+def test_options(spark):
+    assert config.check_options({}) == ([], [], config.Options())
+    assert config.check_options({"max_length": 20_000_000})[2].max_length == config.GREATEST_LENGTH and config.check_options({"max_length": 20_000_000})[1]
+    assert len(config.check_options({"filter_mode": "x", "max_length": -1})[0]) == 2
+    d = api.Detector(spark, Config(fuzzy=False))
+    out = d.analyze_with(docs(spark, "you idiot"), filter_mode="remove", include_matches=False, include_confidence=False)
+    assert not {"matches", "confidence"} & set(out.columns) and "idiot" not in out.first()["filteredText"]
+    assert "filteredText" not in d.analyze_with(docs(spark, "a")).columns
+    with pytest.raises(ValueError):
+        d.analyze_with(docs(spark, "a"), max_length="9")
+
+
+def test_manager_keys_and_end(spark):
+    m, heard = config.ConfigManager(), []
+    m.listen(lambda new, changed: heard.append(changed))
+    keys = {"languages": "en, fr", "min_severity": "9", "fuzzy": "false", "fuzzy_threshold": "x", "replacement_char": "#"}
+    for k, v in keys.items():
+        spark.conf.set(f"spark.lexisift.{k}", v)
+    try:
+        assert config.session_values(spark) == {"languages": ["en", "fr"], "fuzzy": False, "replacement_char": "#"}
+        out = m.override(spark)
+        assert out.languages == ["en", "fr"] and not out.fuzzy and out.min_severity == 1 and config.environment("production", spark) == out
+    finally:
+        for k in keys:
+            spark.conf.unset(f"spark.lexisift.{k}")
+    assert heard == [["languages", "fuzzy", "replacement_char"]]
+    m.dispose()
+    m.reset()
+    assert len(heard) == 1 and len(m.history) == 1
+
+
+def test_configure_and_reset(spark):
+    rows = docs(spark, "you idiot")
+    try:
+        api.configure(min_severity=4, fuzzy=False)
+        assert api.configure(whitelist=["other"]).min_severity == 4
+        assert not api.detect(rows).first()["hasProfanity"] and api.is_clean(rows).first()["clean"]
+        with pytest.raises(ValueError):
+            api.configure(fuzzy_threshold=2)
+    finally:
+        api.reset()
+    assert api.detect(rows).first()["hasProfanity"] and api.filter_texts(rows).first()["filteredText"] != "you idiot"
+
+
+def test_factories(spark):
+    d = api.configured(spark, "strict", ["en", "fr"], fuzzy=False)
+    assert d.config.languages == ["en", "fr"] and d.config.min_severity == 3 and not d.config.fuzzy
+    assert api.configured(spark).config.languages == ["auto"]
+    many = api.collection(spark, ["es", "it"], min_severity=2)
+    assert many["es"].config.fuzzy_threshold == 0.7 and many["it"].config.languages == ["it"] and {x.config.min_severity for x in many.values()} == {2}
+
+
+def test_similar_places(spark):
+    rows = docs(spark, "  Worthles thing\n\tworthless\u0085 x", "", None, "nothing here")
+    got = {r["doc_id"]: r["m"] for r in rows.select("doc_id", matching.similar_places(F.col("text"), ["worthless", "things"], 0.8).alias("m")).collect()}
+    assert [(m["pattern"], m["match"], m["start"], m["end"]) for m in got[0]] == [("worthless", "Worthles", 2, 10), ("things", "thing", 11, 16), ("worthless", "worthless\u0085", 18, 28)]
+    assert got[1] == [] and got[2] is None and got[3] == []
+
+
+def test_prefix_variants_lose_no_pair(spark):
+    import random
+
+    draw = random.Random(7)
+    make = lambda n: sorted({"".join(draw.choice("abc") for _ in range(draw.randint(1, 9))) for _ in range(n)})
+    a, b = make(80), make(80)
+    words = spark.createDataFrame([(x.upper(),) for x in a], "token string")
+    known = spark.createDataFrame([(x,) for x in b], "surface string")
+    want = {tuple(r) for r in matching.fuzzy_pairs(words.select(F.lower("token").alias("token")), known, 2).collect()}
+    every = words.select(F.lower("token").alias("token")).join(known, F.levenshtein(F.lower("token"), F.col("surface")) <= 2).distinct()
+    assert len(want) == every.count()
+    for prefix in (3, 5):
+        assert {tuple(r) for r in matching.fuzzy_pairs(words, known, 2, prefix, case_sensitive=False).collect()} == want
