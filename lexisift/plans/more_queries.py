@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
@@ -191,6 +191,27 @@ def merge_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("conv_id", F.length("text").alias("characters"), "totalMatches", "maxSeverity", "results", (F.floor(F.col("confidence") * 1000 + 0.5) / 1000).alias("confidence"))
 
 
+_TRUST = "CASE WHEN {n} = 0 THEN 1.0::DOUBLE ELSE least(1.0, greatest(0.1, (0.7 + least(1.0, length(text)::DOUBLE / 100) * 0.2 + least(1.0, {n}::DOUBLE / 5) * 0.1)))::DOUBLE END"
+
+
+@query("compare_results", hits_sql(f""", d AS (SELECT n.doc_id, n.text, count(h.doc_id) AS na, count(h.doc_id) FILTER (severity >= 2) AS nb, greatest(1, coalesce(max(severity), 1)) AS sa, greatest(1, coalesce(max(severity) FILTER (severity >= 2), 1)) AS sb FROM norm n LEFT JOIN hits h ON h.doc_id = n.doc_id GROUP BY ALL),
+f AS (SELECT doc_id, nb - na AS n, sb - sa AS s, {_TRUST.format(n="nb")} - {_TRUST.format(n="na")} AS c FROM d),
+g AS (SELECT *, concat_ws(' ', CASE WHEN n > 0 THEN n || ' more matches found.' WHEN n < 0 THEN -n || ' fewer matches found.' END, CASE WHEN s > 0 THEN 'Higher severity detected.' WHEN s < 0 THEN 'Lower severity detected.' END, CASE WHEN abs(c) > 0.1 THEN 'Confidence ' || CASE WHEN c > 0 THEN 'increased' ELSE 'decreased' END || ' by ' || printf('%.2f', abs(c)) || '.' END) AS parts FROM f)
+SELECT doc_id, CAST(n AS INT) AS "matchesDiff", CAST(s AS INT) AS "severityDiff", floor(c * 1000 + 0.5) / 1000 AS "confidenceDiff", CASE WHEN parts = '' THEN 'Results are similar.' ELSE parts END AS summary FROM g"""))
+def compare_results(spark: SparkSession, sf: str) -> DataFrame:
+    """All matches of a text against those of severity 2 or more: counts, severities and confidences."""
+    from ..operators import scoring
+
+    m = base.with_matches(spark, sf)
+
+    def side(x: Column) -> dict[str, Column]:
+        return {"totalMatches": F.size(x), "maxSeverity": results.max_severity(x), "confidence": scoring.document_confidence(x, F.col("text"))}
+
+    c = results.comparison(side(F.col("matches")), side(F.filter("matches", lambda x: x["severity"] >= 2)))
+    c["confidenceDiff"] = F.floor(c["confidenceDiff"] * 1000 + 0.5) / 1000
+    return m.select("doc_id", *[v.alias(k) for k, v in c.items()])
+
+
 _COUNTS = ", ".join(f"CAST(count(*) FILTER (x.language = '{k}') AS INT) AS {k}" for k in ("en", "fr"))
 
 
