@@ -339,6 +339,25 @@ def test_line_dedup_planted_groups(spark):
     assert len(check_line_components(spark, list(dict.fromkeys(lines)), 0.98)) > 300
 
 
+def one_bucket(spark, monkeypatch, lines, keys):
+    """All lines get the given band keys, so that the buckets hold all of them."""
+    real = line_dedup.band_keys
+    monkeypatch.setattr(line_dedup, "band_keys", lambda x: real(x).withColumn("keys", F.array(*[F.lit(k).cast("long") for k in keys])).distinct())
+
+
+def test_line_dedup_one_shared_bucket(spark, monkeypatch):
+    """Similar lines that share a single open bucket are linked, whatever else it holds."""
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = [word(60) for _ in range(20)]
+    for _ in range(20):
+        stem = word(80)
+        lines += [f"{stem}{word(4)}", f"{stem}{word(4)}"]
+    one_bucket(spark, monkeypatch, lines, [7])
+    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)  # several blocks
+    assert len(check_line_components(spark, lines, 1)) == 20
+
+
 def test_line_dedup_against_brute_force(spark):
     """Every dropped place, on real documents."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
