@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexisift.llm import common, decontam, language_id, near_dedup, packing, quality, sharding, token_store, vector_dedup
+from lexisift.llm import common, decontam, language_id, line_dedup, near_dedup, packing, quality, sharding, token_store, vector_dedup
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -182,6 +182,17 @@ def test_near_duplicates_banded_blocks(spark, monkeypatch):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_pipeline_lines_of_a_chain(spark, monkeypatch):
+    """Windows over one text, each similar to the next one only: all are one component, though every shingle is common."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(190))
+    chain = [text[i : i + 30] for i in range(0, 160, 2)]
+    real = line_dedup.band_keys
+    monkeypatch.setattr(line_dedup, "band_keys", lambda x: real(x).withColumn("keys", F.array(*[F.lit(k).cast("long") for k in range(3)])).distinct())
+    docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.lines(spark, docs, SF).collect()] == [0]
+
+
 def test_pipeline_stages(spark):
     """Each filtering stage on its own input: the columns stay, decisions take effect, odd rows don't break it."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
