@@ -358,6 +358,21 @@ def test_line_dedup_one_shared_bucket(spark, monkeypatch):
     assert len(check_line_components(spark, lines, 1)) == 20
 
 
+def test_line_dedup_frees_shuffle_files(spark):
+    """A staged table of line dedup leaves no shuffle files behind, and the session's setting as it was."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def names():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size())}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = names(), spark.conf.get(key)
+    table = line_dedup.staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    assert not [x for x in names() - before if x.startswith("shuffle_") and x.endswith(".data")]
+    assert table.count() == 7 and spark.conf.get(key) == was
+
+
 def test_line_dedup_against_brute_force(spark):
     """Every dropped place, on real documents."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
