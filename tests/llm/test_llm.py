@@ -373,6 +373,37 @@ def test_line_dedup_frees_shuffle_files(spark):
     assert table.count() == 7 and spark.conf.get(key) == was
 
 
+def test_line_dedup_profiles_and_sets(spark):
+    """Sizes and bitmaps are those of the sets, repeats or not; a shingle turns one word only; pairs are confirmed by one intersection."""
+    rng = random.Random(41)
+    word = lambda n: "".join(rng.choice("ab\u00e9\U0001f600") for _ in range(n))
+    base = [word(60) for _ in range(12)]
+    lines = list(dict.fromkeys([*base, *[x[:50] + word(4) for x in base], *[x * 3 for x in base], "a" * 90, "a" * 40, "ab" * 30, "x"]))
+    texts = line_dedup.lines_of(frame(spark, lines)).select("h", "line")
+    profiles = line_dedup.profiles_of(texts)
+    plan = profiles._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bit_xor(") == 1 and "array_distinct(transform" in plan
+    profiles = {r["h"]: r for r in profiles.collect()}
+    units = lambda x: [x.encode("utf-16-be")[i : i + 2 * line_dedup.SHINGLE] for i in range(0, max(len(x.encode("utf-16-be")) - 2 * line_dedup.SHINGLE, 0) + 1, 2)]
+    sets = {r["h"]: set(units(r["line"])) for r in texts.collect()}
+    assert {h: r["n"] for h, r in profiles.items()} == {h: len(x) for h, x in sets.items()}
+    pairs = [(a, b, len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b]
+    want = {(a, b) for a, b, _, _ in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    given = spark.createDataFrame(pairs, "a long, b long, na long, nb long")
+    confirmed = line_dedup._confirmed(given, texts, line_dedup.SIMILAR)
+    assert {(r["a"], r["b"]) for r in confirmed.collect()} == want and len(want) >= 2
+    for a, b in want:
+        apart = sum(bin((profiles[a][f"p{k}"] ^ profiles[b][f"p{k}"]) & (1 << 64) - 1).count("1") for k in range(line_dedup.PROFILE))
+        assert 180 * apart <= 20 * (len(sets[a]) + len(sets[b]))
+
+
+def test_line_dedup_staged_settings(spark):
+    """Settings hold while a table is written, and not beyond."""
+    key = next(iter(line_dedup._ONE_MAP))
+    was = spark.conf.get(key)
+    assert line_dedup.staged(spark.range(9), "set", line_dedup._ONE_MAP).count() == 9 and spark.conf.get(key) == was
+
+
 def test_line_dedup_against_brute_force(spark):
     """Every dropped place, on real documents."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
