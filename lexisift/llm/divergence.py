@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, binaries, byte_class, give_back, n_partitions, ranges, spans, staged, steps, text_buffer
+from .common import LOWER, binaries, byte_class, give_back, ranges, spans, staged, steps, text_buffer
 
 LEAST_DOCUMENTS, TOP_TERMS = 3, 200
 #: The unit of a chance, and the two steps in which it is divided.
 UNIT, FIRST, SECOND = 1_000_000_000, 100_000, 10_000
-#: Counts (source, term) of a block of terms.
-BLOCK_COUNTS = 1_000_000
+#: Counts (source, term) of a block of terms, on average.
+BLOCK_COUNTS = 200_000
 #: Numbers of an outer product made at once.
 CELLS = 1 << 21
 
@@ -195,7 +195,6 @@ def _divergences(lang: tuple, rows: pa.Table, groups: pa.Table) -> pa.Table:
 def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank: a source's divergence from each other source of its language,
     and the terms that it uses more than its language does."""
-    spark = docs.sparkSession
     of_term = Window.partitionBy("lang", "term")
     kept = term_counts(docs).withColumns({"in_docs": F.sum("docs").over(of_term), "in_lang": F.sum("n").over(of_term)}).where(F.col("in_docs") >= least)
     kept = staged(kept.select("lang", "source", "term", "n", "in_lang"), "terms")
@@ -203,7 +202,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select(_text("lang"), _text("source")).distinct().join(own, ["lang", "source"], "left").join(terms, "lang", "left")
     groups = staged(groups.na.fill(0, ["total", "terms", "lang_total"]), "sources")
-    blocks = max(n_partitions(spark), -(-kept.count() // BLOCK_COUNTS))
+    blocks = max(1, -(-kept.count() // BLOCK_COUNTS))
     dealt = kept.select("lang", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block"), "source", "term", "n")
     every = groups.select("lang", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "source", "total", "terms")
     parts = dealt.groupBy("lang", "block").cogroup(every.groupBy("lang", "block")).applyInArrow(_divergences, "lang string, source string, item string, value long")
