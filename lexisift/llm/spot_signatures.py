@@ -37,18 +37,20 @@ from pyspark.sql import functions as F
 from .common import LOWER, binaries, byte_class, distinct_in, give_back, hash_spans, mix, n_partitions, ranges, spans, steps, text_buffer
 
 CHAIN, GAP, RARE = 2, 6, 4
-ROWS_A_BUCKET = 50_000
+ROWS_A_BUCKET = 20_000
 
 #: ASCII letters and digits, and every byte of a character beyond ASCII.
 WORD = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F), negate=True)
 
-#: Function words of English, German, French and Spanish.
+#: Function words of English, German, French and Spanish (fixed values).
+# fmt: off
 COMMON = {
-    "en": "a an and are as at be but by can for from had has have he her his i if in is it its not of on or she so than that the their then there these they this to was we were when which who will with you".split(),
-    "de": "aber als am an auch auf aus bei bis da das dass dem den der des die du ein eine einem einen einer er es für hat ich im in ist kann mit nach nicht noch nur oder sich sie sind so und uns vom von vor war was wie wir zu zum zur über".split(),
-    "fr": "au aux avec car ce ces cette comme dans de des donc du elle en est et été il ils je la le les leur lui mais ne nous on ou où par pas plus pour qu que qui sa sans se ses si son sont sur un une vous à".split(),
-    "es": "a al como con de del desde donde el ella en entre era es esta este fue ha hay la las le lo los más me mi muy no o para pero por porque que se ser si sin sobre son su sus también un una y ya".split(),
+    "en": ["a", "an", "and", "are", "as", "at", "be", "but", "by", "can", "for", "from", "had", "has", "have", "he", "her", "his", "i", "if", "in", "is", "it", "its", "not", "of", "on", "or", "she", "so", "than", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "we", "were", "when", "which", "who", "will", "with", "you"],
+    "de": ["aber", "als", "am", "an", "auch", "auf", "aus", "bei", "bis", "da", "das", "dass", "dem", "den", "der", "des", "die", "du", "ein", "eine", "einem", "einen", "einer", "er", "es", "für", "hat", "ich", "im", "in", "ist", "kann", "mit", "nach", "nicht", "noch", "nur", "oder", "sich", "sie", "sind", "so", "und", "uns", "vom", "von", "vor", "war", "was", "wie", "wir", "zu", "zum", "zur", "über"],
+    "fr": ["au", "aux", "avec", "car", "ce", "ces", "cette", "comme", "dans", "de", "des", "donc", "du", "elle", "en", "est", "et", "été", "il", "ils", "je", "la", "le", "les", "leur", "lui", "mais", "ne", "nous", "on", "ou", "où", "par", "pas", "plus", "pour", "qu", "que", "qui", "sa", "sans", "se", "ses", "si", "son", "sont", "sur", "un", "une", "vous", "à"],
+    "es": ["a", "al", "como", "con", "de", "del", "desde", "donde", "el", "ella", "en", "entre", "era", "es", "esta", "este", "fue", "ha", "hay", "la", "las", "le", "lo", "los", "más", "me", "mi", "muy", "no", "o", "para", "pero", "por", "porque", "que", "se", "ser", "si", "sin", "sobre", "son", "su", "sus", "también", "un", "una", "y", "ya"],
 }
+# fmt: on
 
 
 def _common() -> np.ndarray:
