@@ -20,6 +20,7 @@ of segments met before in the same Python worker.
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -87,6 +88,8 @@ class Encoder:
     """Encodes Arrow string columns to flat ids and offsets."""
 
     def __init__(self, path: str, specials: bool = False) -> None:
+        # the tasks of an executor are its parallelism: a thread pool in each worker only costs CPU time
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
