@@ -1,10 +1,10 @@
-"""Candidates: exact (an automaton inside the row, or an equi-join on the first token for large lexicons) and fuzzy (delete variants)."""
+"""Candidates: exact (an automaton inside the row, or an equi-join of word sequences for large lexicons) and fuzzy (delete variants)."""
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SPACE, let, normalize, similarity, split_words
+from ..session import staged
 from ..sources.lexicon import delete_variants
 
 PIECES = "[a-z0-9]+|[^a-z0-9]+"
-#: First tokens of surfaces that one pass holds.
-FIRST_TOKENS = 20_000
+WORDS = "[A-Za-z0-9_]+"
+#: Surfaces that an automaton is built of; larger lexicons are matched by joins.
+AUTOMATON_ROWS = 200_000
+#: Units of a surface that make its key; the rest of a longer one is compared in the row.
+KEY_UNITS = 9
+#: Keys of surfaces, and pairs of near words, that are sent to all tasks; more of them are joined by a shuffle.
+SENT_ROWS = 1_000_000
 MATCH = "struct<word:string,match:string,start:int,end:int,severity:int,categories:array<string>,language:string,confidence:double,distance:int>"
 
 # Default exceptions.
@@ -41,30 +47,6 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(pieces).alias("idx", "token")).where(F.col("token").rlike("^[a-z0-9]"))
 
 
-def exact_hits(docs: DataFrame, lexicon: DataFrame, same_language: str | None = None) -> DataFrame:
-    """A row per exact occurrence of a surface between non-alphanumeric neighbours, phrases included.
-
-    A document's tokens are held against the set of the surfaces' first tokens inside its row, so only
-    hits leave it, with their place and the text ahead; those meet the lexicon by an equi-join on the
-    first token, and the rest of the surface and its end are checked on the joined rows.  First tokens
-    are sent in blocks of at most FIRST_TOKENS.  Surfaces that begin with another character than [a-z0-9] have no such
-    token; they are found by the automaton."""
-    odd = lexicon.where(~F.col("surface_norm").rlike("^[a-z0-9]"))
-    lex = lexicon.where(F.col("surface_norm").rlike("^[a-z0-9]")).withColumn("first", F.regexp_extract("surface_norm", "^[a-z0-9]+", 0))
-    lex = lex.select(F.col("lang").alias("language"), "surface_norm", "term", "is_variation", "severity", "categories", "base_conf", "first")
-    known = sorted({r["first"] for r in lex.select("first", "surface_norm").distinct().collect()})
-    longest = (lex.agg(F.max(F.size(F.split("surface_norm", "(?<=[a-z0-9])(?=[^a-z0-9])|(?<=[^a-z0-9])(?=[a-z0-9])")))).first()[0] or 1) + 1
-    out = None
-    for i in range(0, max(1, len(known)), FIRST_TOKENS):
-        part = _hits(docs, lex, known[i : i + FIRST_TOKENS], longest, same_language)
-        out = part if out is None else out.unionByName(part)
-    if odd.isEmpty():
-        return out
-    rows = docs.withColumn("_langs", F.array(same_language)) if same_language else docs
-    more = hit_rows(automaton_matches(rows, odd, languages="_langs" if same_language else None)).drop("_langs")
-    return out.select(*more.columns).unionByName(more)
-
-
 def by_start(found: Column) -> Column:
     """Matches by start, then end, term and language."""
     return F.transform(F.array_sort(F.transform(found, lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e"), m.alias("m")))), lambda x: x["m"])
@@ -76,23 +58,6 @@ def hit_rows(found: DataFrame) -> DataFrame:
     return rows.select("*", "_m.start", "_m.end", "_m.word", F.col("_m.match").alias("term"), "_m.language", "_m.severity", "_m.categories", F.col("_m.confidence").alias("base_conf")).drop("_m")
 
 
-def _hits(docs: DataFrame, lex: DataFrame, first: list[str], longest: int, same_language: str | None) -> DataFrame:
-    def placed(pieces: Column) -> Column:
-        found = F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: x["p"].isin(first or [""]))
-        start = lambda x: F.aggregate(F.slice(pieces, F.lit(1), x["i"]), F.lit(0), lambda a, p: a + F.length(p))
-        ahead = lambda x: F.array_join(F.slice(pieces, x["i"] + 1, F.lit(longest)), "")
-        return F.transform(found, lambda x: F.struct(x["p"].alias("token"), start(x).alias("start"), ahead(x).alias("ahead")))
-
-    hit = docs.withColumn("h", F.explode(let(F.regexp_extract_all("norm", F.lit(PIECES), F.lit(0)), placed)))
-    hit = hit.select("*", "h.token", "h.start", "h.ahead").drop("h")
-    on = F.col("token") == F.col("first")
-    if same_language:
-        on = on & (F.col(same_language) == F.col("language"))
-    hit, n = hit.join(lex, on), F.length("surface_norm")
-    hit = hit.where(F.substring("ahead", F.lit(1), n) == F.col("surface_norm")).where(~F.substring("ahead", n + 1, F.lit(1)).rlike("[a-z0-9]"))
-    return hit.withColumn("end", F.col("start") + n).withColumn("word", F.col("surface_norm")).drop("ahead", "token", "first")
-
-
 def fuzzy_pairs(words: DataFrame, dictionary: DataFrame, distance: int = 1, prefix: int | None = None, case_sensitive: bool = True) -> DataFrame:
     """(token, surface, distance) of all pairs within the edit distance.
 
@@ -139,6 +104,17 @@ def lowest_distance(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.min(F.struct("distance", *[c for c in rest if c != "distance"])).alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
+def places_of(pieces: Column, wanted: Column) -> Column:
+    """(word, start) of those pieces of a text that are among the wanted ones, from one pass over a text that has any."""
+    none = F.array().cast("array<struct<word:string,start:int>>")
+
+    def step(a: Column, p: Column) -> Column:
+        here = F.when(F.array_contains(wanted, p), F.concat(a["out"], F.array(F.struct(p.alias("word"), a["at"].alias("start"))))).otherwise(a["out"])
+        return F.struct((a["at"] + F.length(p)).alias("at"), here.alias("out"))
+
+    return F.when(F.size(wanted) == 0, none).otherwise(F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"]))
+
+
 def similar_places(text: Column, patterns: list[str], threshold: float = 0.8) -> Column:
     """(pattern, match, similarity, start, end) of the words between white space that are like a pattern, as an array of
     the row; words in order, a word's patterns in theirs.  Words are judged once each; offsets come from one pass over a text that has any."""
@@ -149,16 +125,7 @@ def similar_places(text: Column, patterns: list[str], threshold: float = 0.8) ->
 
     def placed(pieces: Column) -> Column:
         words = F.filter(F.array_distinct(pieces), lambda w: F.exists(every, lambda p: similarity(w, p) >= threshold))
-        none = F.array().cast("array<struct<word:string,start:int>>")
-
-        def walk(found: Column) -> Column:
-            def step(a: Column, p: Column) -> Column:
-                here = F.when(F.array_contains(found, p), F.concat(a["out"], F.array(F.struct(p.alias("word"), a["at"].alias("start"))))).otherwise(a["out"])
-                return F.struct((a["at"] + F.length(p)).alias("at"), here.alias("out"))
-
-            return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"]))
-
-        return let(words, walk)
+        return let(words, lambda found: places_of(pieces, found))
 
     places = let(F.regexp_extract_all(text, F.lit(f"{SPACE}+|[^{SPACE[1:]}+"), F.lit(0)), placed)
     rows = F.transform(places, lambda x: F.transform(alike(x["word"]), lambda p: F.struct(p.alias("pattern"), x["word"].alias("match"), similarity(x["word"], p).alias("similarity"), x["start"].alias("start"), (x["start"] + F.length(x["word"])).alias("end"))))
@@ -195,26 +162,25 @@ def keep(hits: DataFrame, min_severity: int = 1, categories: list[str] | None =
 _BUILT: dict[str, tuple] = {}
 
 
-def index_of(name: str, rows: list[dict], distance: int) -> tuple:
-    """An automaton of all surfaces, a delete-variant index of the base words, and the lexicon's columns; built once a worker."""
+def index_of(name: str, rows: list[dict]) -> tuple:
+    """An automaton of all surfaces, the base words' rows by surface, and the lexicon's columns; built once a worker."""
     if name not in _BUILT:
         import ahocorasick
 
         if len(_BUILT) >= 8:
             _BUILT.clear()
-        automaton, by_surface, variants = ahocorasick.Automaton(), {}, {}
+        automaton, by_surface, base = ahocorasick.Automaton(), {}, {}
         for i, r in enumerate(rows):
             if r["surface_norm"]:
                 by_surface.setdefault(r["surface_norm"], []).append(i)
-            if distance and not r["is_variation"]:
-                for v in _deletes(r["surface_norm"], distance):
-                    variants.setdefault(v, set()).add(i)
+            if not r["is_variation"]:
+                base.setdefault(r["surface_norm"], []).append(i)
         for s, ids in by_surface.items():
             automaton.add_word(s, (len(s), ids))
         if by_surface:
             automaton.make_automaton()
         kinds = {"term": pa.string(), "severity": pa.int32(), "categories": pa.list_(pa.string()), "lang": pa.string(), "base_conf": pa.float64()}
-        _BUILT[name] = automaton, variants, {c: pa.array([r[c] for r in rows], kind) for c, kind in kinds.items()}
+        _BUILT[name] = automaton, base, {c: pa.array([r[c] for r in rows], kind) for c, kind in kinds.items()}
     return _BUILT[name]
 
 
@@ -227,55 +193,52 @@ def spans_array(counts: list[int], at: list[int], to: list[int], which: list[int
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.array(counts, np.int64))]).astype(np.int32)), structs)
 
 
-def _deletes(word: str, distance: int) -> set[str]:
-    out = {word}
-    for _ in range(distance):
-        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
-    return out
+def near_words(docs: DataFrame, lexicon: DataFrame, distance: int) -> DataFrame:
+    """(token, surface, distance) of the texts' words near a base word, itself left out: a staged table.
 
-
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or most + 1 where it is greater."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+    The texts' different words meet the base words' delete variants once, however often a word occurs."""
+    words = docs.where(F.length("norm") >= 3).select(F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(WORDS), F.lit(0)))).alias("token"))
+    base = lexicon.where("not is_variation").select(F.col("surface_norm").alias("surface"))
+    return staged(fuzzy_pairs(words.where(F.length("token") >= 2), base, distance).where("distance > 0"), "near")
 
 
-def automaton_matches(docs: DataFrame, lexicon: DataFrame, distance: int = 0, unicode_borders: bool = False, languages: str | None = None, max_rows: int = 200_000) -> DataFrame:
+def automaton_matches(docs: DataFrame, lexicon: DataFrame, distance: int = 0, unicode_borders: bool = False, languages: str | None = None, max_rows: int = AUTOMATON_ROWS) -> DataFrame:
     """docs with `candidates`, all spans of one pass of an automaton over `norm` (any script, symbols in
-    surfaces included), and fuzzy tokens with distance > 0.  `languages` names an array column that
-    restricts each text's languages.  The lexicon is sent to the executors, at most max_rows surfaces."""
+    surfaces included), and, with distance > 0, words near a base word.  `languages` names an array column that
+    restricts each text's languages.
+
+    The lexicon is sent to the executors, at most max_rows surfaces, and so are at most SENT_ROWS pairs of near words; beyond
+    either number the same candidates come from `join_matches`."""
     rows = [r.asDict() for r in lexicon.limit(max_rows + 1).collect()]
     if len(rows) > max_rows:
-        raise ValueError(f"a lexicon of over {max_rows} surfaces is matched by exact_hits and fuzzy_hits")
-    shared, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
+        return join_matches(docs, lexicon, distance, unicode_borders, languages)
+    pairs: list | None = []
+    if distance and docs.isStreaming:
+        pairs = None  # a stream's words can't be listed beforehand: each worker looks its own up
+    elif distance:
+        near = near_words(docs, lexicon, distance)
+        pairs = near.limit(SENT_ROWS + 1).collect()
+        if len(pairs) > SENT_ROWS:
+            return join_matches(docs, lexicon, distance, unicode_borders, languages, near)
+    near_by: dict[str, list[tuple[str, int]]] | None = None
+    if pairs is not None:
+        near_by = {}
+        for token, surface, d in pairs:
+            near_by.setdefault(token, []).append((surface, d))
+    shared, name = docs.sparkSession.sparkContext.broadcast((rows, near_by)), uuid.uuid4().hex
     names = docs.columns
     spot, lang_at = names.index("norm"), names.index(languages) if languages else None
-    word = re.compile(r"[A-Za-z0-9_]+")
+    word = re.compile(WORDS)
 
     def inner(ch: str) -> bool:
         return ch.isalnum() if unicode_borders else ch.isascii() and ch.isalnum()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
-        automaton, variants, columns = index_of(name, lex, distance)
+        lex, near_by = shared.value
+        automaton, base, columns = index_of(name, lex)
         langs = [r["lang"] for r in lex]
-        near: dict[str, list[tuple[int, int]]] = {}
-
-        def lookup(token: str) -> list[tuple[int, int]]:
-            if token not in near:
-                if len(near) > 500_000:
-                    near.clear()
-                ids = set().union(*(variants.get(v, ()) for v in _deletes(token, distance)))
-                near[token] = sorted((d, i) for i in ids if 0 < (d := edit_distance(token, lex[i]["surface_norm"], distance)) <= distance)
-            return near[token]
+        near = None if near_by is None else {t: [(d, i) for s, d in found for i in base[s]] for t, found in near_by.items()}
+        lookup = near.get if near is not None else own_lookup(base, distance)
 
         for batch in batches:
             counts, at, to, which, far, words = [], [], [], [], [], []
@@ -290,14 +253,149 @@ def automaton_matches(docs: DataFrame, lexicon: DataFrame, distance: int = 0, un
                             for i in ids:
                                 if ok is None or langs[i] in ok:
                                     at.append(s), to.append(e), which.append(i), far.append(0), words.append(text[s:e])
-                    if distance:
+                    if near is None or near:
                         for m in word.finditer(text):
-                            if m.end() - m.start() >= 2:
-                                for d, i in lookup(m.group()):
-                                    if ok is None or langs[i] in ok:
-                                        at.append(m.start()), to.append(m.end()), which.append(i), far.append(d), words.append(m.group())
+                            for d, i in lookup(m.group()) or ():
+                                if ok is None or langs[i] in ok:
+                                    at.append(m.start()), to.append(m.end()), which.append(i), far.append(d), words.append(m.group())
                 counts.append(len(at) - before)
             yield pa.RecordBatch.from_arrays([*batch.columns, spans_array(counts, at, to, which, far, words, columns)], names=[*names, "candidates"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("candidates", T.ArrayType(T._parse_datatype_string(MATCH)))])
     return docs.mapInArrow(run, schema)
+
+
+# ---------------------------------------------------------------- a stream's own lookup
+
+
+def own_lookup(base: dict[str, list[int]], distance: int) -> Callable[[str], list[tuple[int, int]]]:
+    """(distance, row) of the base words near a word, found in this worker by delete variants, each different word once."""
+    variants: dict[str, set[str]] = {}
+    for s in base:
+        for v in _deletes(s, distance):
+            variants.setdefault(v, set()).add(s)
+    near: dict[str, list[tuple[int, int]]] = {}
+
+    def lookup(token: str) -> list[tuple[int, int]]:
+        if len(token) < 2:
+            return []
+        if token not in near:
+            if len(near) > 500_000:
+                near.clear()
+            met = set().union(*(variants.get(v, ()) for v in _deletes(token, distance)))
+            near[token] = sorted((d, i) for s in met if 0 < (d := edit_distance(token, s, distance)) <= distance for i in base[s])
+        return near[token]
+
+    return lookup
+
+
+def _deletes(word: str, distance: int) -> set[str]:
+    out = {word}
+    for _ in range(distance):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
+
+
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Levenshtein distance, or most + 1 where it is greater."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+# ---------------------------------------------------------------- lexicons of any size
+
+
+def units(c: Column, unicode_borders: bool = False) -> Column:
+    """A text as a list of runs of alphanumeric characters and single other characters.  A surface stands in a text, between
+    borders, exactly where its units are units of the text and no alphanumeric one touches its outer symbols."""
+    inner = _inner(unicode_borders)
+    return F.regexp_extract_all(c, F.lit(f"[{inner}]+|[^{inner}]"), F.lit(0))
+
+
+def _inner(unicode_borders: bool) -> str:
+    return r"\p{L}\p{N}" if unicode_borders else "A-Za-z0-9"
+
+
+def _keys(text: Column, sizes: list[int], unicode_borders: bool) -> Column:
+    """(at, key) of all sequences of so many units that may begin a surface: those without an alphanumeric unit before them."""
+
+    def keyed(u: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(u) - 1), lambda i: (i == 0) | ~F.get(u, i - 1).rlike(f"^[{_inner(unicode_borders)}]"))
+        long_ = lambda i: F.filter(F.array(*map(F.lit, sizes)), lambda n: i + n <= F.size(u))
+        return F.flatten(F.transform(begins, lambda i: F.transform(long_(i), lambda n: F.struct(i.alias("at"), F.xxhash64(F.array_join(F.slice(u, i + 1, n), "")).alias("key")))))
+
+    return let(units(text, unicode_borders), keyed)
+
+
+def join_matches(docs: DataFrame, lexicon: DataFrame, distance: int = 0, unicode_borders: bool = False, languages: str | None = None, near: DataFrame | None = None) -> DataFrame:
+    """The candidates of `automaton_matches` for a lexicon of any size, without a Python step.
+
+    Sequences of units, as many as surfaces have (at most KEY_UNITS), meet the surfaces by the hash of their text; only numbers are
+    shuffled.  The few that meet come back to their row, where the whole surface is compared and its place found.  Keys of up to
+    SENT_ROWS surfaces, counted before, are sent to all tasks ahead of that join, so that sequences of no surface never leave theirs.
+    Near words come back in the same way.  The rows get numbers, so docs are staged first: a batch table, no stream."""
+    spark = docs.sparkSession
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    empty = F.array().cast(f"array<{MATCH}>")
+    lex = lexicon.where(F.length("surface_norm") > 0).withColumn("_u", units(F.col("surface_norm"), unicode_borders))
+    info = F.struct(F.col("term").alias("match"), F.col("severity").cast("int").alias("severity"), "categories", F.col("lang").alias("language"), F.col("base_conf").alias("confidence"))
+    lex = staged(lex.select(F.size("_u").alias("n"), F.xxhash64(F.array_join(F.slice("_u", 1, KEY_UNITS), "")).alias("key"), "surface_norm", "is_variation", info.alias("info")), "surfaces")
+    known = lex.groupBy(F.least("n", F.lit(KEY_UNITS)).alias("n")).agg(F.count_distinct("key").alias("keys")).collect()
+    out = rows
+    if known:
+        met = rows.where(F.length("norm") >= 3).select("_row", F.explode(_keys(F.col("norm"), sorted(r["n"] for r in known), unicode_borders)).alias("k")).select("_row", "k.at", "k.key")
+        if sum(r["keys"] for r in known) <= SENT_ROWS:
+            met = met.join(F.broadcast(lex.select("key").distinct()), "key", "left_semi")
+        hits = met.join(lex.select("key", "n", "surface_norm", "info"), "key").groupBy("_row").agg(F.collect_list(F.struct("at", "n", "surface_norm", "info")).alias("_hits"))
+        out = out.join(hits, "_row", "left").withColumn("candidates", F.when(F.col("_hits").isNotNull(), _placed(F.col("norm"), F.array_sort("_hits"), unicode_borders)).otherwise(empty)).drop("_hits")
+    else:
+        out = out.withColumn("candidates", empty)
+    if distance:
+        near = near_words(docs, lexicon, distance) if near is None else near
+        about = near.join(lex.where("not is_variation").select(F.col("surface_norm").alias("surface"), "info"), "surface").select("token", F.struct("token", "distance", "info").alias("near"))
+        words = rows.where(F.length("norm") >= 3).select("_row", F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(WORDS), F.lit(0)))).alias("token"))
+        found = words.join(about, "token").groupBy("_row").agg(F.collect_list("near").alias("_near"))
+        out = out.join(found, "_row", "left").withColumn("candidates", F.concat("candidates", F.when(F.col("_near").isNotNull(), _near_placed(F.col("norm"), F.col("_near"))).otherwise(empty))).drop("_near")
+    if languages:
+        out = out.withColumn("candidates", F.filter("candidates", lambda m: F.coalesce(F.array_contains(F.col(languages), m["language"]), F.lit(False))))
+    return out.select(*docs.columns, "candidates")
+
+
+def _match(word: Column, start: Column, info: Column, distance: Column) -> Column:
+    trust = F.when(distance > 0, F.greatest(F.lit(0.5), 1 - 0.2 * distance)).otherwise(1.0)
+    return F.struct(word.alias("word"), info["match"].alias("match"), start.alias("start"), (start + F.length(word)).alias("end"), info["severity"].alias("severity"), info["categories"].alias("categories"), info["language"].alias("language"), (info["confidence"] * trust).alias("confidence"), distance.alias("distance"))
+
+
+def _placed(text: Column, hits: Column, unicode_borders: bool) -> Column:
+    """Hits (at, n, surface_norm, info), by unit, that are whole surfaces between borders, as candidates with offsets.
+
+    Offsets come from one walk: the units between one hit and the next are measured once."""
+
+    def body(u: Column) -> Column:
+        outer = lambda x: ~F.coalesce(x.rlike(f"^[{_inner(unicode_borders)}]"), F.lit(False))
+        whole = lambda h: (F.array_join(F.slice(u, h["at"] + 1, h["n"]), "") == h["surface_norm"]) & (~outer(F.get(u, h["at"] + h["n"] - 1)) | outer(F.get(u, h["at"] + h["n"])))
+
+        def step(a: Column, h: Column) -> Column:
+            pos = a["pos"] + F.length(F.array_join(F.slice(u, a["at"] + 1, h["at"] - a["at"]), ""))
+            return F.struct(h["at"].alias("at"), pos.alias("pos"), F.concat(a["out"], F.array(_match(h["surface_norm"], pos, h["info"], F.lit(0)))).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("pos"), F.array().cast(f"array<{MATCH}>").alias("out"))
+        return F.aggregate(F.filter(hits, whole), start, step, lambda a: a["out"])
+
+    return let(units(text, unicode_borders), body)
+
+
+def _near_placed(text: Column, near: Column) -> Column:
+    """Every place of the words in `near` (token, distance, info) as candidates."""
+    pieces = F.regexp_extract_all(text, F.lit(f"{WORDS}|[^{WORDS[1:]}"), F.lit(0))
+    places = let(pieces, lambda p: places_of(p, F.transform(near, lambda x: x["token"])))
+    of = lambda p: F.transform(F.filter(near, lambda x: x["token"] == p["word"]), lambda x: _match(p["word"], p["start"], x["info"], x["distance"]))
+    return F.flatten(F.transform(places, of))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import EMOJI, let, split_words
-from .scoring import trim_space
+from . import places
+from .scoring import trim_space, windows
 
 # The tone word lists, the advice and the patterns.
 AGGRESSIVE = ["hate", "angry", "furious", "rage", "kill", "destroy", "fight"]
@@ -121,22 +122,57 @@ def recommendations(matches: Column, text: Column) -> Column:
     return F.filter(F.array(*given), lambda x: x.isNotNull())
 
 
-def position(text: Column, start: Column, end: Column) -> dict[str, Column]:
-    """Line and column from 1, word and sentence numbers from 0."""
-    head = F.substring(text, F.lit(1), start)
-    line = F.regexp_count(head, F.lit("\n")) + 1
-    tail = F.locate("\n", F.reverse(head))
-    column = F.when(tail == 0, F.length(head) + 1).otherwise(tail)
-    return {"lineNumber": line, "columnStart": column, "columnEnd": column + end - start, "wordIndex": F.regexp_count(head, F.lit(r"(?<=\S)\s")), "sentenceIndex": F.regexp_count(head, F.lit("[.!?]"))}
+def _counts(text: Column, matches: Column) -> Column:
+    """For each match, by start: line feeds, words and sentence marks before it, and the last line feed (-1 without one).
 
+    The text between one match and the next is searched once; running sums make the rest."""
+    last = F.lit(-1)
 
-def wide_context(text: Column, start: Column, end: Column) -> dict[str, Column]:
-    """Fifty characters on either side and the sentence that holds the match."""
-    lo = F.greatest(F.lit(0), start - 50)
-    head, tail = F.substring(text, F.lit(1), start), F.substring(text, start + 1, F.length(text))
-    left = F.regexp_extract(head, r"[^.!?]*$", 0)
-    right = F.regexp_extract(tail, r"^[^.!?]*", 0)
-    return {"before": trim_space(F.substring(text, lo + 1, start - lo)), "after": trim_space(F.substring(text, end + 1, F.lit(50))), "sentence": F.when(F.length(right) >= end - start, trim_space(F.concat(left, right))).otherwise("")}
+    def between(parts: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            at = F.when(i == 0, 0).otherwise(F.get(matches, i - 1)["start"])
+
+            def body(seg: Column) -> Column:
+                piece, ahead = seg["text"], seg["ahead"]
+                tail = F.locate("\n", F.reverse(piece))
+                return F.struct(F.regexp_count(piece, F.lit("\n")).alias("lines"), F.regexp_count(ahead, F.lit(r"(?<=\S)\s")).alias("words"), F.regexp_count(piece, F.lit("[.!?]")).alias("marks"), F.when(tail == 0, last).otherwise(m["start"] - tail).alias("feed"))
+
+            # a word's end is seen from the character before
+            return let(F.struct(places.cut(parts, at, m["start"]).alias("text"), places.cut(parts, F.greatest(at - 1, F.lit(0)), m["start"]).alias("ahead")), body)
+
+        return F.transform(matches, one)
+
+    def add(a: Column, b: Column) -> Column:
+        return F.struct(*[(a[k] + b[k]).alias(k) for k in ("lines", "words", "marks")], F.greatest(a["feed"], b["feed"]).alias("feed"))
+
+    zero = F.struct(*[F.lit(0).alias(k) for k in ("lines", "words", "marks")], last.alias("feed"))
+    return F.when(F.size(matches) > 0, places.running(let(places.chunks(text), between), zero, add)).otherwise(F.array().cast("array<struct<lines:int,words:int,marks:int,feed:int>>"))
+
+
+def positions(text: Column, matches: Column) -> Column:
+    """For each match, by start: line and column from 1, word and sentence numbers from 0."""
+
+    def one(m: Column, n: Column) -> Column:
+        # without a line feed before it the column is the offset + 1, as for one at -1
+        column = m["start"] - n["feed"]
+        return F.struct((n["lines"] + 1).alias("lineNumber"), column.alias("columnStart"), (column + m["end"] - m["start"]).alias("columnEnd"), n["words"].alias("wordIndex"), n["marks"].alias("sentenceIndex"))
+
+    return F.zip_with(matches, _counts(text, matches), one)
+
+
+def wide_contexts(text: Column, matches: Column) -> Column:
+    """For each match: fifty characters on either side and the sentence that holds it."""
+
+    def index(t: Column) -> Column:
+        return F.struct(places.chunks(t).alias("parts"), places.sentences(t, "[.!?]").alias("s"))
+
+    def one(m: Column, ix: Column) -> Column:
+        left, right = windows(m, ix["parts"], 50)
+        s = ix["s"]
+        whole = let(places.last_up_to(s["starts"], m["start"]), lambda a: F.when(F.get(s["starts"], a) + F.get(s["lengths"], a) >= m["end"], trim_space(F.get(s["pieces"], a))).otherwise(""))
+        return F.struct(left.alias("before"), right.alias("after"), whole.alias("sentence"))
+
+    return places.by_match(text, matches, index, one)
 
 
 def suggestions(word: Column, categories: Column) -> Column:
@@ -157,14 +193,18 @@ def reason(confidence: Column, severity: Column, categories: Column) -> Column:
 
 
 def enhance(matches: Column, text: Column) -> Column:
-    """Matches with position, context, suggestions, reason and edit distance."""
+    """Matches, by start, with position, context, suggestions, reason and edit distance."""
+    ordered = F.array_sort(matches, lambda a, b: a["start"] - b["start"])
 
-    def one(m: Column) -> Column:
-        nest = lambda d: F.struct(*[c.alias(k) for k, c in d.items()])
+    def one(m: Column, about: Column) -> Column:
         fields = [m[k].alias(k) for k in ("word", "match", "start", "end", "severity", "categories", "language", "confidence")]
-        return F.struct(*fields, nest(position(text, m["start"], m["end"])).alias("position"), nest(wide_context(text, m["start"], m["end"])).alias("context"), suggestions(m["word"], m["categories"]).alias("suggestions"), reason(m["confidence"], m["severity"], m["categories"]).alias("reason"), (F.lower(m["word"]) != F.lower(m["match"])).alias("isFuzzyMatch"), F.levenshtein(m["word"], m["match"]).alias("editDistance"), m["confidence"].alias("rawScore"))
+        return F.struct(*fields, about["position"].alias("position"), about["context"].alias("context"), suggestions(m["word"], m["categories"]).alias("suggestions"), reason(m["confidence"], m["severity"], m["categories"]).alias("reason"), (F.lower(m["word"]) != F.lower(m["match"])).alias("isFuzzyMatch"), F.levenshtein(m["word"], m["match"]).alias("editDistance"), m["confidence"].alias("rawScore"))
+
+    def body(found: Column) -> Column:
+        about = F.zip_with(positions(text, found), wide_contexts(text, found), lambda p, c: F.struct(p.alias("position"), c.alias("context")))
+        return F.zip_with(found, about, one)
 
-    return F.transform(matches, one)
+    return let(ordered, body)
 
 
 def merge(results: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, let, round2
+from . import places
 
 # Words and limits of the context rules.
 NEGATING = ["not", "don't", "doesn't", "never", "hardly", "barely"]
@@ -18,31 +19,35 @@ def trim_space(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def before(text: Column, start: Column, width: int = WINDOW) -> Column:
-    lo = F.greatest(F.lit(0), start - width)
-    return trim_space(F.substring(text, lo + 1, start - lo))
+def windows(m: Column, parts: Column, width: int = WINDOW) -> tuple[Column, Column]:
+    """What stands before and after a match, without space at the ends."""
+    return trim_space(places.cut(parts, F.greatest(F.lit(0), m["start"] - width), m["start"])), trim_space(places.cut(parts, m["end"], m["end"] + width))
 
 
-def after(text: Column, end: Column, width: int = WINDOW) -> Column:
-    return trim_space(F.substring(text, end + 1, F.lit(width)))
+def contexts(text: Column, matches: Column, sentence: bool = False) -> Column:
+    """For each match: `m`, where its sentence starts (lo), the sentence's length without space around it (size), the windows before and
+    after (left, right), and the sentence itself if asked for.
 
+    A sentence starts behind the last period before the match and ends at the next period that doesn't follow the match at once."""
 
-def sentence_start(text: Column, start: Column) -> Column:
-    """Just behind the last period before the match."""
-    head = F.substring(text, F.lit(1), start)
-    last = F.locate(".", F.reverse(head))
-    return F.when(last == 0, F.lit(0)).otherwise(F.length(head) - last + 1)
+    def index(t: Column) -> Column:
+        return F.struct(places.chunks(t).alias("parts"), places.sentences(t).alias("s"))
 
+    def one(m: Column, ix: Column) -> Column:
+        s = ix["s"]
+        first, last = places.last_up_to(s["starts"], m["start"]), places.last_up_to(s["starts"], m["end"] + 1)
 
-def sentence_end(text: Column, end: Column) -> Column:
-    """The next period that doesn't follow the match at once, else the end."""
-    rest = F.locate(".", F.substring(text, end + 2, F.length(text)))
-    return F.when(rest == 0, F.length(text)).otherwise(end + rest)
+        def body(at: Column) -> Column:
+            a, b = at["a"], at["b"]
+            lo, hi = F.get(s["starts"], a), F.get(s["starts"], b) + F.get(s["lengths"], b)
+            size = F.greatest(F.lit(0), hi - F.get(s["right"], b) - lo - F.get(s["left"], a))
+            left, right = windows(m, ix["parts"])
+            whole = [trim_space(places.cut(ix["parts"], lo, hi)).alias("sentence")] if sentence else []
+            return F.struct(m.alias("m"), lo.alias("lo"), size.alias("size"), left.alias("left"), right.alias("right"), *whole)
 
+        return let(F.struct(first.alias("a"), last.alias("b")), body)
 
-def sentence(text: Column, start: Column, end: Column) -> Column:
-    lo = sentence_start(text, start)
-    return trim_space(F.substring(text, lo + 1, sentence_end(text, end) - lo))
+    return places.by_match(text, matches, index, one)
 
 
 def negated(left: Column) -> Column:
@@ -69,26 +74,16 @@ def clamp(c: Column, lo: float = 0.1, hi: float = 1.0) -> Column:
     return F.least(F.lit(hi), F.greatest(F.lit(lo), c))
 
 
-def context_confidence(text: Column, start: Column, end: Column) -> Column:
+def context_confidence(context: Column) -> Column:
     """Short sentences and places near their ends count less, strong words around count more."""
-    return _weighed(_around(text, start, end), start)
 
-
-def _around(text: Column, start: Column, end: Column) -> Column:
-    """Where the sentence starts, its length without space around it, and the windows before and after."""
-    bounds = F.struct(sentence_start(text, start).alias("lo"), sentence_end(text, end).alias("hi"))
-    size = lambda b: F.length(trim_space(F.substring(text, b["lo"] + 1, b["hi"] - b["lo"])))
-    return let(bounds, lambda b: F.struct(b["lo"].alias("lo"), size(b).alias("size"), before(text, start).alias("left"), after(text, end).alias("right")))
-
-
-def _weighed(around: Column, start: Column) -> Column:
     def body(a: Column) -> Column:
-        place = start - a["lo"]
+        place = a["m"]["start"] - a["lo"]
         c = F.when(a["size"] < 10, 0.8).otherwise(1.0)
         c = c * F.when((place < 5) | (place > a["size"] - 10), 0.9).otherwise(1.0)
         return clamp(c * F.when(surrounded(a["left"], a["right"]), 1.2).otherwise(1.0))
 
-    return let(around, body)
+    return let(context, body)
 
 
 def final_confidence(confidence: Column, word: Column, term: Column, severity: Column) -> Column:
@@ -134,13 +129,9 @@ def document_confidence(matches: Column, text: Column) -> Column:
 def in_context(matches: Column, text: Column) -> Column:
     """The context filter over an array of matches: negated and technical ones go, quoted ones count less."""
 
-    def weigh(m: Column) -> Column:
-        def body(a: Column) -> Column:
-            gone = negated(a["left"]) | technical(a["left"], a["right"])
-            return F.when(gone, F.lit(-1.0)).otherwise(m["confidence"] * F.when(quoted(a["left"], a["right"]), 0.7).otherwise(1.0) * _weighed(a, m["start"]))
-
-        return m.withField("confidence", let(_around(text, m["start"], m["end"]), body))
-
-    return F.filter(F.transform(matches, weigh), lambda m: m["confidence"] >= LEAST_CONFIDENCE)
-
+    def weigh(a: Column) -> Column:
+        gone = negated(a["left"]) | technical(a["left"], a["right"])
+        trust = a["m"]["confidence"] * F.when(quoted(a["left"], a["right"]), 0.7).otherwise(1.0) * context_confidence(a)
+        return a["m"].withField("confidence", F.when(gone, F.lit(-1.0)).otherwise(trust))
 
+    return F.filter(F.transform(contexts(text, matches), weigh), lambda m: m["confidence"] >= LEAST_CONFIDENCE)

@@ -255,8 +255,9 @@ CAST(len(regexp_extract_all(h, '\\S\\s')) AS INT) AS word_index, CAST(len(regexp
 
 @query("match_positions", hits_sql(_POSITION))
 def match_positions(spark: SparkSession, sf: str) -> DataFrame:
-    p = results.position(F.col("norm"), F.col("start"), F.col("end"))
-    return base.hits(spark, sf).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "word", "term", p["lineNumber"].alias("line"), p["columnStart"].alias("col"), p["wordIndex"].alias("word_index"), p["sentenceIndex"].alias("sentence_index"))
+    found = F.zip_with("matches", results.positions(F.col("norm"), F.col("matches")), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+    rows = base.with_matches(spark, sf).select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.m", "x.p")
+    return rows.select("doc_id", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"), "m.word", F.col("m.match").alias("term"), F.col("p.lineNumber").alias("line"), F.col("p.columnStart").alias("col"), F.col("p.wordIndex").alias("word_index"), F.col("p.sentenceIndex").alias("sentence_index"))
 
 
 @query("phrase_match", hits_sql("SELECT doc_id, word, count(*) AS n FROM hits WHERE n_tokens > 1 GROUP BY doc_id, word"))
@@ -356,15 +357,13 @@ g AS (SELECT *, base_conf * (CASE WHEN quoted THEN 0.7::DOUBLE ELSE 1.0 END) * c
 h AS (SELECT *, floor(least(1.0::DOUBLE, greatest(0.1::DOUBLE, conf * (CASE WHEN word = lower(term) THEN 1.1::DOUBLE ELSE 1.0 END) * (CASE WHEN length(term) <= 3 THEN 0.8::DOUBLE ELSE 1.0 END) * (CASE WHEN severity >= 3 THEN 1.1::DOUBLE ELSE 1.0 END) * (CASE WHEN regexp_matches(word, '[0-9]') THEN 0.7::DOUBLE ELSE 1.0 END))) * 100 + 0.5) / 100 AS final FROM g WHERE conf >= 0.3)"""
 
 
-def _context(spark: SparkSession, sf: str) -> DataFrame:
-    """Hit rows with the two windows and the rules' verdicts."""
-    t, s, e = F.col("norm"), F.col("start"), F.col("end")
-    c = base.hits(spark, sf).withColumns({"l": scoring.before(t, s), "r": scoring.after(t, e)})
-    left, right = F.col("l"), F.col("r")
-    return c.withColumns({"negated": scoring.negated(left), "technical": scoring.technical(left, right), "quoted": scoring.quoted(left, right), "cc": scoring.context_confidence(t, s, e)})
-
-
-
+def _context(spark: SparkSession, sf: str, sentence: bool = False) -> DataFrame:
+    """Hit rows with the two windows and the rules' verdicts, all found inside the document's row."""
+    rows = base.with_matches(spark, sf).select("doc_id", F.explode(scoring.contexts(F.col("norm"), F.col("matches"), sentence)).alias("c"))
+    m, left, right = F.col("c.m"), F.col("c.left"), F.col("c.right")
+    fields = [m["start"].alias("start"), m["end"].alias("end"), m["word"].alias("word"), m["match"].alias("term"), m["severity"].alias("severity"), m["confidence"].alias("base_conf")]
+    verdicts = {"negated": scoring.negated(left), "technical": scoring.technical(left, right), "quoted": scoring.quoted(left, right), "cc": scoring.context_confidence(F.col("c"))}
+    return rows.select("doc_id", *fields, left.alias("l"), right.alias("r"), *([F.col("c.sentence").alias("sentence")] if sentence else []), *[v.alias(k) for k, v in verdicts.items()])
 
 
 def _hit_columns() -> list[Column]:
@@ -373,8 +372,7 @@ def _hit_columns() -> list[Column]:
 
 @query("context_windows", hits_sql(_CONTEXT_SQL + " SELECT doc_id, start, word, l AS before, r AS after, s AS sentence FROM e"))
 def context_windows(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("norm")
-    return _context(spark, sf).select(*_hit_columns(), F.col("l").alias("before"), F.col("r").alias("after"), scoring.sentence(t, F.col("start"), F.col("end")).alias("sentence"))
+    return _context(spark, sf, sentence=True).select(*_hit_columns(), F.col("l").alias("before"), F.col("r").alias("after"), "sentence")
 
 
 @query("negation_filter", hits_sql(_CONTEXT_SQL + " SELECT doc_id, start, word, negated FROM e"))

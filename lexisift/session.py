@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -41,3 +42,22 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return ship(spark)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the folder that all executors share; only a session that names none (tests) gets a local one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = got.get() if got.isDefined() else None
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="lexisift-")
+        spark.sparkContext.setCheckpointDir(where)
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: lineage ends there, and its rows stay as they are."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,13 +37,52 @@ def test_delete_join_equals_brute_force(spark):
         assert got == want
 
 
-def test_exact_hits_equal_automaton(spark):
-    d = matching.normalized(docs(spark, "You idiot, shut up! of the idiot", "scumbag scum", "idiots_x idiot-y", "", None))
-    lex = lx.surfaces(lx.built_in(spark))
-    en = lex.where("lang = 'en'")
-    rows = matching.exact_hits(d, en).select("doc_id", "start", "end", "word").collect()
-    auto = matching.automaton_matches(d, en).select("doc_id", F.explode("candidates").alias("m")).select("doc_id", "m.start", "m.end", "m.word").collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, auto)) and len(rows) > 5
+def spans(df):
+    found = df.select("doc_id", F.explode("candidates").alias("m")).select("doc_id", "m.*")
+    return sorted((r["doc_id"], r["start"], r["end"], r["word"], r["match"], r["language"], r["severity"], tuple(r["categories"]), r["distance"], round(r["confidence"], 9)) for r in found.collect())
+
+
+@pytest.mark.parametrize("unicode_borders", [False, True])
+@pytest.mark.parametrize("distance", [0, 2])
+def test_joins_find_what_the_automaton_finds(spark, monkeypatch, unicode_borders, distance):
+    rng = random.Random(distance)
+    texts = ["You idiot, shut up! of the idiot", "scumbag scum scvm", "idiots_x idiot-y", "", None, "id", "очень плохо! плохое", "a $bad one, b.d b.d. $$bad x$bad $bad$", "kill you\nkill  you kill you", "idiott idyot 바보 바보야 ab a b"]
+    texts += ["".join(rng.choice("ab $.é") for _ in range(40)) for _ in range(60)]
+    d = matching.normalized(docs(spark, *texts)).withColumn("langs", F.when(F.col("doc_id") % 3 != 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("en"), F.lit("ko"))))
+    words = ["bad", "$bad", "плохо", "b.d", "a b", "$", "a", "ab", "a $", "é a", "b a b a b a b a b a b", "a.b", "b$"]
+    lex = lx.surfaces(lx.built_in(spark).unionByName(lx.from_entries(spark, [{"lang": "en", "word": w, "severity": 2, "categories": ["general"], "variations": [w + "x"]} for w in words])))
+    for languages in (None, "langs"):
+        want = spans(matching.automaton_matches(d, lex, distance, unicode_borders, languages))
+        assert len({w[4] for w in want}) > 12 and (distance == 0 or any(w[8] for w in want))
+        assert spans(matching.automaton_matches(d, lex, distance, unicode_borders, languages, max_rows=3)) == want
+    monkeypatch.setattr(matching, "SENT_ROWS", 0)
+    assert spans(matching.automaton_matches(d, lex, distance, unicode_borders, "langs")) == want
+
+
+def test_a_streams_own_lookup_is_the_join(spark):
+    lex = [r.asDict() for r in lx.surfaces(lx.built_in(spark)).collect()]
+    _, base, _ = matching.index_of("test", lex)
+    words = ["idiott", "idiot", "idyot", "scm", "merd", "a", "xyz", "killyou"]
+    look = matching.own_lookup(base, 2)
+    got = {(w, lex[i]["surface_norm"], d) for w in words for d, i in look(w)}
+    d = matching.normalized(docs(spark, *(w + " .." for w in words)))
+    assert got == {(r["token"], r["surface"], r["distance"]) for r in matching.near_words(d, lx.surfaces(lx.built_in(spark)), 2).collect()}
+
+
+def test_a_lexicon_of_a_million_surfaces(spark):
+    """Far beyond what an automaton is built of: the detector finds by joins what stands in the texts."""
+    code = F.conv(F.col("id").cast("string"), 10, 36)
+    n = 1_000_000
+    entries = spark.range(n).select(F.lit("en").alias("lang"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("w"), F.lower(code), F.lit(" of x"), F.lower(code))).otherwise(F.concat(F.lit("w"), F.lower(code), F.lit("q"))).alias("word"), F.lit(2).alias("severity"), F.array(F.lit("general")).alias("categories"), F.array().cast("array<string>").alias("variations"), F.lit(False).alias("case_sensitive"), F.col("id").cast("int").alias("seq"))
+    pick = [0, 1, 4, 77, 500_000, 999_999, 999_996]
+    rows = entries.where(F.col("seq").isin(pick)).select("seq", "word").collect()
+    texts = [f"here {r['word']} stands, {r['word']}" for r in rows] + ["nothing of it", None]
+    out = api.Detector(spark, cfg.Config(fuzzy=False, context=False), entries).matches(docs(spark, *texts))
+    got = {r["doc_id"]: [(m["start"], m["word"]) for m in r["matches"]] for r in out.collect()}
+    assert len(rows) == len(pick)
+    for k, r in enumerate(rows):
+        assert got[k] == [(5, r["word"]), (5 + len(r["word"]) + 9, r["word"])]
+    assert got[len(rows)] == got[len(rows) + 1] == []
 
 
 def test_overlaps_leave_disjoint_spans(spark):

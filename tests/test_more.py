@@ -36,14 +36,6 @@ def test_lowest_distance(spark):
     assert {tuple(r) for r in matching.lowest_distance(rows, ["doc_id", "word"]).collect()} == {(1, "a", 1, "y"), (2, "a", 3, "z")}
 
 
-def test_join_plan_finds_what_the_automaton_finds(spark):
-    lex = lx.surfaces(entries(spark, "bad", "bad word", "$bad", "плохо", "b.d"))
-    rows = matching.normalized(docs(spark, "a bad word, a $bad one", "очень плохо!", "b.d b.d", None, "", "ba"))
-    key = lambda df: sorted((r["doc_id"], r["start"], r["end"], r["term"]) for r in df.collect())
-    got = key(matching.exact_hits(rows, lex))
-    assert got == key(matching.hit_rows(matching.automaton_matches(rows, lex))) and {r[3] for r in got} == {"bad", "bad word", "$bad", "плохо", "b.d"}
-
-
 def test_batch_filter(spark):
     texts = docs(spark, "this is T text", "clean")
     found = matching.automaton_matches(matching.normalized(texts), lx.surfaces(entries(spark, "t"))).select("doc_id", F.col("candidates").alias("matches"))
