@@ -67,11 +67,12 @@ class Detector:
             out = out.withColumn("languages", F.array(*map(F.lit, c.languages)))
         return matching.automaton_matches(out, self.lexicon(), c.max_distance, c.unicode_borders, "languages")
 
-    def _scored(self, candidates: Column, norm: Column) -> Column:
-        """Filtered, weighed and resolved candidates with their last confidence."""
+    def _scored(self, candidates: Column, norm: Column, languages: Column) -> Column:
+        """Filtered, weighed and resolved candidates with their last confidence; `max_matches` bounds what is looked at,
+        the languages taking their turns, and fuzzy ones only while less than half of it is spent."""
         c = self.config
         if c.max_matches:
-            candidates = F.slice(matching.by_start(candidates), 1, c.max_matches)
+            candidates = scoring.budget(candidates, languages, c.max_matches, max(1, c.max_matches // 2))
         kept = self._kept(candidates)
         if c.context:
             kept = scoring.in_context(kept, norm)
@@ -80,7 +81,7 @@ class Detector:
 
     def matches(self, docs: DataFrame) -> DataFrame:
         """docs with norm, languages and matches."""
-        return self._candidates(docs).withColumn("matches", self._scored(F.col("candidates"), F.col("norm"))).drop("candidates")
+        return self._candidates(docs).withColumn("matches", self._scored(F.col("candidates"), F.col("norm"), F.col("languages"))).drop("candidates")
 
     def _kept(self, found: Column) -> Column:
         c = self.config
@@ -138,24 +139,31 @@ class Detector:
         return parts
 
     def multi_language(self, docs: DataFrame, languages: list[str]) -> DataFrame:
-        """The union of all languages' matches, matches by language, whether several have any, the primary language.
+        """The union of all languages' matches, matches by language, whether several have any, the primary language, and its result.
 
         One pass over the texts with the lexicon of all the languages; each language's candidates are then filtered, weighed and
-        resolved on their own, inside the row, as a detector of that language alone would."""
+        resolved on their own, inside the row, as a detector of that language alone would.  The primary language is the one detected
+        with the highest confidence (0.1 where it isn't), the first of equal ones; `result` (hasProfanity, totalMatches, maxSeverity,
+        confidence, matches) is made of its matches alone."""
         one = self.with_config(languages=languages)
         out = one._candidates(docs)
-        names, conf = F.array(*map(F.lit, languages)), langid.detect(F.col("text"))
 
         def part(code: str) -> Column:
-            return F.struct(F.lit(code).alias("language"), one._scored(F.filter("candidates", lambda m: m["language"] == code), F.col("norm")).alias("matches"))
+            mine = F.filter("candidates", lambda m: m["language"] == code)
+            return F.struct(F.lit(code).alias("language"), one._scored(mine, F.col("norm"), F.array(F.lit(code))).alias("matches"))
 
-        parts = F.array(*map(part, languages))
-        out = out.withColumn("_parts", parts).withColumn("_found", conf)
-        rank = F.transform(names, lambda code, i: F.struct(F.greatest(F.lit(0.1), langid.confidence_of(F.col("_found"), code)).alias("c"), (F.lit(0) - i).alias("k"), code.alias("code")))
+        out = out.withColumn("_parts", F.array(*map(part, languages))).withColumn("_found", langid.detect(F.col("text")))
+        rank = [F.struct(F.greatest(F.lit(0.1), langid.confidence_of(F.col("_found"), code)).alias("c"), F.lit(-i).alias("k")) for i, code in enumerate(languages)]
+        first = F.get("_parts", -F.array_max(F.array(*rank))["k"])
         counts = F.filter(F.transform("_parts", lambda p: F.struct(p["language"].alias("result_language"), F.size(p["matches"]).alias("n"))), lambda x: x["n"] > 0)
-        out = out.select("doc_id", F.flatten(F.transform("_parts", lambda p: p["matches"])).alias("matches"), F.sort_array(counts).alias("by_language"), F.array_max(rank)["code"].alias("primary"))
+        out = out.withColumn("_first", first).select("doc_id", F.flatten(F.transform("_parts", lambda p: p["matches"])).alias("matches"), F.sort_array(counts).alias("by_language"), F.col("_first.language").alias("primary"), one._result(F.col("_first.matches"), F.col("text")).alias("result"))
         return out.withColumn("cross_language", F.size("by_language") > 1)
 
+    @staticmethod
+    def _result(m: Column, text: Column) -> Column:
+        fields = {"hasProfanity": F.size(m) > 0, "totalMatches": F.size(m), "maxSeverity": results.max_severity(m), "confidence": scoring.document_confidence(m, text), "matches": m}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
     def add_language(self, code: str) -> Detector:
         """The detector with one more language; a language that it has changes nothing."""
         return self if code in self.config.languages else self.with_config(languages=[*self.config.languages, code])

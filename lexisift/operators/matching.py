@@ -132,13 +132,52 @@ def similar_places(text: Column, patterns: list[str], threshold: float = 0.8) ->
     return F.flatten(rows)
 
 
+def similar_pairs(words: DataFrame, patterns: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(w, pattern, similarity) of all pairs of a word and a pattern that are similar enough (threshold above 0), each pair once.
+
+    A word of length n at most d edits from a pattern, cut into d + 1 segments, has one that stands unchanged in the pattern, at most d
+    places away.  So a word's segments, for each length that a pattern may have, meet the patterns' substrings at those places by
+    equality, and no pair is lost; the similarity itself is worked out for those that meet."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    known = patterns.where(F.length("pattern") > 0).select("pattern", F.lower("pattern").alias("p")).distinct()
+    lengths = [r[0] for r in known.select(F.length("p")).distinct().collect()]
+    slack = 1e-9
+    edits = lambda a, b: F.floor((1 - threshold) * F.greatest(a, b) + slack).cast("int")
+    size = lambda n, d, s: F.floor(n / (d + 1)).cast("int") + (s >= d + 1 - n % (d + 1)).cast("int")
+    start = lambda n, d, s: s * F.floor(n / (d + 1)).cast("int") + F.greatest(F.lit(0), s - (d + 1 - n % (d + 1)))
+
+    def segments(w: Column) -> Column:
+        n = F.length(w)
+        near = F.filter(F.array(*map(F.lit, lengths)), lambda m: F.least(n, m) >= threshold * F.greatest(n, m) - slack)
+        cut_ = lambda m, d: F.transform(F.sequence(F.lit(0), d), lambda s: F.struct(m.alias("m"), n.alias("n"), s.alias("s"), F.substring(w, start(n, d, s) + 1, size(n, d, s)).alias("seg")))
+        return F.flatten(F.transform(near, lambda m: let(edits(n, m), lambda d: cut_(m, d))))
+
+    def substrings(p: Column) -> Column:
+        m = F.length(p)
+
+        def placed(n: Column, d: Column) -> Column:
+            def of(s: Column) -> Column:
+                at = lambda k: F.greatest(F.lit(0), F.least(m - size(n, d, s), start(n, d, s) + k))
+                return F.array_distinct(F.transform(F.sequence(-d, d), lambda k: F.struct(m.alias("m"), n.alias("n"), s.alias("s"), F.substring(p, at(k) + 1, size(n, d, s)).alias("seg"))))
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), d), of))
+
+        likely = F.sequence(F.greatest(F.lit(1), F.ceil(threshold * m - slack).cast("int")), F.floor(m / threshold + slack).cast("int"))
+        return F.flatten(F.transform(likely, lambda n: let(edits(n, m), lambda d: placed(n, d))))
+
+    if not lengths:
+        return words.select("w").limit(0).withColumns({"pattern": F.lit(""), "similarity": F.lit(0.0)})
+    left = words.select("w").distinct().where(F.length("w") > 0).select("w", F.explode(segments(F.lower("w"))).alias("k")).select("w", "k.*")
+    right = known.select("pattern", F.explode(substrings(F.col("p"))).alias("k")).select("pattern", "k.*")
+    met = left.join(right, ["m", "n", "s", "seg"]).select("w", "pattern").distinct()
+    return met.withColumn("similarity", similarity(F.col("w"), F.col("pattern"))).where(F.col("similarity") >= threshold)
+
+
 def similar_words(docs: DataFrame, patterns: DataFrame, threshold: float = 0.8, text: str = "text") -> DataFrame:
-    """Words of a text similar to a pattern: distinct words first, a length bound before the distance."""
+    """A row per word of a text (doc_id, w) and pattern that is similar to it: the different words meet the patterns first."""
     words = docs.select("doc_id", F.explode(split_words(F.lower(F.col(text)))).alias("w"))
-    distinct = words.select("w").distinct()
-    bound = F.least(F.length("w"), F.length("pattern")) >= threshold * F.greatest(F.length("w"), F.length("pattern"))
-    near = distinct.join(patterns.select("pattern"), bound).withColumn("similarity", similarity(F.col("w"), F.col("pattern"))).where(F.col("similarity") >= threshold)
-    return words.join(near, "w")
+    return words.join(similar_pairs(words, patterns, threshold), "w")
 
 
 def best_pattern(c: Column, patterns: list[str], least: float = 0.0) -> Column:

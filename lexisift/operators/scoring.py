@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,6 +114,31 @@ def resolve_overlaps(matches: Column) -> Column:
     return F.aggregate(ordered, F.slice(matches, 1, 0), step)
 
 
+def budget(candidates: Column, languages: Column, most: int, fuzzy_below: int) -> Column:
+    """At most so many candidates of a text, spent language by language in the languages' order.
+
+    A language's exact ones come first, by end, the longer first; its fuzzy ones follow, word by word in the order of their first places,
+    the nearest base words first, each at all its places; they are left out where `fuzzy_below` or more were taken before the language."""
+    none = F.slice(candidates, 1, 0)
+
+    def by(found: Column, key: Callable[[Column], list[Column]]) -> Column:
+        return F.transform(F.array_sort(F.transform(found, lambda m: F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key(m))], m.alias("m")))), lambda x: x["m"])
+
+    def step(kept: Column, code: Column) -> Column:
+        mine = F.filter(candidates, lambda m: m["language"] == code)
+        exact = F.slice(by(F.filter(mine, lambda m: m["distance"] == 0), lambda m: [m["end"], m["start"], m["match"]]), F.lit(1), F.greatest(F.lit(0), most - F.size(kept)))
+
+        def then(found: Column) -> Column:
+            near = F.filter(mine, lambda m: m["distance"] > 0)
+            first = lambda m: F.array_min(F.transform(F.filter(near, lambda x: x["word"] == m["word"]), lambda x: x["start"]))
+            fuzzy = F.slice(by(near, lambda m: [first(m), m["distance"], m["match"], m["start"]]), F.lit(1), F.greatest(F.lit(0), most - F.size(found)))
+            return F.when(F.size(kept) < fuzzy_below, F.concat(found, fuzzy)).otherwise(found)
+
+        return let(F.concat(kept, exact), then)
+
+    return F.aggregate(languages, none, step)
+
+
 def first_per_start(matches: Column) -> Column:
     """The shortest span of each start."""
     ordered = F.array_sort(matches, lambda a, b: F.when(F.struct(a["start"], a["end"]) < F.struct(b["start"], b["end"]), -1).when(F.struct(a["start"], a["end"]) > F.struct(b["start"], b["end"]), 1).otherwise(0))

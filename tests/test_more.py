@@ -251,3 +251,23 @@ def test_prefix_variants_lose_no_pair(spark):
     assert len(want) == every.count()
     for prefix in (3, 5):
         assert {tuple(r) for r in matching.fuzzy_pairs(words, known, 2, prefix, case_sensitive=False).collect()} == want
+
+
+@pytest.mark.parametrize("threshold", [0.34, 0.5, 0.6, 0.75, 0.8, 1.0])
+def test_similarity_join_loses_no_pair(spark, threshold):
+    import random
+
+    draw = random.Random(int(threshold * 100))
+    make = lambda n, most: sorted({"".join(draw.choice("abcé") for _ in range(draw.randint(0, most))) for _ in range(n)})
+    words, patterns = spark.createDataFrame([(x,) for x in make(150, 12)], "w string"), spark.createDataFrame([(x.upper(),) for x in make(60, 10)], "pattern string")
+    near = matching.similar_pairs(words, patterns, threshold)
+    every = words.where("w != ''").crossJoin(patterns.where("pattern != ''")).withColumn("s", tx.similarity(F.col("w"), F.col("pattern"))).where(F.col("s") >= threshold)
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, every.collect())) and every.count() > 0
+    assert "NestedLoop" not in near._jdf.queryExecution().toString() and "Cartesian" not in near._jdf.queryExecution().toString()
+
+
+def test_similarity_join_of_no_patterns(spark):
+    words = spark.createDataFrame([("a",)], "w string")
+    assert matching.similar_pairs(words, words.select(F.col("w").alias("pattern")).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        matching.similar_pairs(words, words.select(F.col("w").alias("pattern")), 0)
