@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -179,16 +178,23 @@ def lower_in(c: Column, language: str) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss")) if language == "de" else F.lower(c)
 
 
-def unicode_form(form: str):
-    """A function to the Unicode form NFC, NFD, NFKC or NFKD, for which Spark has none of its own."""
+def unicode_form(form: str) -> Callable[[Column], Column]:
+    """A function to the Unicode form NFC, NFD, NFKC or NFKD: ICU's, which comes with Spark, called inside the JVM."""
+    call = {"NFC": ("compose", False), "NFKC": ("compose", True), "NFD": ("decompose", False), "NFKD": ("decompose", True)}
+    name, compatible = call[form]
 
-    @F.pandas_udf("string")
-    def to_form(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+    def to_form(c: Column) -> Column:
+        text = F.coalesce(c, F.lit(""))
+        return F.when(c.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(name), text, F.lit(compatible)))
 
     return to_form
 
 
+def remove_diacritics(c: Column) -> Column:
+    """The combining marks of every script's decomposed letters dropped (U+0300 to U+036F), the rest composed again."""
+    return unicode_form("NFC")(F.regexp_replace(unicode_form("NFD")(c), r"[\x{300}-\x{36f}]", ""))
+
+
 def remove_emoji(c: Column) -> Column:
     return F.regexp_replace(c, EMOJI, "")
 
@@ -204,7 +210,7 @@ def remove_bidi(c: Column) -> Column:
 def process(
     c: Column,
     language: str = "en",
-    form: str | None = None,
+    form: str | None = "NFKC",
     diacritics: bool = True,
     rtl: bool = True,
     keep_space: bool = False,
@@ -213,10 +219,11 @@ def process(
     lowercase: bool = True,
     punctuation: bool = True,
     emoji: bool = False,
-    most: int = 10_000,
+    most: int | None = None,
 ) -> Column:
-    """The configurable processor, step by step; `form` names a Unicode form (a pandas function)."""
-    c = F.substring(c, 1, most)
+    """The configurable processor, step by step; `form` names a Unicode form, `most` cuts a text first."""
+    if most is not None:
+        c = F.substring(c, 1, most)
     if form:
         c = unicode_form(form)(c)
     if control:
@@ -229,7 +236,7 @@ def process(
     if lowercase:
         c = lower_in(c, language)
     if diacritics:
-        c = strip_accents(c)
+        c = remove_diacritics(c)
     if punctuation:
         c = remove_punctuation(c, keep_space)
     if emoji:

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
-from ..config import Config
+from ..config import Config, ConfigManager
+from ..functions import text as tx
 from ..functions.text import normalize
 from ..operators import matching, scoring
+from ..session import shared_folder
 from ..sources import lexicon as lx
+from ..streaming import detect
 from . import base, more_queries
 from . import queries as core
 from .base import hits_sql, tokens_sql
-from .queries import query
+from .queries import by_doc, query
 
 
 # ---------------------------------------------------------------- lexicons of any size
@@ -126,3 +129,41 @@ def primary_result(spark: SparkSession, sf: str) -> DataFrame:
     out = api.Detector(spark, Config(fuzzy=False)).multi_language(base.docs(spark, sf), ["en", "fr"])
     r = F.col("result")
     return out.select("doc_id", "primary", r["hasProfanity"].alias("profane"), r["totalMatches"].alias("matches"), r["maxSeverity"].alias("severity"), (F.floor(r["confidence"] * 1000 + 0.5) / 1000).alias("confidence"))
+
+
+# ---------------------------------------------------------------- reloading
+
+
+_FIRST_WITHOUT, _THEN_WITHOUT = ["heit", "mente"], ["thing", "of the"]
+_RELOADED = core.detect_sql("SELECT CAST(norm.doc_id % 2 + 1 AS INT) AS lexicon_version, norm.lang, count(*) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS matches FROM norm LEFT JOIN (SELECT doc_id, count(*) AS n FROM final GROUP BY doc_id) USING (doc_id) GROUP BY ALL").replace("FROM hits WHERE", f"FROM hits WHERE NOT (doc_id % 2 = 0 AND term IN {base.in_list(_FIRST_WITHOUT)}) AND NOT (doc_id % 2 = 1 AND term IN {base.in_list(_THEN_WITHOUT)}) AND", 1)
+
+
+@query("stream_reload", _RELOADED)
+def stream_reload(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that arrive in two lots, the second after a new version of the lexicon."""
+    where = shared_folder(spark, "reload")
+    settings = f"{where}/settings"
+    spark.createDataFrame([(ConfigManager(Config(languages=core._FOUR, fuzzy=False)).export(),)], "value string").coalesce(1).write.text(settings)
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), lx.built_in(spark)
+    for k, without in enumerate((_FIRST_WITHOUT, _THEN_WITHOUT)):
+        lx.publish(known.where(~F.col("word").isin(without)), f"{where}/lexicon")
+        docs.where(F.pmod("doc_id", F.lit(2)) == k).write.mode("append").parquet(f"{where}/in")
+        stream = detect.read_documents(spark, f"{where}/in")
+        detect.detect_reloading(stream, f"{where}/lexicon", f"{where}/out", f"{where}/state", settings, lambda out: out.select("doc_id", "lang", "totalMatches")).awaitTermination()
+    got = spark.read.schema("doc_id long, lang string, totalMatches int, lexicon_version int, batch int").parquet(f"{where}/out")
+    return got.groupBy("lexicon_version", "lang").agg(F.count("*").alias("documents"), F.sum("totalMatches").alias("matches"))
+
+
+# ---------------------------------------------------------------- compatibility forms
+
+
+#: Printable ASCII characters and their full-width forms.
+_NARROW = "".join(map(chr, range(0x21, 0x7F)))
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _NARROW)
+
+
+def _wide(c: Column) -> Column:
+    return F.translate(c, _NARROW, _WIDE)
+
+
+by_doc("wide_forms", lambda c: {"form": tx.unicode_form("NFKC")(_wide(c)), "cleaned": tx.clean_for_detection(_wide(c)), "found": tx.prepare_for_search(_wide(c))}, {"form": "nfc_normalize(text)", "cleaned": core._CLEANED, "found": f"trim({core._SPREAD})"})

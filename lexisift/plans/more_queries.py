@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from ..config import Config
 from ..functions import charmap, langid
 from ..functions import text as tx
 from ..operators import matching, redaction, results
+from ..session import shared_folder
 from ..sources import lexicon as lx
 from . import base
 from . import queries as core
@@ -20,18 +18,13 @@ from .base import hits_sql, q, tokens_sql
 from .queries import by_doc, query
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexisift-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- lexicon
 
 
 @query("lexicon_json", f"WITH {core._entries_sql()} SELECT lang, word, severity, array_to_string(categories, ',') AS categories, array_to_string(variations, ',') AS variations FROM en WHERE lang IN ('en', 'fr')")
 def lexicon_json(spark: SparkSession, sf: str) -> DataFrame:
     """The entries written as JSON folders and read again, two languages of them."""
-    where = _folder(spark, "lexicon")
+    where = shared_folder(spark, "lexicon")
     lx.write_json(lx.built_in(spark), where)
     return lx.read_json(spark, where, ["en", "fr"]).select("lang", "word", "severity", F.array_join("categories", ",").alias("categories"), F.array_join("variations", ",").alias("variations"))
 
@@ -257,9 +250,8 @@ def apply_filter(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- text forms
 
 
-_NO_C = "regexp_replace(substr(text, 1, 10000), '[\\p{C}]', '', 'g')"
 by_doc("unicode_nfc", lambda c: {"form": tx.unicode_form("NFC")(c)}, {"form": "nfc_normalize(text)"})
-by_doc("accents_removed", lambda c: {"plain": tx.strip_accents(c)}, {"plain": "strip_accents(text)"})
+by_doc("accents_removed", lambda c: {"plain": tx.remove_diacritics(c)}, {"plain": "strip_accents(text)"})
 by_doc("bidi_removed", lambda c: {"plain": tx.remove_bidi(c)}, {"plain": "trim(regexp_replace(text, '[\\x{200e}\\x{200f}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]', '', 'g'))"})
 by_doc("lower_tr", lambda c: {"low": tx.lower_in(c, "tr")}, {"low": "lower(translate(text, 'İI', 'iı'))"})
 by_doc("lower_de", lambda c: {"low": tx.lower_in(c, "de")}, {"low": "replace(lower(text), 'ß', 'ss')"})

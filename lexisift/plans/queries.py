@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +12,7 @@ from ..config import Config
 from ..functions import charmap, langid
 from ..functions import text as tx
 from ..operators import matching, redaction, results, scoring
+from ..session import shared_folder
 from ..sources import lexicon as lx
 from . import base
 from .base import hits_sql, q, tokens_sql
@@ -74,7 +74,7 @@ by_doc(
     {k: f.format("list_filter(list_transform(string_split_regex(text, '\\s+'), lambda w: regexp_replace(w, '[^A-Za-z0-9_]', '', 'g')), lambda w: length(w) > 1)") for k, f in {"n": "CAST(len({}) AS BIGINT)", "words": "array_to_string({}, ' ')"}.items()},
 )
 _PUNCT = "[\\x{21}-\\x{2f}\\x{3a}-\\x{40}\\x{5b}-\\x{60}\\x{7b}-\\x{7e}\\x{a1}-\\x{bf}\\x{2000}-\\x{206f}\\x{2e00}-\\x{2e7f}]"
-_PROCESSED = "translate(lower(translate(regexp_replace(substr(text, 1, 10000), '[\\p{C}]', '', 'g'), '" + "".join(tx.LANGUAGE_FOLDS["en"]) + "', '" + "".join(tx.LANGUAGE_FOLDS["en"].values()) + "')), '', '')"
+_PROCESSED = "translate(lower(translate(regexp_replace(text, '[\\p{C}]', '', 'g'), '" + "".join(tx.LANGUAGE_FOLDS["en"]) + "', '" + "".join(tx.LANGUAGE_FOLDS["en"].values()) + "')), '', '')"
 _CLEANED = _SPACED.format(f"regexp_replace(strip_accents({_PROCESSED}), '{_PUNCT}', '', 'g')")
 _SPREAD = f"regexp_replace(strip_accents({_PROCESSED}), '{_PUNCT}', ' ', 'g')"
 by_doc("clean_for_detection", lambda c: {"cleaned": tx.clean_for_detection(c)}, {"cleaned": _CLEANED})
@@ -654,10 +654,7 @@ def stream_detect(spark: SparkSession, sf: str) -> DataFrame:
     """The batch detector over a stream of the documents' files; the result is what the sink has then."""
     from ..streaming.detect import detect_stream, read_documents, write_results
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexisift-")
-    import uuid
-
-    where = f"{root}/stream-{uuid.uuid4().hex}"
+    where = shared_folder(spark, "stream")
     source = read_documents(spark, f"{sf}/documents*", files_per_trigger=25)
     stream = detect_stream(source, Config(languages=_FOUR, fuzzy=False)).select("doc_id", "lang", "totalMatches")
     write_results(stream, f"{where}/out", f"{where}/state").awaitTermination()

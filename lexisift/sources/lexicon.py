@@ -141,6 +141,31 @@ def with_custom(lexicon: DataFrame, custom: DataFrame) -> DataFrame:
     return lexicon.unionByName(own.join(lexicon.select("lang").distinct(), "lang", "left_semi"))
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a lexicon table, ascending."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def newest_version(spark: SparkSession, path: str) -> int:
+    got = versions(spark, path)
+    if not got:
+        raise ValueError(f"no version of a lexicon in {path}")
+    return got[-1]
+
+
+def publish(entries: DataFrame, path: str) -> int:
+    """Writes entries as the next version of a lexicon table; readers see it when it is whole."""
+    number = max(versions(entries.sparkSession, path), default=0) + 1
+    entries.write.mode("overwrite").parquet(f"{path}/version={number}")
+    return number
+
+
+def read_version(spark: SparkSession, path: str, number: int) -> DataFrame:
+    return spark.read.schema(ENTRIES).parquet(f"{path}/version={number}")
+
+
 def languages(entries: DataFrame) -> DataFrame:
     return entries.select("lang").distinct()
 

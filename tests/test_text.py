@@ -52,3 +52,26 @@ def test_language_fallbacks(spark):
     got = apply(spark, langid.detect, ["", "hello", "привет как дела сегодня"])
     assert [g[0]["language"] for g in got] == ["en", "en", "ru"]
     assert got[0][0]["confidence"] == 0.11 and got[1][0]["confidence"] == 0.11
+
+
+def test_unicode_forms_of_all_characters(spark):
+    import unicodedata
+
+    chars = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) != "Cn"]
+    rng = random.Random(9)
+    marks = ["́", "̈", "̧", "ᅡ", "ᆨ", "가", "ﬁ", "Å", "e", "가", "ﾞ", "か"]
+    texts = [*chars, *("".join(rng.choice(marks) for _ in range(rng.randint(2, 9))) for _ in range(2000)), ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    forms = ("NFC", "NFD", "NFKC", "NFKD")
+    plain = lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if not 0x300 <= ord(c) <= 0x36F))
+    got = rows.select("t", *[tx.unicode_form(f)(F.col("t")).alias(f) for f in forms], tx.remove_diacritics(F.col("t")).alias("plain")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["plain"] == plain(r["t"]) and all(r[f] == unicodedata.normalize(f, r["t"]) for f in forms)
+    none = spark.createDataFrame([(None,)], "t string").select(tx.unicode_form("NFKC")(F.col("t")).alias("a"), tx.process(F.col("t")).alias("b")).first()
+    assert none["a"] is None and none["b"] is None
+
+
+def test_compatible_forms_are_found(spark):
+    row = spark.createDataFrame([("Ｙｏｕ ｉｄｉｏｔ ﬁne ½ ①",)], "t string").select(tx.clean_for_detection(F.col("t")).alias("c"), F.array_join(tx.extract_letters(F.col("t")), " ").alias("w")).first()
+    assert row["c"].startswith("you idiot fine 1") and row["w"] == "you idiot fine"
