@@ -7,6 +7,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from . import places
+
 # Default replacements.
 BY_CATEGORY = {
     "general": ["inappropriate", "unsuitable"],
@@ -109,15 +112,20 @@ def qualifying(matches: Column, text: Column, r: Redaction) -> Column:
 
 
 def spans_replaced(text: Column, matches: Column, r: Redaction) -> Column:
-    """The text with each span replaced; spans must be ascending and disjoint."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """The text with each span replaced; spans must be ascending and disjoint.
 
-    def step(s: Column, m: Column) -> Column:
-        word = F.substring(text, m["start"] + 1, m["end"] - m["start"])
-        piece = F.concat(s["out"], F.substring(text, s["at"] + 1, m["start"] - s["at"]), new_word(m, word, r))
-        return F.struct(piece.alias("out"), m["end"].cast("int").alias("at"))
+    What lies between one span and the next is cut from the text's chunks once, and all pieces are joined at the end."""
+
+    def body(x: Column) -> Column:
+        parts, spans = x["parts"], x["spans"]
+
+        def piece(m: Column, i: Column) -> Column:
+            at = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
+            return F.concat(places.cut(parts, at, m["start"]), new_word(m, places.cut(parts, m["start"], m["end"]), r))
+
+        return F.concat(F.array_join(F.transform(spans, piece), ""), places.cut(parts, F.get(spans, F.size(spans) - 1)["end"], F.length(text)))
 
-    return F.aggregate(matches, state, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(matches) > 0, let(F.struct(places.chunks(text).alias("parts"), matches.alias("spans")), body)).otherwise(text)
 
 
 def tidy_sentences(c: Column, at_start: Column) -> Column:

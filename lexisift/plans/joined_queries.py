@@ -120,6 +120,10 @@ _PARTS = core.detect_sql("").replace("FROM g WHERE conf >= 0.3)", "FROM (SELECT
 _SURE = more_queries._RANKED + """ SELECT s.doc_id, greatest(0.1, coalesce(max(c) FILTER (language = 'en' AND n <= 3), CASE WHEN count(language) = 0 THEN 0.11 ELSE 0 END)) AS en, greatest(0.1, coalesce(max(c) FILTER (language = 'fr' AND n <= 3), 0)) AS fr FROM s LEFT JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id"""
 
 
+core.ORACLES["multi_language"] = f"""{_PARTS}, sure AS (SELECT doc_id, CASE WHEN fr > en THEN 'fr' ELSE 'en' END AS "primary" FROM ({_SURE}))
+SELECT sure.doc_id, "primary", CAST(count(x.doc_id) AS INT) AS n, count(DISTINCT x.language) > 1 AS cross_language FROM sure LEFT JOIN final x ON x.doc_id = sure.doc_id GROUP BY ALL"""
+
+
 @query("primary_result", f"""{_PARTS}, sure AS (SELECT doc_id, CASE WHEN fr > en THEN 'fr' ELSE 'en' END AS "primary" FROM ({_SURE})),
 pm AS (SELECT sure.doc_id, "primary", count(x.doc_id) AS n, max(x.severity) AS s, avg(final) AS a FROM sure LEFT JOIN final x ON x.doc_id = sure.doc_id AND x.language = sure."primary" GROUP BY ALL)
 SELECT pm.doc_id, "primary", n > 0 AS profane, CAST(n AS INT) AS matches, CAST(coalesce(s, 1) AS INT) AS severity,

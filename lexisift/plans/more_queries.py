@@ -166,20 +166,20 @@ def document_languages(spark: SparkSession, sf: str) -> DataFrame:
     return base.with_matches(spark, sf).select("doc_id", F.explode(results.language_distribution(F.col("matches"))).alias("language", "n"))
 
 
-_TURN_HITS = base.NORM_SQL.replace("doc_id, text, lang, source", "conv_id * 1000 + turn AS doc_id, text, 'fr' AS lang, conv_id AS source").replace("FROM documents", "FROM conversations")
+_TURN_HITS = base.NORM_SQL.replace("doc_id, text, lang, source", "conv_id * 1000 + turn AS doc_id, text, NULL AS lang, conv_id AS source").replace("FROM documents", "FROM conversations")
 
 
-@query("merge_conversations", f"""WITH {base.lexicon_sql()}, {_TURN_HITS}, {base.TOKENS_SQL}, {base.HITS_SQL}, d AS (SELECT n.source AS conv_id, n.doc_id, n.text, count(h.doc_id) AS n, greatest(1, coalesce(max(severity), 1)) AS s, bool_or(h.doc_id IS NOT NULL) AS any_hit FROM norm n LEFT JOIN hits h ON h.doc_id = n.doc_id GROUP BY ALL)
+@query("merge_conversations", f"""WITH {base.lexicon_sql()}, {_TURN_HITS}, {base.TOKENS_SQL}, {core._ALL_HITS}, d AS (SELECT n.source AS conv_id, n.doc_id, n.text, count(h.doc_id) AS n, greatest(1, coalesce(max(severity), 1)) AS s FROM norm n LEFT JOIN hits h ON h.doc_id = n.doc_id GROUP BY ALL)
 SELECT conv_id, CAST(length(string_agg(text, ' ' ORDER BY doc_id)) AS INT) AS characters, CAST(sum(n) AS INT) AS "totalMatches", CAST(max(s) AS INT) AS "maxSeverity", count(*) AS results,
 floor((avg(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0, greatest(0.1, (0.7 + least(1.0, length(text)::DOUBLE / 100) * 0.2 + least(1.0, n::DOUBLE / 5) * 0.1)))::DOUBLE END)) * 1000 + 0.5) / 1000 AS confidence FROM d GROUP BY conv_id""")
 def merge_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    """The results of a conversation's turns as one."""
+    """The results of a conversation's turns, matched in all languages, as one."""
     from ..operators import scoring
 
     turns = base.spread(spark.read.parquet(f"{sf}/conversations.parquet")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "conv_id", "text")
-    rows = matching.normalized(turns).withColumn("languages", F.array(F.lit("fr")))
-    out = matching.automaton_matches(rows, base.lexicon(spark), languages="languages").withColumn("matches", matching.by_start(F.col("candidates")))
-    out = out.withColumns({"confidence": scoring.document_confidence(F.col("matches"), F.col("text")), "maxSeverity": results.max_severity(F.col("matches"))})
+    out = matching.automaton_matches(matching.normalized(turns), base.lexicon(spark)).withColumn("matches", matching.by_start(F.col("candidates")))
+    languages = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["language"])))
+    out = out.withColumns({"languages": languages, "confidence": scoring.document_confidence(F.col("matches"), F.col("text")), "maxSeverity": results.max_severity(F.col("matches"))})
     merged = results.merge(out, "conv_id")
     return merged.select("conv_id", F.length("text").alias("characters"), "totalMatches", "maxSeverity", "results", (F.floor(F.col("confidence") * 1000 + 0.5) / 1000).alias("confidence"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
@@ -273,8 +273,10 @@ def first_match_per_start(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("early_termination", hits_sql("SELECT doc_id, start, word FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, word) AS k FROM hits) WHERE k <= 5"))
 def early_termination(spark: SparkSession, sf: str) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("start", "word")
-    return base.hits(spark, sf).withColumn("k", F.row_number().over(order)).where("k <= 5").select("doc_id", F.col("start").cast("long").alias("start"), "word")
+    # the row has its matches already: the first five of its sorted array, no window
+    first = F.slice(F.array_sort(F.transform("candidates", lambda m: F.struct(m["start"], m["word"]))), 1, 5)
+    rows = base.found(spark, sf).select("doc_id", F.explode(first).alias("m"))
+    return rows.select("doc_id", F.col("m.start").cast("long").alias("start"), "m.word")
 
 
 @query("fuzzy_lookup", tokens_sql("""SELECT token, surface_norm AS surface, CAST(levenshtein(token, surface_norm) AS INT) AS distance FROM (SELECT DISTINCT token FROM tok WHERE length(token) >= 2) t,
@@ -334,12 +336,12 @@ def severity_category_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("is_profane", hits_sql("SELECT doc_id, source FROM norm WHERE doc_id IN (SELECT doc_id FROM hits)"))
 def is_profane(spark: SparkSession, sf: str) -> DataFrame:
-    return base.docs(spark, sf).join(base.hits(spark, sf).select("doc_id"), "doc_id", "left_semi").select("doc_id", "source")
+    return base.found(spark, sf).where(F.size("candidates") > 0).select("doc_id", "source")
 
 
 @query("is_clean", hits_sql("SELECT doc_id, source FROM norm WHERE doc_id NOT IN (SELECT doc_id FROM hits)"))
 def is_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return base.docs(spark, sf).join(base.hits(spark, sf).select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
+    return base.found(spark, sf).where(F.size("candidates") == 0).select("doc_id", "source")
 
 
 # ---------------------------------------------------------------- context and confidence
@@ -498,11 +500,23 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- redaction
 
 
-def _redacted_sql(piece: str) -> str:
+def tidied_sql(x: str, at_start: str) -> str:
+    """The tidied sentences of a redacted text; a letter is raised by a rule of its own."""
+    for pattern, new in (("\\s{2,}", " "), ("([^\\s,.;:!?])\\s+([,.;:!?])", "\\1\\2"), ("([,.;:!?])([a-zA-Z])", "\\1 \\2")):
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        x = f"regexp_replace({x}, '([.!?])\\s*{c}', '\\1 {c.upper()}', 'g')"
+    return f"(SELECT CASE WHEN {at_start} AND regexp_matches(y, '^[a-z]') THEN upper(y[1]) || y[2:] ELSE y END FROM (SELECT trim({x}) AS y))"
+
+
+def _redacted_sql(piece: str, tidy: bool = False) -> str:
     """Texts put together again: what lies between the kept hits, phrases included, and what replaces them."""
+    whole = "coalesce(head || substr(n.t, last::INT + 1), n.t)"
+    if tidy:
+        whole = f"CASE WHEN head IS NULL THEN n.t ELSE {tidied_sql('head || substr(n.t, last::INT + 1)', 'first = 0')} END"
     return hits_sql(_OVERLAP_SQL + f""", z AS (SELECT *, base_conf AS conf, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS gap FROM kept),
-x AS (SELECT doc_id, string_agg(substr(t, gap::INT + 1, (start - gap)::INT) || {piece}, '' ORDER BY start) AS head, max("end") AS last FROM z GROUP BY doc_id)
-SELECT n.doc_id, coalesce(head || substr(n.t, last::INT + 1), n.t) AS filtered FROM norm n LEFT JOIN x USING (doc_id)""", recursive=True)
+x AS (SELECT doc_id, string_agg(substr(t, gap::INT + 1, (start - gap)::INT) || {piece}, '' ORDER BY start) AS head, max("end") AS last, min(start) AS first FROM z GROUP BY doc_id)
+SELECT n.doc_id, {whole} AS filtered FROM norm n LEFT JOIN x USING (doc_id)""", recursive=True)
 
 
 _CENSOR = "regexp_replace(regexp_replace(word, '[0-9]', '#', 'g'), '[A-Za-z]', '*', 'g')"
@@ -520,8 +534,8 @@ _REPLACE = "coalesce(" + ", ".join(f"CASE categories[{k}] " + " ".join(f"WHEN {q
 _CUSTOM = {"idiot": "[CUSTOM]", "th*": "[WILD]"}
 
 
-def _redacts(name: str, r: redaction.Redaction, piece: str | None) -> None:
-    @query(name, _redacted_sql(piece) if piece else None)
+def _redacts(name: str, r: redaction.Redaction, piece: str) -> None:
+    @query(name, _redacted_sql(piece, r.sentences))
     def run(spark: SparkSession, sf: str) -> DataFrame:
         m = base.found(spark, sf).withColumn("matches", scoring.resolve_overlaps(F.col("candidates")))
         return m.select("doc_id", redaction.redact(F.col("norm"), F.col("matches"), r).alias("filtered"))
@@ -537,7 +551,7 @@ _redacts("custom_replace", redaction.Redaction(custom=_CUSTOM), f"CASE WHEN word
 _redacts("safe_strict", redaction.safe("strict"), "''")
 _redacts("safe_moderate", redaction.safe("moderate"), _GRADUAL)
 _redacts("safe_lenient", redaction.safe("lenient"), _REPLACE)
-_redacts("sentence_structure", redaction.DETECTOR, None)
+_redacts("sentence_structure", redaction.DETECTOR, _GRADUAL)
 
 
 @query("redaction_details", hits_sql(_OVERLAP_SQL + f" SELECT doc_id, start, word AS original, {_CENSOR} AS replacement, 'censor' AS method FROM kept", recursive=True))
@@ -552,10 +566,9 @@ def redaction_details(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("merge_by_source", hits_sql("""SELECT source, count(DISTINCT n.doc_id) AS documents, count(h.doc_id) AS total_matches, greatest(1, coalesce(max(severity), 1)) AS max_severity, coalesce(string_agg(DISTINCT h.language, ',' ORDER BY h.language), '') AS languages FROM norm n LEFT JOIN hits h ON h.doc_id = n.doc_id GROUP BY source"""))
 def merge_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    # a corpus roll-up needs no array of a source's matches: hits are summed where they are
-    found = base.hits(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("severity").alias("s"), F.max("language").alias("l"))
-    out = base.docs(spark, sf).select("doc_id", "source").join(found, "doc_id", "left").groupBy("source")
-    return out.agg(F.count_distinct("doc_id").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_matches"), F.greatest(F.lit(1), F.coalesce(F.max("s"), F.lit(1))).alias("max_severity"), F.array_join(F.array_sort(F.collect_set("l")), ",").alias("languages"))
+    m = F.col("candidates")
+    rows = base.found(spark, sf).select("source", "doc_id", F.size(m).alias("n"), F.array_max(F.transform(m, lambda x: x["severity"])).alias("s"), F.array_max(F.transform(m, lambda x: x["language"])).alias("l"))
+    return rows.groupBy("source").agg(F.count_distinct("doc_id").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_matches"), F.greatest(F.lit(1), F.coalesce(F.max("s"), F.lit(1))).alias("max_severity"), F.array_join(F.array_sort(F.collect_set("l")), ",").alias("languages"))
 
 
 @query("compare_modes", hits_sql("""SELECT n.doc_id, CAST(count(h.doc_id) FILTER (severity >= 2) - count(h.doc_id) AS INT) AS "matchesDiff", CASE WHEN count(h.doc_id) FILTER (severity >= 2) < count(h.doc_id) THEN (count(h.doc_id) - count(h.doc_id) FILTER (severity >= 2)) || ' fewer matches found.' ELSE 'Results are similar.' END AS summary
@@ -573,6 +586,16 @@ def result_json(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("doc_id", results.to_json().alias("json"))
 
 
+@query("result_json_read", hits_sql("""SELECT n.doc_id, count(h.doc_id) > 0 AS profane, CAST(count(h.doc_id) AS INT) AS matches, greatest(1, coalesce(max(severity), 1)) AS severity, any_value(n.lang) AS languages, coalesce(string_agg(word || ':' || start || '-' || "end" || ':' || severity || ':' || array_to_string(categories, '+'), ',' ORDER BY start, "end", term), '') AS found
+FROM norm n LEFT JOIN hits h ON h.doc_id = n.doc_id GROUP BY n.doc_id"""))
+def result_json_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The JSON results, parsed again."""
+    schema = "hasProfanity boolean, totalMatches int, maxSeverity int, detectedLanguages array<string>, confidence double, matches array<struct<word:string,severity:int,categories:array<string>,confidence:double,position:struct<start:int,end:int>>>"
+    j = result_json(spark, sf).select("doc_id", F.from_json("json", schema).alias("j")).select("doc_id", "j.*")
+    one = lambda m: F.concat(m["word"], F.lit(":"), m["position"]["start"], F.lit("-"), m["position"]["end"], F.lit(":"), m["severity"], F.lit(":"), F.array_join(m["categories"], "+"))
+    return j.select("doc_id", F.col("hasProfanity").alias("profane"), F.col("totalMatches").alias("matches"), F.col("maxSeverity").alias("severity"), F.array_join("detectedLanguages", ",").alias("languages"), F.array_join(F.transform("matches", one), ",").alias("found"))
+
+
 @query("conversation_moderation", f"""WITH {base.lexicon_sql()}, w AS (SELECT conv_id, role, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+')) AS token FROM conversations), l AS (SELECT surface_norm, max(severity) AS severity FROM lex WHERE n_tokens = 1 GROUP BY surface_norm)
 SELECT conv_id, count(*) AS matches, count(*) FILTER (role = 'user') AS by_user, max(severity) AS max_severity FROM w JOIN l ON token = surface_norm GROUP BY conv_id""")
 def conversation_moderation(spark: SparkSession, sf: str) -> DataFrame:
@@ -597,10 +620,14 @@ def automaton_counts(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- the whole detector
 
 
+_FOUR = ["en", "fr", "de", "es"]
+
+
 @query("detect")
 def detect(spark: SparkSession, sf: str) -> DataFrame:
-    out = api.detect(base.docs(spark, sf), Config(languages=["en", "fr", "de", "es"]))
-    return out.select("doc_id", "hasProfanity", "totalMatches", "maxSeverity", (F.floor(F.col("confidence") * 1000 + 0.5) / 1000).alias("confidence"))
+    out = api.detect(base.docs(spark, sf), Config(languages=_FOUR))
+    # nine places: a mean of many two-place numbers lies on the border of three far too often
+    return out.select("doc_id", "hasProfanity", "totalMatches", "maxSeverity", (F.floor(F.col("confidence") * 1e9 + 0.5) / 1e9).alias("confidence"))
 
 
 @query("filter_censor")
@@ -618,8 +645,25 @@ _ALL_HITS = base.HITS_SQL.replace(" AND k.lang = l.language", "").replace("SELEC
 _DETECT_CONTEXT = _CONTEXT_SQL.replace("FROM hits)", f"FROM hits WHERE word NOT IN {base.in_list(matching.WHITELIST)} AND length(word) >= 2 AND length(t) >= 3)", 1)
 
 
-def detect_sql(rest: str) -> str:
-    """The detector without its fuzzy pass over four languages: context, overlaps by severity and confidence, scores (table `final`)."""
+_MILD = f"(word IN {base.in_list(matching.COMMON_WORDS)} OR lower(term) IN {base.in_list(matching.COMMON_WORDS)}) AND severity <= 1 AND base_conf < 0.8"
+
+
+def _with_fuzzy(languages: list[str]) -> str:
+    """The hits of a detector in these languages: exact ones, and tokens one edit from a base word."""
+    langs, cols = base.in_list(languages), "doc_id, lang, t, idx, start, {end} AS \"end\", {word} AS word, term, language, severity, categories, {conf} AS base_conf, {d} AS distance"
+    exact = _ALL_HITS.strip().replace("hits AS (", "exact AS (", 1)
+    return f"""{exact}, hits AS (SELECT {cols.format(end='"end"', word="word", conf="base_conf", d="0")} FROM exact WHERE language IN {langs}
+  UNION ALL SELECT {cols.format(end="start + length(token)", word="token", conf="base_conf * 0.8::DOUBLE", d="1")} FROM (SELECT * FROM tok WHERE length(token) >= 2) k JOIN (SELECT * FROM lex WHERE NOT is_variation AND language IN {langs}) l
+    ON abs(length(token) - length(surface_norm)) <= 1 AND levenshtein(token, surface_norm) = 1)"""
+
+
+def detect_sql(rest: str, fuzzy: list[str] | None = None) -> str:
+    """The detector over four languages without its fuzzy pass, or over the languages given with it: context, overlaps by severity
+    and confidence, scores (table `final`)."""
+    if fuzzy:
+        context = _DETECT_CONTEXT.replace("length(t) >= 3)", f"length(t) >= 3 AND NOT ({_MILD}))", 1)
+        out = detect_sql(rest).replace(_ALL_HITS, _with_fuzzy(fuzzy)).replace(_DETECT_CONTEXT, context)
+        return out.replace('severity DESC, "end" DESC', 'severity DESC, distance, "end" DESC').replace("h.word = o.word)", "h.word = o.word AND h.distance = o.distance)")
     better = '(o.severity > f.severity OR (o.severity = f.severity AND o.conf > f.conf))'
     take = f'(o.start >= f."end" OR {better})'
     fields = ", ".join(f'CASE WHEN {take} THEN o.{c} ELSE f.{c} END' for c in ("start", '"end"', "severity", "conf"))
@@ -631,12 +675,19 @@ final AS (SELECT h.* FROM w JOIN o ON o.doc_id = w.doc_id AND o.k = w.kept JOIN
     return f"WITH RECURSIVE {base.lexicon_sql()}, {base.NORM_SQL}, {base.TOKENS_SQL}, {_ALL_HITS}" + _DETECT_CONTEXT + overlap + " " + rest
 
 
-_FOUR = ["en", "fr", "de", "es"]
 _PER_DOC = """, k AS (SELECT doc_id, count(*) AS n, max(severity) AS s, avg(final) AS a FROM final GROUP BY doc_id)
 SELECT norm.doc_id, coalesce(n, 0) > 0 AS "hasProfanity", CAST(coalesce(n, 0) AS INT) AS "totalMatches", CAST(coalesce(s, 1) AS INT) AS "maxSeverity",
 floor((CASE WHEN n IS NULL THEN 1.0 ELSE least(1.0, greatest(0.1, a * (0.7 + least(1.0, length(text)::DOUBLE / 100) * 0.2 + least(1.0, n::DOUBLE / 5) * 0.1))) END)::DOUBLE * 1000 + 0.5) / 1000 AS confidence FROM norm LEFT JOIN k USING (doc_id)"""
 
 
+ORACLES["detect"] = detect_sql(_PER_DOC.replace("* 1000 + 0.5) / 1000", "* 1e9 + 0.5) / 1e9"), _FOUR)
+_SHOWN = "CASE WHEN length(norm.text) = length(norm.t) THEN norm.text ELSE trim(regexp_replace(norm.text, '\\s+', ' ', 'g')) END"
+_SOFT = _GRADUAL.replace("conf", "final")
+ORACLES["filter_censor"] = detect_sql(f""", sh AS (SELECT doc_id, {_SHOWN} AS t FROM norm), z AS (SELECT f.*, substr(sh.t, start::INT + 1, ("end" - start)::INT) AS shown, coalesce(lag("end") OVER (PARTITION BY f.doc_id ORDER BY start), 0) AS gap, sh.t AS whole FROM (SELECT * EXCLUDE (t) FROM final WHERE final >= 0.5) f JOIN sh USING (doc_id)),
+x AS (SELECT doc_id, string_agg(substr(whole, gap::INT + 1, (start - gap)::INT) || {_SOFT.replace("word", "shown")}, '' ORDER BY start) AS head, max("end") AS last, min(start) AS first FROM z GROUP BY doc_id)
+SELECT sh.doc_id, CASE WHEN head IS NULL THEN sh.t ELSE {tidied_sql('head || substr(sh.t, last::INT + 1)', 'first = 0')} END AS "filteredText" FROM sh LEFT JOIN x USING (doc_id)""", ["en"])
+
+
 @query("detect_exact", detect_sql(_PER_DOC))
 def detect_exact(spark: SparkSession, sf: str) -> DataFrame:
     out = api.detect(base.docs(spark, sf), Config(languages=_FOUR, fuzzy=False))
