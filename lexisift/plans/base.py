@@ -25,6 +25,23 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return lx.surfaces(lx.admitted(lx.built_in(spark), 1, lx.CORE_CATEGORIES))
 
 
+def corpus_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexicon entries made of the documents themselves, so that a lexicon's queries grow with the data: each language's words of four
+    letters or more that occur twice, with severity, categories and variations by rules of their spelling."""
+    words = normed(spark, sf).select("lang", F.explode(F.regexp_extract_all("norm", F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    words, n = words.groupBy("lang", "word").agg(F.count("*").alias("n")).where("n >= 2"), F.length("word")
+    names = lambda *x: F.array(*map(F.lit, x))
+    categories = F.when(n % 3 == 0, names("general")).when(n % 3 == 1, names("profanity", "hate_speech")).otherwise(names("violence"))
+    plural = F.concat("word", F.lit("s"))
+    variations = F.when(F.contains("word", F.lit("e")), F.array(F.translate("word", "e", "3"), plural)).otherwise(F.array(plural))
+    seq = F.conv(F.substring(F.md5("word"), 1, 7), 16, 10).cast("int")
+    return words.select("lang", "word", (1 + n % 4).cast("int").alias("severity"), categories.alias("categories"), variations.alias("variations"), F.lit(False).alias("case_sensitive"), seq.alias("seq"))
+
+
+def corpus_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    return lx.surfaces(lx.admitted(corpus_entries(spark, sf), 1, lx.CORE_CATEGORIES))
+
+
 def normed(spark: SparkSession, sf: str) -> DataFrame:
     return matching.normalized(docs(spark, sf))
 
@@ -84,6 +101,14 @@ def norm_sql(column: str) -> str:
 
 
 NORM_SQL = f"norm AS (SELECT doc_id, text, lang, source, {norm_sql('text')} AS t FROM documents)"
+CORPUS_SQL = NORM_SQL + """,
+en AS (SELECT lang, word, CAST(1 + length(word) % 4 AS INT) AS severity, CASE length(word) % 3 WHEN 0 THEN ['general'] WHEN 1 THEN ['profanity', 'hate_speech'] ELSE ['violence'] END AS categories,
+  CASE WHEN contains(word, 'e') THEN [replace(word, 'e', '3'), word || 's'] ELSE [word || 's'] END AS variations, CAST('0x' || substr(md5(word), 1, 7) AS INT) AS seq
+  FROM (SELECT lang, unnest(regexp_extract_all(t, '[a-z]{4,}')) AS word FROM norm) GROUP BY lang, word HAVING count(*) >= 2)"""
+CORPUS_LEXICON_SQL = CORPUS_SQL + """,
+su AS (SELECT lang, word AS surface, word, severity, categories, seq, false AS v, -1 AS k FROM en UNION ALL SELECT lang, unnest(variations), word, severity, categories, seq, true, unnest(range(len(variations))) FROM en),
+lex AS (SELECT lang AS language, surface, surface AS surface_norm, word AS term, v AS is_variation, severity, categories, 1.0::DOUBLE AS base_conf
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang, surface ORDER BY seq DESC, k DESC) AS n FROM su) WHERE n = 1)"""
 TOKENS_SQL = """
 pc AS (SELECT doc_id, lang, t, regexp_extract_all(t, '[a-z0-9]+|[^a-z0-9]+') AS p FROM norm),
 pu AS (SELECT doc_id, lang, t, unnest(p) AS token, unnest(range(len(p))) AS idx FROM pc),

@@ -21,39 +21,37 @@ from .queries import by_doc, query
 # ---------------------------------------------------------------- lexicon
 
 
-@query("lexicon_json", f"WITH {core._entries_sql()} SELECT lang, word, severity, array_to_string(categories, ',') AS categories, array_to_string(variations, ',') AS variations FROM en WHERE lang IN ('en', 'fr')")
+@query("lexicon_json", f"WITH {base.CORPUS_SQL} SELECT lang, word, severity, array_to_string(categories, ',') AS categories, array_to_string(variations, ',') AS variations FROM en WHERE lang IN ('en', 'fr')")
 def lexicon_json(spark: SparkSession, sf: str) -> DataFrame:
     """The entries written as JSON folders and read again, two languages of them."""
     where = shared_folder(spark, "lexicon")
-    lx.write_json(lx.built_in(spark), where)
+    lx.write_json(base.corpus_entries(spark, sf), where)
     return lx.read_json(spark, where, ["en", "fr"]).select("lang", "word", "severity", F.array_join("categories", ",").alias("categories"), F.array_join("variations", ",").alias("variations"))
 
 
-@query("lexicon_maps", f"""WITH {core._entries_sql()} SELECT lang, 'severity' AS kind, word AS key, CAST(severity AS VARCHAR) AS value FROM en
-UNION ALL SELECT lang, 'variations', word, array_to_string(variations, ',') FROM en
-UNION ALL SELECT lang, 'categories', c, string_agg(word, ',' ORDER BY word) FROM (SELECT lang, word, unnest(categories) AS c FROM en) GROUP BY lang, c""")
+@query("lexicon_maps", f"""WITH {base.CORPUS_SQL} SELECT lang, 'profanity' AS kind, word AS key, '' AS value FROM en UNION ALL SELECT lang, 'severity', word, CAST(severity AS VARCHAR) FROM en
+UNION ALL SELECT lang, 'variations', word, unnest(variations) FROM en UNION ALL SELECT lang, 'categories', unnest(categories), word FROM en""")
 def lexicon_maps(spark: SparkSession, sf: str) -> DataFrame:
-    m = lx.to_maps(lx.built_in(spark))
-    flat = lambda kind, value: m.select("lang", F.lit(kind).alias("kind"), F.explode(kind).alias("key", "v")).select("lang", "kind", "key", value.alias("value"))
-    return flat("severity", F.col("v").cast("string")).unionByName(flat("variations", F.array_join("v", ","))).unionByName(flat("categories", F.array_join("v", ",")))
+    """The entries as the maps of a language's folder, an item a row, so that no language is a row of its own."""
+    return lx.map_rows(base.corpus_entries(spark, sf))
 
 
-@query("lexicon_sizes", f"""WITH {core._entries_sql()} SELECT lang, count(*) AS words, CAST(sum(length(word)) AS BIGINT) AS characters,
+@query("lexicon_sizes", f"""WITH {base.CORPUS_SQL} SELECT lang, count(*) AS words, CAST(sum(length(word)) AS BIGINT) AS characters,
 CAST(2 * sum(length('{{"word":"' || word || '","severity":' || severity || ',"categories":[' || array_to_string(list_transform(categories, lambda c: '"' || c || '"'), ',') || '],"variations":[' || array_to_string(list_transform(variations, lambda c: '"' || c || '"'), ',') || ']}}')) AS BIGINT) AS bytes FROM en GROUP BY lang""")
 def lexicon_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return lx.sizes(lx.built_in(spark))
+    return lx.sizes(base.corpus_entries(spark, sf))
 
 
-@query("lexicon_languages", f"WITH {core._entries_sql()}, wanted AS (SELECT unnest(['en', 'fr', 'xx']) AS lang) SELECT w.lang, count(e.word) AS words, count(e.word) > 0 AS available FROM wanted w LEFT JOIN en e ON e.lang = w.lang GROUP BY w.lang")
+@query("lexicon_languages", f"WITH {base.CORPUS_SQL}, wanted AS (SELECT unnest(['en', 'fr', 'xx']) AS lang) SELECT w.lang, count(e.word) AS words, count(e.word) > 0 AS available FROM wanted w LEFT JOIN en e ON e.lang = w.lang GROUP BY w.lang")
 def lexicon_languages(spark: SparkSession, sf: str) -> DataFrame:
-    return lx.availability(lx.built_in(spark), ["en", "fr", "xx"])
+    return lx.availability(base.corpus_entries(spark, sf), ["en", "fr", "xx"])
 
 
-@query("lexicon_custom", f"WITH {base.lexicon_sql()} SELECT language AS lang, surface, term, base_conf FROM lex WHERE language = 'en' UNION ALL SELECT * FROM (VALUES ('en', 'zorble', 'zorble', 0.9::DOUBLE), ('en', 'z0rble', 'zorble', 0.9::DOUBLE))")
+@query("lexicon_custom", f"WITH {base.CORPUS_LEXICON_SQL} SELECT language AS lang, surface, term, base_conf FROM lex WHERE language = 'en' UNION ALL SELECT * FROM (VALUES ('en', 'zorble', 'zorble', 0.9::DOUBLE), ('en', 'z0rble', 'zorble', 0.9::DOUBLE))")
 def lexicon_custom(spark: SparkSession, sf: str) -> DataFrame:
     """Custom words of a language that is loaded join the lexicon at 0.9; those of another don't."""
     own = lx.from_entries(spark, [{"language": "en", "word": "zorble", "severity": 3, "categories": ["general"], "variations": ["z0rble"]}, {"language": "xx", "word": "other", "severity": 3, "categories": ["general"]}])
-    return lx.with_custom(base.lexicon(spark).where("lang = 'en'"), own).select("lang", "surface", "term", "base_conf")
+    return lx.with_custom(base.corpus_lexicon(spark, sf).where("lang = 'en'"), own).select("lang", "surface", "term", "base_conf")
 
 
 # ---------------------------------------------------------------- fuzzy

@@ -187,39 +187,40 @@ by_doc("multiple_scripts", lambda c: {"several": langid.multiple_scripts(c)}, {"
 # ---------------------------------------------------------------- lexicon
 
 
-def _entries_sql() -> str:
-    rows = ", ".join(f"({q(a)}, {q(b)}, {c}, [{', '.join(map(q, d))}], CAST([{', '.join(map(q, e))}] AS VARCHAR[]), {i})" for i, (a, b, c, d, e) in enumerate(lx.BUILT_IN))
-    return f"en AS (SELECT * FROM (VALUES {rows}) AS v(lang, word, severity, categories, variations, seq))"
-
-
-@query("lexicon_stats", f"""WITH {_entries_sql()} SELECT 'language' AS kind, lang AS key, count(*) AS n FROM en GROUP BY lang UNION ALL SELECT 'severity', CAST(severity AS VARCHAR), count(*) FROM en GROUP BY severity
+@query("lexicon_stats", f"""WITH {base.CORPUS_SQL} SELECT 'language' AS kind, lang AS key, count(*) AS n FROM en GROUP BY lang UNION ALL SELECT 'severity', CAST(severity AS VARCHAR), count(*) FROM en GROUP BY severity
 UNION ALL SELECT 'category', c, count(*) FROM (SELECT unnest(categories) AS c FROM en) GROUP BY c""")
 def lexicon_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return lx.stats(lx.built_in(spark))
+    return lx.stats(base.corpus_entries(spark, sf))
 
 
-@query("lexicon_surfaces", f"WITH {base.lexicon_sql()} SELECT language AS lang, surface, surface_norm, term, is_variation, severity, array_to_string(categories, ',') AS categories FROM lex")
+@query("lexicon_surfaces", f"WITH {base.CORPUS_LEXICON_SQL} SELECT language AS lang, surface, surface_norm, term, is_variation, severity, array_to_string(categories, ',') AS categories FROM lex")
 def lexicon_surfaces(spark: SparkSession, sf: str) -> DataFrame:
-    return base.lexicon(spark).select("lang", "surface", "surface_norm", "term", "is_variation", "severity", F.array_join("categories", ",").alias("categories"))
+    return base.corpus_lexicon(spark, sf).select("lang", "surface", "surface_norm", "term", "is_variation", "severity", F.array_join("categories", ",").alias("categories"))
 
 
-@query("lexicon_nodes", f"""WITH {base.lexicon_sql()}, p AS (SELECT language AS lang, substr(surface, 1, unnest(range(1, length(surface) + 1))::INT) AS p FROM lex), n AS (SELECT lang, count(DISTINCT p) + 1 AS nodes FROM p GROUP BY lang)
+@query("lexicon_nodes", f"""WITH {base.CORPUS_LEXICON_SQL}, p AS (SELECT language AS lang, substr(surface, 1, unnest(range(1, length(surface) + 1))::INT) AS p FROM lex), n AS (SELECT lang, count(DISTINCT p) + 1 AS nodes FROM p GROUP BY lang)
 SELECT language AS lang, count(*) AS words, any_value(nodes) AS nodes, CAST(max(length(surface)) AS BIGINT) AS max_depth, CAST(sum(length(surface)) AS BIGINT) AS sum_depth, any_value(nodes) * 96 AS memory_bytes FROM lex JOIN n ON n.lang = lex.language GROUP BY language""")
 def lexicon_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return lx.trie_stats(base.lexicon(spark))
+    return lx.trie_stats(base.corpus_lexicon(spark, sf))
 
 
-@query("symspell_stats", f"""WITH {base.lexicon_sql()}, w AS (SELECT DISTINCT language AS lang, surface FROM lex WHERE NOT is_variation),
+@query("symspell_stats", f"""WITH {base.CORPUS_LEXICON_SQL}, w AS (SELECT DISTINCT language AS lang, surface FROM lex WHERE NOT is_variation),
 v AS (SELECT lang, surface, surface AS v FROM w UNION SELECT lang, surface, substr(surface, 1, i::INT - 1) || substr(surface, i::INT + 1) FROM (SELECT lang, surface, unnest(range(1, length(surface) + 1)) AS i FROM w))
 SELECT lang, count(DISTINCT surface) AS words, count(DISTINCT v) AS variants, count(*) AS entries FROM v GROUP BY lang""")
 def symspell_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return lx.symspell_stats(base.lexicon(spark))
+    return lx.symspell_stats(base.corpus_lexicon(spark, sf))
+
+
+_RAW = {"lang": "CASE WHEN source = 'src3' THEN NULL WHEN source = 'src4' THEN '' ELSE lang END", "word": "CASE WHEN n_chars % 7 = 0 THEN ' ' WHEN n_chars % 11 = 0 THEN NULL ELSE substr(text, 1, 9) END", "severity": "CAST(n_chars % 6 AS INT)"}
 
 
-@query("lexicon_problems", "SELECT 'xx' AS lang, CAST(NULL AS VARCHAR) AS word, 'word' AS problem UNION ALL SELECT 'xx', 'a', 'severity' UNION ALL SELECT 'xx', 'b', 'categories'")
+@query("lexicon_problems", f"""WITH r AS (SELECT doc_id, {_RAW['lang']} AS lang, {_RAW['word']} AS word, {_RAW['severity']} AS severity, doc_id % 5 AS c FROM documents)
+SELECT * FROM (SELECT doc_id, CASE WHEN lang IS NULL OR lang = '' THEN 'language' WHEN word IS NULL OR trim(word) = '' THEN 'word' WHEN severity NOT BETWEEN 1 AND 4 THEN 'severity' WHEN c = 0 THEN 'categories' WHEN c = 1 THEN 'categories' END AS problem FROM r) WHERE problem IS NOT NULL""")
 def lexicon_problems(spark: SparkSession, sf: str) -> DataFrame:
-    bad = lx.from_entries(spark, [{"lang": "xx", "word": None, "severity": 1, "categories": ["general"]}, {"lang": "xx", "word": "a", "severity": 9, "categories": ["general"]}, {"lang": "xx", "word": "b", "severity": 1, "categories": []}, {"lang": "xx", "word": "c", "severity": 1, "categories": ["general"]}])
-    return lx.problems(bad).select("lang", "word", "problem")
+    """Which rule each entry breaks, of entries made of the documents' starts, many of them with faults."""
+    c = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 5 > 1, F.array(F.lit("general")))
+    raw = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", *[F.expr(v).alias(k) for k, v in _RAW.items()], c.alias("categories"))
+    return lx.problems(raw).select("doc_id", "problem")
 
 
 def _variations_sql() -> str:

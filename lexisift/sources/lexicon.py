@@ -98,12 +98,25 @@ def write_json(entries: DataFrame, path: str) -> None:
 
 
 def to_maps(entries: DataFrame) -> DataFrame:
-    """A row per language: severity by word, words by category, variations by word."""
+    """A row per language: severity by word, words by category, variations by word; for lexicons that are files (`map_rows` for any other)."""
     severity = entries.groupBy("lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "severity")))).alias("severity"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "variations")))).alias("variations"))
     inverted = entries.select("lang", "word", F.explode("categories").alias("category")).groupBy("lang", "category").agg(F.sort_array(F.collect_set("word")).alias("words"))
     return severity.join(inverted.groupBy("lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "words")))).alias("categories")), "lang")
 
 
+def map_rows(entries: DataFrame) -> DataFrame:
+    """The same maps with a row for each item (lang, kind, key, value), for lexicons of any size."""
+    item = lambda kind, key, value: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"))
+    word = F.col("word")
+    of = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    items = F.concat(
+        F.array(item("profanity", word, F.lit("")), item("severity", word, F.col("severity").cast("string"))),
+        F.transform(of("variations"), lambda v: item("variations", word, v)),
+        F.transform(of("categories"), lambda c: item("categories", c, word)),
+    )
+    return entries.select("lang", F.explode(items).alias("i")).select("lang", "i.*")
+
+
 def problems(entries: DataFrame) -> DataFrame:
     """Rows that break a rule, with the rule: blank word, severity out of 1 to 4, no category, no language."""
     rule = F.when(F.col("lang").isNull() | (F.col("lang") == ""), "language").when(F.col("word").isNull() | (F.trim("word") == ""), "word").when(~F.coalesce(F.col("severity").between(1, 4), F.lit(False)), "severity").when(F.coalesce(F.size("categories"), F.lit(0)) < 1, "categories")
