@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import config as cfg
 from .config import Config
 from .functions import langid
-from .functions.text import normalize
+from .functions.text import let, normalize
 from .operators import matching, redaction, results, scoring
 from .operators.redaction import Redaction
 from .sources import lexicon as lx
@@ -152,12 +152,19 @@ class Detector:
             mine = F.filter("candidates", lambda m: m["language"] == code)
             return F.struct(F.lit(code).alias("language"), one._scored(mine, F.col("norm"), F.array(F.lit(code))).alias("matches"))
 
-        out = out.withColumn("_parts", F.array(*map(part, languages))).withColumn("_found", langid.detect(F.col("text")))
-        rank = [F.struct(F.greatest(F.lit(0.1), langid.confidence_of(F.col("_found"), code)).alias("c"), F.lit(-i).alias("k")) for i, code in enumerate(languages)]
-        first = F.get("_parts", -F.array_max(F.array(*rank))["k"])
-        counts = F.filter(F.transform("_parts", lambda p: F.struct(p["language"].alias("result_language"), F.size(p["matches"]).alias("n"))), lambda x: x["n"] > 0)
-        out = out.withColumn("_first", first).select("doc_id", F.flatten(F.transform("_parts", lambda p: p["matches"])).alias("matches"), F.sort_array(counts).alias("by_language"), F.col("_first.language").alias("primary"), one._result(F.col("_first.matches"), F.col("text")).alias("result"))
-        return out.withColumn("cross_language", F.size("by_language") > 1)
+        found = langid.detect(F.col("text"))
+
+        def whole(x: Column) -> Column:
+            parts = x["parts"]
+            rank = [F.struct(F.greatest(F.lit(0.1), langid.confidence_of(x["found"], code)).alias("c"), F.lit(-i).alias("k")) for i, code in enumerate(languages)]
+            first = F.get(parts, -F.array_max(F.array(*rank))["k"])
+            counts = F.filter(F.transform(parts, lambda p: F.struct(p["language"].alias("result_language"), F.size(p["matches"]).alias("n"))), lambda n: n["n"] > 0)
+            every = F.flatten(F.transform(parts, lambda p: p["matches"]))
+            return let(first, lambda f: F.struct(every.alias("matches"), F.sort_array(counts).alias("by_language"), f["language"].alias("primary"), one._result(f["matches"], F.col("text")).alias("result"), (F.size(counts) > 1).alias("cross_language")))
+
+        # the parts are made once and held; as columns of their own they would be made anew for each column that names them
+        both = F.struct(F.array(*map(part, languages)).alias("parts"), found.alias("found"))
+        return out.select("doc_id", let(both, whole).alias("_r")).select("doc_id", "_r.*")
 
     @staticmethod
     def _result(m: Column, text: Column) -> Column:
@@ -182,14 +189,14 @@ def selected_languages(found: Column, configured: list[str], primary: str | None
 
 
 def batch_filter(texts: DataFrame, matches: DataFrame, redact: Redaction = Redaction(), key: str = "doc_id") -> DataFrame:
-    """Redacts texts (key, text) by matches that were found elsewhere (key, matches); the two must have the same keys.
-
-    The lengths are compared before, and an unmatched key, which equal lengths can hide, raises in the row."""
-    if texts.count() != matches.count():
-        raise ValueError("texts and matches must have the same length")
-    both = texts.join(matches, key, "left")
-    missing = F.raise_error(F.concat(F.lit("no matches for "), F.col(key).cast("string"))).cast("array<" + matching.MATCH + ">")
-    both = both.withColumn("matches", F.when(F.col("matches").isNull(), missing).otherwise(F.col("matches")))
+    """Redacts texts (key, text) by matches that were found elsewhere (key, matches); the two must have the same keys, each once.
+
+    One join finds whatever doesn't fit: a key of only one side, or one that occurs twice in either, raises in its row."""
+    each = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(f"_n_{name}"), *[F.first(c).alias(c) for c in rows.columns if c != key])
+    both = each(texts, "texts").join(each(matches, "matches"), key, "full")
+    wrong = F.when(F.col("_n_matches").isNull(), F.lit("no matches for ")).when(F.col("_n_texts").isNull(), F.lit("no text for ")).when((F.col("_n_texts") > 1) | (F.col("_n_matches") > 1), F.lit("repeated key "))
+    stop = F.raise_error(F.concat(wrong, F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("array<" + matching.MATCH + ">")
+    both = both.withColumn("matches", F.when(wrong.isNotNull(), stop).otherwise(F.col("matches"))).drop("_n_texts", "_n_matches")
     return both.withColumn("filteredText", redaction.redact(F.col("text"), matching.by_start(F.col("matches")), redact))
 
 

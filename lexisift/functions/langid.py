@@ -23,27 +23,41 @@ RATES = {
     "fr": {"e": 17.3, "s": 7.9, "a": 7.6, "i": 7.5, "t": 7.2, "n": 7.1, "r": 6.6, "u": 6.3, "l": 5.5, "o": 5.3, "d": 3.7, "c": 3.3, "p": 3.0, "m": 3.0, "é": 1.9, "f": 1.1, "b": 0.9, "v": 1.6, "h": 0.7, "g": 0.9, "y": 0.3, "q": 1.4, "j": 0.5, "x": 0.4, "à": 0.5, "è": 0.3, "z": 0.1},
     "de": {"e": 17.4, "n": 9.8, "i": 7.6, "s": 7.3, "r": 7.0, "a": 6.5, "t": 6.2, "d": 5.1, "h": 4.8, "u": 4.4, "l": 3.4, "c": 3.1, "g": 3.0, "m": 2.5, "o": 2.5, "b": 1.9, "w": 1.9, "f": 1.7, "k": 1.2, "z": 1.1, "p": 0.8, "v": 0.7, "ü": 0.7, "ä": 0.5, "ö": 0.3, "j": 0.3, "y": 0.04},
 }
+# fmt: off
 MARKERS = {
-    "en": "the and that have for not with you this but his from they are be an will would could should am is writing some english language",
-    "es": "que de el la en y un es se no te lo le da su por con para como muy mundo hola gato está sobre mesa gusta mucho comida española buenos días cómo usted hoy",
-    "fr": "le de et être un il avoir ne je son que se qui ce dans vous mon ma mes tout bonjour monde suis très content voir france beau pays comment allez-vous aujourd'hui",
-    "de": "der die und in den von zu das mit sich des auf für ist dem nicht ein eine einer einen hallo welt bin sehr glücklich heute deutschland schönes land wie geht ihnen",
-    "it": "che di il un a è per una in del la non le si da questo quello quella quelli quelle",
-    "pt": "que de o a e do da em um para é com não uma os como por mas muito qual",
-    "nl": "de het een van in is op dat met voor als zijn er maar om niet wat hoe waar wie",
+    "en": ["the", "and", "that", "have", "for", "not", "with", "you", "this", "but", "his", "from", "they", "are", "be", "an", "will", "would", "could", "should", "am", "is", "writing", "some", "english", "language"],
+    "es": ["que", "de", "el", "la", "en", "y", "un", "es", "se", "no", "te", "lo", "le", "da", "su", "por", "con", "para", "como", "muy", "mundo", "hola", "gato", "está", "sobre", "mesa", "gusta", "mucho", "comida", "española", "buenos", "días", "cómo", "usted", "hoy"],
+    "fr": ["le", "de", "et", "être", "un", "il", "avoir", "ne", "je", "son", "que", "se", "qui", "ce", "dans", "vous", "mon", "ma", "mes", "tout", "bonjour", "monde", "suis", "très", "content", "voir", "france", "beau", "pays", "comment", "allez-vous", "aujourd'hui"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "dem", "nicht", "ein", "eine", "einer", "einen", "hallo", "welt", "bin", "sehr", "glücklich", "heute", "deutschland", "schönes", "land", "wie", "geht", "ihnen"],
+    "it": ["che", "di", "il", "un", "a", "è", "per", "una", "in", "del", "la", "non", "le", "si", "da", "questo", "quello", "quella", "quelli", "quelle"],
+    "pt": ["que", "de", "o", "a", "e", "do", "da", "em", "um", "para", "é", "com", "não", "uma", "os", "como", "por", "mas", "muito", "qual"],
+    "nl": ["de", "het", "een", "van", "in", "is", "op", "dat", "met", "voor", "als", "zijn", "er", "maar", "om", "niet", "wat", "hoe", "waar", "wie"],
 }
 #: Whole words, word endings, more whole words, and single letters that speak for a language.
 WORDS = {
-    "en": "the and that have for not with you this but his from they are be am is",
-    "es": "que de el la en y un es se no te lo le da su por con para como muy",
-    "fr": "le de et être un il avoir ne je son que se qui ce dans vous mon ma mes tout",
-    "de": "der die und in den von zu das mit sich des auf für ist dem nicht ein eine",
-    "it": "che di il un a è per una in del la non le si da",
-    "pt": "que de o a e do da em um para é com não uma os",
-    "nl": "de het een van in is op dat met voor als zijn er maar om",
+    "en": ["the", "and", "that", "have", "for", "not", "with", "you", "this", "but", "his", "from", "they", "are", "be", "am", "is"],
+    "es": ["que", "de", "el", "la", "en", "y", "un", "es", "se", "no", "te", "lo", "le", "da", "su", "por", "con", "para", "como", "muy"],
+    "fr": ["le", "de", "et", "être", "un", "il", "avoir", "ne", "je", "son", "que", "se", "qui", "ce", "dans", "vous", "mon", "ma", "mes", "tout"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "dem", "nicht", "ein", "eine"],
+    "it": ["che", "di", "il", "un", "a", "è", "per", "una", "in", "del", "la", "non", "le", "si", "da"],
+    "pt": ["que", "de", "o", "a", "e", "do", "da", "em", "um", "para", "é", "com", "não", "uma", "os"],
+    "nl": ["de", "het", "een", "van", "in", "is", "op", "dat", "met", "voor", "als", "zijn", "er", "maar", "om"],
 }
-ENDINGS = {"en": "ing ed ly", "es": "ción mente", "fr": "ment tion", "de": "ung lich", "it": "zione mente", "pt": "ção mente", "nl": "lijk heid"}
-MORE_WORDS = {"es": "está gato mesa gusta comida buenos días cómo está usted hoy", "fr": "suis très content voir france beau pays comment allez-vous aujourd'hui", "de": "bin sehr glücklich heute deutschland schönes land wie geht ihnen"}
+ENDINGS = {
+    "en": ["ing", "ed", "ly"],
+    "es": ["ción", "mente"],
+    "fr": ["ment", "tion"],
+    "de": ["ung", "lich"],
+    "it": ["zione", "mente"],
+    "pt": ["ção", "mente"],
+    "nl": ["lijk", "heid"],
+}
+MORE_WORDS = {
+    "es": ["está", "gato", "mesa", "gusta", "comida", "buenos", "días", "cómo", "está", "usted", "hoy"],
+    "fr": ["suis", "très", "content", "voir", "france", "beau", "pays", "comment", "allez-vous", "aujourd'hui"],
+    "de": ["bin", "sehr", "glücklich", "heute", "deutschland", "schönes", "land", "wie", "geht", "ihnen"],
+}
+# fmt: on
 LETTERS = {"es": "áéíóúüñ¿¡", "fr": "àâäéèêëïîôöùûüÿç", "de": "äöüß", "it": "àáèéìíîòóùúü", "pt": "áàâãéêíóôõúç"}
 PATTERN_WEIGHT, RATE_WEIGHT, SCRIPT_WEIGHT, LEAST, FALLBACK = 0.65, 0.10, 0.25, 0.08, 0.11
 #: A word border that knows only ASCII word characters.
@@ -91,12 +105,12 @@ def rate_confidence(c: Column, rates: dict[str, dict[str, float]] = RATES) -> di
     return {lang: let(rate_similarity(plain, table), lambda x: F.when(x > 0.15, x * 0.4).otherwise(0.0)) for lang, table in rates.items()}
 
 
-def _alternatives(words: str) -> str:
-    return _EDGE + "(?:" + "|".join(dict.fromkeys(words.split())) + ")" + _EDGE
+def _alternatives(words: list[str]) -> str:
+    return _EDGE + "(?:" + "|".join(dict.fromkeys(words)) + ")" + _EDGE
 
 
 def patterns_of(lang: str) -> list[str]:
-    out = [_alternatives(WORDS[lang])] + [_EDGE + f"[A-Za-z0-9_]+{e}" + _EDGE for e in ENDINGS[lang].split()]
+    out = [_alternatives(WORDS[lang])] + [_EDGE + f"[A-Za-z0-9_]+{e}" + _EDGE for e in ENDINGS[lang]]
     if lang in MORE_WORDS:
         out.append(_alternatives(MORE_WORDS[lang]))
     if lang in LETTERS:
@@ -106,7 +120,7 @@ def patterns_of(lang: str) -> list[str]:
 
 def marker_score(c: Column, lang: str) -> Column:
     """0.7 of the share of marker words and 0.3 of pattern hits for each word."""
-    marks = list(dict.fromkeys(MARKERS[lang].split()))
+    marks = list(dict.fromkeys(MARKERS[lang]))
     hits = sum((F.regexp_count(c, F.lit("(?i)" + p)) for p in patterns_of(lang)), F.lit(0))
 
     def score(words: Column) -> Column:
@@ -150,6 +164,12 @@ def detect(c: Column, rates: dict[str, dict[str, float]] = RATES) -> Column:
     return F.when(blank, fallback).otherwise(let(prepared(c), judge))
 
 
+def detect_sync(c: Column) -> Column:
+    """`detect`, with a blank text at the confidence of the one-text form, 0.1."""
+    blank = F.coalesce(F.trim(F.regexp_replace(c, SPACE, " ")), F.lit("")) == ""
+    return F.when(blank, F.array(F.struct(F.lit("en").alias("language"), F.lit(0.1).alias("confidence"), F.lit("").alias("sample")))).otherwise(detect(c))
+
+
 def primary(found: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0))["language"], F.lit("en"))
 

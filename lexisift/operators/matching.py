@@ -72,11 +72,36 @@ def fuzzy_pairs(words: DataFrame, dictionary: DataFrame, distance: int = 1, pref
     return met.withColumn("distance", F.levenshtein("token", "surface", distance)).where("distance >= 0")
 
 
+def near_pairs(words: DataFrame, dictionary: DataFrame, distance: int = 1) -> DataFrame:
+    """(token, surface, distance) of all pairs within the edit distance, met by segments instead of delete variants.
+
+    A token cut into distance + 1 segments has one that stands unchanged in any surface within the distance, at most so many places away: a
+    token makes distance + 1 keys, whatever its length, and a surface a few for each length that a token near it may have.  Where the
+    surfaces' keys (counted before) are few enough to be sent, tokens meet them where they are, and only those that meet are shuffled."""
+    parts = distance + 1
+    size = lambda n, s: F.floor(n / parts).cast("int") + (F.lit(s) >= parts - n % parts).cast("int")
+    start = lambda n, s: s * F.floor(n / parts).cast("int") + F.greatest(F.lit(0), s - parts + n % parts)
+    n = F.length("token")
+    keys = F.array(*[F.struct(n.alias("n"), F.lit(s).alias("s"), F.substring("token", start(n, s) + 1, size(n, s)).alias("seg")) for s in range(parts)])
+    m = F.length("surface")
+    k = F.col("n")
+    at = [F.struct(F.lit(s).alias("s"), F.when((start(k, s) + d >= 0) & (start(k, s) + d + size(k, s) <= m), F.substring("surface", start(k, s) + d + 1, size(k, s))).alias("seg")) for s in range(parts) for d in range(-distance, distance + 1)]
+    known = dictionary.select("surface").where(m > 0).distinct().select("surface", F.explode(F.sequence(F.greatest(F.lit(1), m - distance), m + distance)).alias("n"))
+    known = staged(known.select("surface", "n", F.explode(F.array_distinct(F.array(*at))).alias("k")).select("surface", "n", "k.s", "k.seg").where("seg is not null"), "segments")
+    tokens_ = words.select("token").where(n > 0)
+    if known.count() <= SENT_ROWS:
+        met = tokens_.select("token", F.explode(keys).alias("k")).select("token", "k.*").join(F.broadcast(known), ["n", "s", "seg"])
+    else:
+        met = tokens_.distinct().select("token", F.explode(keys).alias("k")).select("token", "k.*").join(known, ["n", "s", "seg"])
+    met = met.withColumn("distance", F.levenshtein("token", "surface", distance)).where("distance >= 0")
+    return met.select("token", "surface", "distance").distinct()
+
+
 def fuzzy_hits(docs: DataFrame, lexicon: DataFrame, distance: int = 1, least: int = 2) -> DataFrame:
     """A row per token near a base word (not a variation), exact ones left out: doc_id, idx, token, the lexicon's columns."""
     t = tokens(docs).where(F.length("token") >= least)
     base = lexicon.where("not is_variation and n_tokens = 1").withColumn("surface", F.col("surface_norm"))
-    pairs = fuzzy_pairs(t, base, distance).where("distance > 0")
+    pairs = near_pairs(t, base, distance).where("distance > 0")
     info = base.select("surface", F.col("lang").alias("language"), "term", "severity", "categories", "base_conf")
     return t.join(pairs, "token").join(info, "surface")
 
@@ -235,10 +260,12 @@ def spans_array(counts: list[int], at: list[int], to: list[int], which: list[int
 def near_words(docs: DataFrame, lexicon: DataFrame, distance: int) -> DataFrame:
     """(token, surface, distance) of the texts' words near a base word, itself left out: a staged table.
 
-    The texts' different words meet the base words' delete variants once, however often a word occurs."""
-    words = docs.where(F.length("norm") >= 3).select(F.explode(F.array_distinct(F.regexp_extract_all("norm", F.lit(WORDS), F.lit(0)))).alias("token"))
+    The texts' words meet the base words once for the whole corpus; what is near comes back, not what each task finds anew."""
+    # a filter by the text would sink below the texts' distribution over the cores, and be worked out there
+    found = F.when(F.length("norm") >= 3, F.array_distinct(F.regexp_extract_all("norm", F.lit(WORDS), F.lit(0))))
+    words = docs.select(F.explode(found).alias("token"))
     base = lexicon.where("not is_variation").select(F.col("surface_norm").alias("surface"))
-    return staged(fuzzy_pairs(words.where(F.length("token") >= 2), base, distance).where("distance > 0"), "near")
+    return staged(near_pairs(words.where(F.length("token") >= 2), base, distance).where("distance > 0"), "near")
 
 
 def automaton_matches(docs: DataFrame, lexicon: DataFrame, distance: int = 0, unicode_borders: bool = False, languages: str | None = None, max_rows: int = AUTOMATON_ROWS) -> DataFrame:

@@ -10,7 +10,7 @@ from ..config import Config
 from ..functions import charmap, langid
 from ..functions import text as tx
 from ..operators import matching, redaction, results
-from ..session import shared_folder
+from ..session import shared_folder, staged
 from ..sources import lexicon as lx
 from . import base
 from . import queries as core
@@ -231,7 +231,7 @@ def batch_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Texts redacted by matches that come as a table of their own."""
     from ..operators import scoring
 
-    found = base.found(spark, sf)
+    found = staged(base.found(spark, sf).select("doc_id", "norm", "candidates"), "found")  # both sides come from one pass
     texts = found.select("doc_id", F.col("norm").alias("text"))
     matches = found.select("doc_id", scoring.resolve_overlaps(F.col("candidates")).alias("matches"))
     return api.batch_filter(texts, matches).select("doc_id", F.col("filteredText").alias("filtered"))

@@ -145,7 +145,7 @@ def char_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 def _marker_sql(lang: str, x: str) -> str:
     words = f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
-    marks = "[" + ", ".join(map(q, dict.fromkeys(langid.MARKERS[lang].split()))) + "]"
+    marks = "[" + ", ".join(map(q, dict.fromkeys(langid.MARKERS[lang]))) + "]"
     patterns = [p.replace(langid._EDGE, "\\b") for p in langid.patterns_of(lang)]
     hits = " + ".join(_count("(?i)" + p, x) for p in patterns)
     n = f"greatest(len({words}), 1)"

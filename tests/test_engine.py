@@ -26,13 +26,17 @@ def one_match(spark, text, word, severity=2, categories=("general",), confidence
     return spark.createDataFrame([row], f"text string, m array<{MATCH}>")
 
 
-def test_delete_join_equals_brute_force(spark):
+def test_delete_join_equals_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 6)))
     a, b = sorted({word() for _ in range(60)}), sorted({word() for _ in range(40)})
     ta, tb = spark.createDataFrame([(x,) for x in a], "token string"), spark.createDataFrame([(x,) for x in b], "surface string")
-    for d in (1, 2):
+    for d in (1, 2, 3):
         got = {(r["token"], r["surface"], r["distance"]) for r in matching.fuzzy_pairs(ta, tb, d).collect()}
+        for sent in (matching.SENT_ROWS, 0):
+            monkeypatch.setattr(matching, "SENT_ROWS", sent)
+            near = [tuple(r) for r in matching.near_pairs(ta, tb, d).collect()]
+            assert set(near) == got and len(near) == len(got)
         want = {(x, y, n) for x, y in itertools.product(a, b) if (n := matching.edit_distance(x, y, d)) <= d}
         assert got == want
 

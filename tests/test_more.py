@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lexisift import api, config
 from lexisift.config import Config
+from lexisift.functions import langid
 from lexisift.functions import text as tx
-from lexisift.operators import matching, redaction
+from lexisift.operators import matching, redaction, results, scoring
 from lexisift.sources import lexicon as lx
 
 
@@ -40,10 +41,9 @@ def test_batch_filter(spark):
     texts = docs(spark, "this is T text", "clean")
     found = matching.automaton_matches(matching.normalized(texts), lx.surfaces(entries(spark, "t"))).select("doc_id", F.col("candidates").alias("matches"))
     assert [r["filteredText"] for r in api.batch_filter(texts, found).orderBy("doc_id").collect()] == ["this is * text", "clean"]
-    with pytest.raises(ValueError):
-        api.batch_filter(texts, found.where("doc_id = 0"))
-    with pytest.raises(Exception, match="no matches for 1"):
-        api.batch_filter(texts, found.withColumn("doc_id", F.lit(0).cast("long"))).collect()
+    for a, b, message in ((texts, found.where("doc_id = 0"), "no matches for 1"), (texts.where("doc_id = 0"), found, "no text for 1"), (texts, found.withColumn("doc_id", F.lit(0).cast("long")), "repeated key 0|no matches for 1"), (texts.union(texts), found, "repeated key")):
+        with pytest.raises(Exception, match=message):
+            api.batch_filter(a, b).collect()
     both = texts.join(found, "doc_id")
     assert [r["filteredText"] for r in api.apply_filter(both, "remove").orderBy("doc_id").collect()] == ["this is  text", "clean"]
 
@@ -271,3 +271,37 @@ def test_similarity_join_of_no_patterns(spark):
     assert matching.similar_pairs(words, words.select(F.col("w").alias("pattern")).limit(0)).count() == 0
     with pytest.raises(ValueError):
         matching.similar_pairs(words, words.select(F.col("w").alias("pattern")), 0)
+
+
+def test_blank_texts_of_the_sync_form(spark):
+    rows = docs(spark, "", None, " \n", "the cat is with the dog and they are here").select("doc_id", langid.detect_sync(F.col("text")).alias("f"), langid.detect(F.col("text")).alias("g"))
+    got = {r["doc_id"]: r for r in rows.collect()}
+    assert all([(x["language"], x["confidence"]) for x in got[k]["f"]] == [("en", 0.1)] for k in range(3)) and got[3]["f"] == got[3]["g"]
+
+
+def test_primary_result_is_the_winners_alone(spark):
+    rows = docs(spark, "you idiot and scum, the man is with the dog and they are here", "le merde est dans la maison et il ne pas, idiot", "")
+    out = {r["doc_id"]: r for r in api.Detector(spark, Config(fuzzy=False)).multi_language(rows, ["en", "fr"]).collect()}
+    assert out[0]["primary"] == "en" and out[0]["result"]["totalMatches"] == 2 and out[0]["result"]["maxSeverity"] == 2
+    assert out[1]["primary"] == "fr" and [m["match"] for m in out[1]["result"]["matches"]] == ["merde"] and len(out[1]["matches"]) == 2
+    assert out[2]["primary"] == "en" and not out[2]["result"]["hasProfanity"] and out[2]["result"]["confidence"] == 1.0
+
+
+def test_budget_takes_languages_in_turn(spark):
+    words = [("en", "aaa"), ("en", "bbb"), ("fr", "ccc"), ("fr", "abab")]
+    lex = lx.from_entries(spark, [{"language": k, "word": w, "severity": 2, "categories": ["general"]} for k, w in words])
+    run = lambda text, most: [(m["language"], m["word"], m["distance"]) for m in api.Detector(spark, Config(languages=["fr", "en"], context=False, max_matches=most), lex)._candidates(docs(spark, text)).select(scoring.budget(F.col("candidates"), F.col("languages"), most, max(1, most // 2)).alias("m")).first()["m"]]
+    assert run("aaa bbb ccc", 2) == [("fr", "ccc", 0), ("en", "aaa", 0)]
+    assert run("aaa bbb ccc ccx aax", 3) == [("fr", "ccc", 0), ("fr", "ccx", 1), ("en", "aaa", 0)]  # no fuzzy ones of en: half is spent
+    assert run("aaa aax bbx aax", 9) == [("en", "aaa", 0), ("en", "aax", 1), ("en", "aax", 1), ("en", "bbx", 1)]
+
+
+def test_statistics_information_and_health(spark):
+    d = api.Detector(spark)
+    n = {(r["kind"], r["key"]): r["n"] for r in d.stats().collect()}
+    assert n["language", "fr"] == sum(e[0] == "fr" for e in lx.BUILT_IN)
+    assert set(config.UTILITY_PRESETS) == {"default", "strict", "lenient", "family_friendly"} and config.UTILITY_PRESETS["lenient"].min_severity == 2
+    whole = d.analyze_enhanced(docs(spark, "You idiot. Fine day!")).first()
+    assert whole["statistics"]["totalWords"] == 4 and whole["textContext"]["textType"] == "unknown" and whole["warnings"] == [] and whole["enhanced"][0]["context"]["sentence"] == "you idiot"
+    auto = api.Detector(spark, Config(languages=["auto"])).analyze_enhanced(docs(spark, "You idiot. Fine day!")).first()
+    assert results.WARN_AUTO in auto["warnings"]
