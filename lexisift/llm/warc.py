@@ -304,7 +304,8 @@ class Archive:
         n = n_partitions(self.spark)
         wanted = urls.mapInArrow(keys, "key string").distinct().mapInArrow(find, "key string, part int, block long")
         blocks = wanted.groupBy("part", "block").agg(F.collect_set("key").alias("keys"))  # no more keys than a block has lines match it
-        return blocks.repartition(n, "part", "block").mapInArrow(fetch, RECORDS)
+        # dealt without keys: by the same keys as above nothing would be dealt, and few small lists of keys end in one task
+        return blocks.repartition(n).mapInArrow(fetch, RECORDS)
 
 
 def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, block_lines: int = BLOCK_LINES) -> Archive:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexisift.llm import divergence as dv
 from lexisift.llm import spot_signatures as ss
+from lexisift.llm import warc
 from lexisift.llm import whitening as wh
 
 DOCS = "doc_id long, text string, lang string, source string, fingerprint string, rank int, x int, bucket int"
@@ -25,6 +26,19 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, *([None] * (4 - len(r))), "clash", 1, 2, 3) for r in rows], DOCS)
 
 
+# ---------------------------------------------------------------- 6: many tasks read an archive
+
+
+def test_archive_blocks_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://host"), F.col("id") % 90, F.lit(".org/"), F.col("id")).alias("url"), F.concat(F.lit("page "), F.col("id")).alias("html"))
+    archive = warc.write_archive(pages, str(tmp_path / "a"), block_lines=8)
+    got = archive.fetch_all(pages.select("url")).select("page_id", F.spark_partition_id().alias("p"))
+    rows = got.collect()
+    assert sorted(r["page_id"] for r in rows) == list(range(400))
+    tasks = [sum(r["p"] == p for r in rows) for p in {r["p"] for r in rows}]
+    assert len(tasks) > 1 and max(tasks) < 300
+
+
 # ---------------------------------------------------------------- 11: fingerprints
 
 
