@@ -46,19 +46,51 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns the table."""
     path = new_folder(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lexisift_path = path
     return out
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Removes a staged table that nothing reads any more."""
     path = getattr(df, "_lexisift_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        drop_path(df.sparkSession, path)
+
+
+#: Staged tables of the scopes that are open, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """At its end the tables staged inside are removed, but for those given to what it yields, which an outer scope then owns."""
+    mine: list[str] = []
+    _scopes.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = getattr(df, "_lexisift_path", None)
+        if path in mine:
+            mine.remove(path)
+            if len(_scopes) > 1:
+                _scopes[-2].append(path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path in mine:
+            drop_path(spark, path)
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -8,8 +8,10 @@ at once (a lane is a piece of a document, overlapping the next by the window), s
 vectorised step for all of them.
 
 Words are told apart by 64-bit hashes of their bytes.  Patterns are sent to the executors in blocks
-of at most BLOCK_PATTERNS windows; a larger benchmark is searched block by block, so what is sent at
-once has a fixed bound.
+of at most BLOCK_PATTERNS windows; a longer item is cut into several that share WINDOW - 1 words.  A benchmark of
+one block is searched in one pass.  A larger one is searched block by block, a job for each: its hits are written before
+the next block is sent, so the driver and every task hold one block at a time.  Hits are narrow rows of the
+documents that have any; their runs are merged once all blocks are through.
 
 Defined cases: a null text has no words; items without words have no windows; equal windows of
 several items count for each item; items whose item_id is null count as one item that is left out of the
@@ -20,7 +22,9 @@ under their names by `clean_documents`, whatever they are.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, byte_class, give_back, hash_spans, lists, mix, ranges, spans, steps, text_buffer
+from .common import LOWER, byte_class, drop_path, give_back, hash_spans, lists, mix, new_folder, ranges, spans, staged, steps, text_buffer
 
 WINDOW = 13
 #: Share of hit words from which a document counts as contaminated: SHARE * n_hit >= n_words.
@@ -38,6 +42,8 @@ LANE_WORDS = 2048
 
 #: Words are runs of digits, ASCII letters and all bytes beyond ASCII.
 WORD = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F), negate=True)
+#: The same of a text that isn't lower-cased yet.
+_WORD_RE = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,21 +176,74 @@ def _search(names: list[str], text: int, blocks, fresh: list[str]):
     return run
 
 
+def _pieces(text: str, window: int) -> Iterator[tuple[str, int]]:
+    """The text in pieces of at most BLOCK_PATTERNS windows, and how many each has at most; together they have its windows."""
+    most = len(text) // 2 + 1  # at least as many as its words
+    if most <= BLOCK_PATTERNS:
+        yield text, most
+        return
+    at = [m.span() for m in _WORD_RE.finditer(text)]
+    windows = max(len(at) - window + 1, min(len(at), 1))
+    for k in range(0, windows, BLOCK_PATTERNS):
+        upto = min(k + BLOCK_PATTERNS, windows)
+        yield text[at[k][0] : at[min(upto + window - 1, len(at)) - 1][1]], upto - k
+
+
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[tuple[pa.Table, list[str]]]:
-    """The items in blocks of at most BLOCK_PATTERNS windows (a single longer item is a block of its own)."""
+    """The items in blocks of at most BLOCK_PATTERNS windows."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     held: list[tuple[str, str]] = []
     size = 0
     for r in rows.toLocalIterator():
-        n = len(r["text"]) // 2 + 1  # at least as many as its words
-        if held and size + n > BLOCK_PATTERNS:
-            yield pa.table({"text": pa.array([t for _, t in held])}), [i for i, _ in held]
-            held, size = [], 0
-        held.append((r["item_id"], r["text"]))
-        size += n
+        for text, n in _pieces(r["text"], window):
+            if held and size + n > BLOCK_PATTERNS:
+                yield pa.table({"text": pa.array([t for _, t in held])}), [i for i, _ in held]
+                held, size = [], 0
+            held.append((r["item_id"], text))
+            size += n
     yield pa.table({"text": pa.array([t for _, t in held], pa.string())}), [i for i, _ in held]
 
 
+def merge_runs(runs: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs [start, end) of each row, in any order and overlapping, as runs that neither meet nor overlap, in order."""
+    n = len(offs) - 1
+    if not len(runs):
+        return runs, offs
+    s, e = runs[0::2], runs[1::2]
+    row = np.repeat(np.arange(n), np.diff(offs) // 2)
+    order = np.lexsort((s, row))
+    base = row * (int(e.max()) + 2)  # rows lie apart
+    s, e = s[order] + base, np.maximum.accumulate(e[order] + base)
+    first = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
+    last = np.append(first[1:], len(s)) - 1
+    out = np.stack([s[first] - base[first], e[last] - base[first]], axis=1).reshape(-1)
+    return out, np.concatenate([[0], np.cumsum(2 * np.bincount(row[first], minlength=n))])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        runs = batch.column(1)
+        values, offs = merge_runs(runs.flatten().to_numpy(), np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists(values, offs, pa.int64()), batch.column(2)], names=batch.schema.names)
+
+
+def _counted(names: list[str], text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, names[text]):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(words(part.column(text))[1]), pa.int64())], names=[*names, "n_words"])
+        give_back()
+
+    return run
+
+
+_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+
+
+def _found(source: DataFrame, text: int, sent) -> DataFrame:
+    return source.mapInArrow(_search(source.columns, text, sent, [f.name for f in _FOUND]), T.StructType([*source.schema.fields, *_FOUND]))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The given columns (at first doc_id) of the documents, then, under names that none of them has:
     number of words, runs of hit words [start, end) in a row, sorted item_ids with occurring windows."""
@@ -192,18 +251,33 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str]
     spark = docs.sparkSession
     k = len(columns)
     named = docs.select(*[docs[c] for c in columns], docs["text"].cast("string")).toDF(*[f"c{i}" for i in range(k)], "text")
-    added = ["n_words", "runs", "items"]
-    out = None
-    for block in _blocks(benchmark, WINDOW):
-        source = named if out is None else out.select(*[f"c{i}" for i in range(k)], "text", *[F.col(c).alias(f"p_{c}") for c in added])
-        fields = [*source.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
-        got = source.mapInArrow(_search(source.columns, k, spark.sparkContext.broadcast(block), added), T.StructType(fields))
-        if out is not None:
-            got = got.withColumns({c: F.concat(c, f"p_{c}") for c in ("runs", "items")}).select(*[f"c{i}" for i in range(k)], "text", *added)
-        out = got
+    blocks = _blocks(benchmark, WINDOW)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        out = _found(named, k, spark.sparkContext.broadcast(block))
+    else:
+        out = _by_blocks(named, k, chain([block, following], blocks))
     return out.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
+def _by_blocks(named: DataFrame, k: int, blocks) -> DataFrame:
+    """The documents (columns, text at place k) with what all blocks find, each in a job of its own."""
+    spark = named.sparkSession
+    counted = named.mapInArrow(_counted(named.columns, k), T.StructType([*named.schema.fields, _FOUND[0]]))
+    numbered = staged(counted.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    where = new_folder(spark, "hits")
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        _found(numbered.select("row", "text"), 1, sent).where("size(runs) > 0").select("row", "runs", "items").write.mode("append").parquet(where)
+        sent.destroy()
+    hits = spark.read.schema("row long, runs array<long>, items array<string>").parquet(where)
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))  # a document's
+    merged = staged(hits.mapInArrow(_merge, hits.schema), "hits")
+    drop_path(spark, where)
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return numbered.join(merged, "row", "left").select(*[f"c{i}" for i in range(k)], "text", "n_words", none("runs", "long"), none("items", "string"))
+
+
 def _hit_words() -> "F.Column":
     """Number of different words in the runs; runs of several blocks may overlap."""
     n = F.expr("""aggregate(array_sort(transform(sequence(0, size(runs) div 2 - 1), i -> struct(runs[2 * i] as s, runs[2 * i + 1] as e))),

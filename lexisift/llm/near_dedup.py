@@ -11,7 +11,8 @@ compared with all members, in blocks inside a task, at the first band where both
 link for each component met is emitted.  So every pair of different texts that shares a bucket is
 either compared or already joined by a path of confirmed links, and no pair is dropped.
 
-A text's node is the xxhash64 of its bytes (equal texts are one node).  With 28 bands of 5 slots a
+A text is known by 128 bits, two hashes of its bytes.  Its node is the first of them; texts that share it but differ in the
+second, which is looked up, get nodes made of both, so equal texts only are one node.  With 28 bands of 5 slots a
 pair of similarity 0.8 is missed with probability 2e-5.
 
 Defined cases: texts without words (null, empty, white space) have empty sets and link with nothing;
@@ -27,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, distinct_in, drop_staged, grams, hash_spans, lists, map_text, mix, ranges, spans, staged, steps, text_buffer
+from .common import LOWER, NOT_SPACE, distinct_in, grams, hash_spans, lists, map_text, mix, ranges, scope, spans, staged, steps, text_buffer
 from .graph import connected_components
 
 BANDS, ROWS = 28, 5
 #: Least similarity, as a fraction: 100 * intersection >= 80 * union.
 SIMILAR = (80, 100)
+#: Texts of a block about, and the bytes of text from which there are more blocks (a longer text counts for itself).
 QUERY_BLOCK, MEMBER_BLOCK = 512, 2048
+QUERY_BYTES, MEMBER_BYTES = 8 << 20, 32 << 20
 #: Rows of two numbers up to which the candidates' keys are sent to all executors.
 BROADCAST_ROWS = 1_000_000
 
@@ -76,12 +79,12 @@ def minmax_bands(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def _signatures(n: int):
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        h, offs = shingles(part.column(2), n)
+        h, offs = shingles(part.column(3), n)
         size = np.diff(distinct_in(h, offs)[1])
         full = np.flatnonzero(np.diff(offs))
         bands = minmax_bands(h, np.append(offs[:-1][full], len(h))) if len(full) else np.zeros((0, BANDS), np.int64)
         counts = np.where(size > 0, BANDS, 0)
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), lists(bands.reshape(-1), np.concatenate([[0], np.cumsum(counts)]), pa.int64())], names=["doc_id", "node", "n_shingles", "bands"])
+        return pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(size, pa.int64()), lists(bands.reshape(-1), np.concatenate([[0], np.cumsum(counts)]), pa.int64())], names=["doc_id", "h1", "h2", "n_shingles", "bands"])
 
     return run
 
@@ -152,12 +155,28 @@ def _confirm_blocks(n: int, num: int, den: int):
     return run
 
 
+def hashes(text: Column) -> list[Column]:
+    """The two hashes that tell texts apart."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")]
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """A row per document: doc_id, node (hash of its text), n_shingles, component_id, kept."""
+    """A row per document: doc_id, h1, h2, node (of its text), n_shingles, component_id, kept."""
+    with scope(docs.sparkSession) as keep:
+        return _near_duplicates(docs, shingle_words, similar, keep)
+
+
+def _near_duplicates(docs: DataFrame, shingle_words: int, similar: tuple[int, int], keep) -> DataFrame:
     num, den = similar
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    sigs = staged(map_text(rows, "doc_id long, node long, n_shingles long, bands array<long>", _signatures(shingle_words)), "signatures")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes(text), text.alias("text"))
+    sigs = keep(staged(map_text(rows, "doc_id long, h1 long, h2 long, n_shingles long, bands array<long>", _signatures(shingle_words)), "signatures"))
+    clash = sigs.where("n_shingles > 0").groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo != hi")
+    clash = keep(staged(clash.select("h1", F.lit(True).alias("clash")), "clashes"))
+    if clash.isEmpty():
+        rows, sigs = (df.withColumn("node", F.col("h1")) for df in (rows, sigs))
+    else:
+        rows, sigs = (df.join(clash, "h1", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).drop("clash") for df in (rows, sigs))
     # one row per different text; rep finds its text again
     rep = F.coalesce("doc_id", F.lit(-(1 << 63)))
     nodes = sigs.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(rep).alias("rep"), F.first("bands").alias("bands"))
@@ -166,22 +185,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similar: tuple[int,
     met = Observation()
     buckets = staged(keys.join(shared, "key").observe(met, F.count("*").alias("n")), "buckets")
     if met.get["n"]:
-        links = _links(rows, sigs, buckets, shingle_words, num, den)
-        labels = connected_components(links)
-        drop_staged(links)
-        drop_staged(buckets)
+        labels = connected_components(_links(rows, sigs, buckets, shingle_words, num, den))
         joined = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-        joined = staged(joined, "components")
+        joined = keep(staged(joined, "components"))
         first = joined.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("node"))).alias("first"))
         first = first.select("label", F.col("first.least").alias("component_id"), F.col("first.node").alias("keeper"))
         joined = joined.join(first, "label").select("node", "component_id", "keeper")
     else:
         joined = nodes.select("node", F.col("least").alias("component_id"), F.col("node").alias("keeper"))
     alone = F.col("n_shingles") == 0
-    out = sigs.select("doc_id", "node", "n_shingles").join(joined, "node", "left")
+    out = sigs.select("doc_id", "h1", "h2", "node", "n_shingles").join(joined, "node", "left")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     kept = alone | (F.col("node") == F.col("keeper")) & F.col("doc_id").eqNullSafe(component)
-    return out.select("doc_id", "node", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return out.select("doc_id", "h1", "h2", "node", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def _links(rows: DataFrame, sigs: DataFrame, buckets: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -194,7 +210,7 @@ def _links(rows: DataFrame, sigs: DataFrame, buckets: DataFrame, n: int, num: in
     if weight.count() <= BROADCAST_ROWS:  # a table of two numbers a row; beyond that a shuffle join
         wanted = F.broadcast(wanted)
     found = rows.withColumn("rep", rep).join(wanted, ["rep", "node"], "left_semi").dropDuplicates(["rep", "node"])
-    texts = staged(found.select("node", "text"), "texts")
+    texts = staged(found.select("node", F.octet_length("text").alias("bytes"), "text"), "texts")
     best = buckets.select("key", "node").join(weight.select("node", "w"), "node").groupBy("key").agg(F.max(F.struct("w", "node"))["node"].alias("a"))
     pairs = staged(buckets.select("key", F.col("node").alias("b")).join(best, "key").where("a != b").select("a", "b").distinct(), "pairs")
     sided = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
@@ -210,27 +226,29 @@ def _links(rows: DataFrame, sigs: DataFrame, buckets: DataFrame, n: int, num: in
         return first
     # all buckets that hang together, as one unit: each text is sent once, where that costs few more comparisons
     groups = connected_components(pairs)
-    placed = rest.join(groups.select("node", F.col("label").alias("grp")), "node")
-    inside = placed.select("grp", "node", "label").distinct()
+    placed = rest.join(groups.select("node", F.col("label").alias("grp")), "node").join(texts.select("node", "bytes"), "node")
+    inside = placed.select("grp", "node", "label", "bytes").distinct()
     tops = inside.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"))
     tops = tops.select("grp", "all", (F.col("all") - F.col("top.n")).alias("asks"), F.col("top.label").alias("major"))
     by_bucket = placed.select("grp", "key", (F.col("b_all") * F.col("b_asks")).alias("c")).distinct().groupBy("grp").agg(F.sum("c").alias("cost"))
     tops = tops.join(by_bucket, "grp").withColumn("whole", F.col("all") * F.col("asks") <= 4 * F.col("cost"))
     tops = staged(tops.select("grp", "all", "asks", "major", "whole"), "units")
-    one = inside.join(tops.where("whole"), "grp").select(F.col("grp").alias("unit"), "node", "label", "major", "all", "asks", F.lit(False).alias("banded"))
-    many = placed.join(tops.where("not whole").select("grp"), "grp", "left_semi").select(F.col("key").alias("unit"), "node", "label", F.col("b_major").alias("major"), F.col("b_all").alias("all"), F.col("b_asks").alias("asks"), F.lit(True).alias("banded"))
-    units = one.unionByName(many).withColumn("outside", F.col("label") != F.col("major")).withColumn("nq", F.ceil(F.col("asks") / QUERY_BLOCK).cast("int")).withColumn("nm", F.ceil(F.col("all") / MEMBER_BLOCK).cast("int"))
+    one = inside.join(tops.where("whole"), "grp").select(F.col("grp").alias("unit"), "node", "label", "bytes", "major", F.lit(False).alias("banded"))
+    many = placed.join(tops.where("not whole").select("grp"), "grp", "left_semi").select(F.col("key").alias("unit"), "node", "label", "bytes", F.col("b_major").alias("major"), F.lit(True).alias("banded"))
+    units = one.unionByName(many).withColumn("outside", F.col("label") != F.col("major"))
+    # blocks by texts and by their bytes, whichever are more
+    enough = lambda of, texts, size: F.greatest(F.ceil(F.count(of) / texts), F.ceil(F.sum(of) / size)).cast("int")
+    sizes = units.groupBy("unit", "banded").agg(enough(F.when(F.col("outside"), F.col("bytes")), QUERY_BLOCK, QUERY_BYTES).alias("nq"), enough(F.col("bytes"), MEMBER_BLOCK, MEMBER_BYTES).alias("nm"))
+    units = units.join(sizes, ["unit", "banded"])
     units = staged(units.select("unit", "node", "label", "outside", "banded", "nq", "nm"), "blocks")
     spot = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     members = units.select("unit", "node", "label", "outside", "banded", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), spot("nm").alias("mb"))
     asks = units.where("outside").select("unit", "node", "label", "outside", "banded", F.lit(True).alias("query"), spot("nq").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"))
     signed = sigs.join(texts.select("node"), "node", "left_semi").groupBy("node").agg(F.first("bands").alias("bands"))
-    known = texts.join(signed, "node")
+    known = texts.drop("bytes").join(signed, "node")
     full = members.unionByName(asks).join(known, "node")
     second = full.groupBy("unit", "banded", "qb", "mb").applyInArrow(_confirm_blocks(n, num, den), "a long, b long").distinct()
-    out = staged(first.unionByName(second), "links")
-    drop_staged(labels)
-    return out
+    return staged(first.unionByName(second), "links")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,15 +274,17 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, similar: tuple[int, int] =
     """One document of each group of near duplicates, that with the least doc_id, with all its columns;
     of equal rows with that doc_id one stays.  Texts without words all stay."""
     columns = docs.columns
-    found = near_duplicates(docs, shingle_words, similar)
-    chosen = found.where("kept or n_shingles = 0").groupBy("doc_id", "node").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"))
-    chosen = staged(chosen.select(F.col("doc_id").alias("o_doc"), F.col("node").alias("o_node"), ((F.col("n") > 1) & (F.col("size") > 0)).alias("again")), "kept")
+    with scope(docs.sparkSession) as keep:
+        found = near_duplicates(docs, shingle_words, similar)
+        chosen = found.where("kept or n_shingles = 0").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"))
+        again = ((F.col("n") > 1) & (F.col("size") > 0)).alias("again")
+        chosen = keep(staged(chosen.select(F.col("doc_id").alias("o_doc"), F.col("h1").alias("o_h1"), F.col("h2").alias("o_h2"), again), "kept"))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     cols = [f"c{i}" for i in range(len(columns))]
-    named = docs.select(*[docs[c] for c in columns], docs["doc_id"].cast("long"), F.xxhash64(text)).toDF(*cols, "k_doc", "k_node")
-    joined = named.join(chosen, F.col("k_doc").eqNullSafe(F.col("o_doc")) & (F.col("k_node") == F.col("o_node")))
+    named = docs.select(*[docs[c] for c in columns], docs["doc_id"].cast("long"), *hashes(text)).toDF(*cols, "k_doc", "k_h1", "k_h2")
+    joined = named.join(chosen, F.col("k_doc").eqNullSafe(F.col("o_doc")) & (F.col("k_h1") == F.col("o_h1")) & (F.col("k_h2") == F.col("o_h2")))
     if chosen.where("again").limit(1).count():  # repeated rows: one of each stays
-        order = Window.partitionBy("k_doc", "k_node").orderBy(*[F.col(c).cast("string") for c in cols])
+        order = Window.partitionBy("k_doc", "k_h1", "k_h2").orderBy(*[F.col(c).cast("string") for c in cols])
         once = joined.where("again").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
         joined = joined.where("not again").unionByName(once)
     return joined.select(*[F.col(f"c{i}") for i in range(len(columns))]).toDF(*columns)
