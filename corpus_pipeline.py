@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisift.llm import decontam, language_id, line_dedup, near_dedup, packing
-from lexisift.llm.common import staged
+from lexisift.llm.common import drop_staged, scope, staged
 from lexisift.session import ship
 
 
@@ -72,5 +72,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope(spark) as keep:  # what a stage staged goes once its result is written, and so does its predecessor's
+            after = keep(staged(stage(spark, docs, sf_dir), f"stage-{name}"))
+        drop_staged(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
