@@ -170,4 +170,4 @@ def _wide(c: Column) -> Column:
     return F.translate(c, _NARROW, _WIDE)
 
 
-by_doc("wide_forms", lambda c: {"form": tx.unicode_form("NFKC")(_wide(c)), "cleaned": tx.clean_for_detection(_wide(c)), "found": tx.prepare_for_search(_wide(c))}, {"form": "nfc_normalize(text)", "cleaned": core._CLEANED, "found": f"trim({core._SPREAD})"})
+by_doc("wide_forms", lambda c: {"form": tx.unicode_form("NFKC")(c), "cleaned": tx.clean_for_detection(c), "found": tx.prepare_for_search(c)}, {"form": "nfc_normalize(text)", "cleaned": core._CLEANED, "found": f"trim({core._SPREAD})"}, once=_wide)
